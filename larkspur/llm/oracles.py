@@ -1,6 +1,15 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
 ORACLES = {
+    "op2_warc_index_merge": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        k AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+                     max(page_id) OVER (PARTITION BY html) AS last FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM k
+    """,
     "op10_block_naming": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         h AS (SELECT doc_id, sha256(norm) AS text_sha256 FROM t)

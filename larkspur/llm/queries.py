@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
 from .packing import pack_documents
+from .quality import fit, remainder, score, training_rows
 from .sharding import shuffle_into_shards
 from .simhash import near_duplicates
 from .warc import archive
@@ -30,6 +31,13 @@ def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 3) == 1
+    model = fit(training_rows(docs, labels, ~held_out))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,4 +49,4 @@ def op10_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_warc_index_merge, op6_hypergeometric_shards, op9_karmarkar_karp_packing, op10_block_naming)}
+QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_warc_index_merge, op6_hypergeometric_shards, op8_naive_bayes_svm, op9_karmarkar_karp_packing, op10_block_naming)}

@@ -10,6 +10,24 @@ ORACLES = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
         FROM k
     """,
+    "op7_preference_pairs": r"""
+        WITH answers AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+        final AS (SELECT c.conv_id, max(coalesce(c.text, '')) AS other FROM conversations c JOIN answers a ON c.conv_id = a.conv_id AND c.turn = a.last
+                  WHERE c.role = 'assistant' GROUP BY c.conv_id),
+        kept AS (SELECT c.conv_id, c.turn, coalesce(c.role, 'user') AS role, coalesce(c.text, '') AS text, a.last, f.other
+                 FROM conversations c LEFT JOIN answers a USING (conv_id) LEFT JOIN final f ON f.conv_id = c.conv_id + 1
+                 WHERE a.last IS NULL OR c.turn <= a.last),
+        marked AS (SELECT *, '<|im_start|>' || role || chr(10) || replace(text, '<|im_', '< |im_') || '<|im_end|>' || chr(10) AS said,
+                   turn IS NOT DISTINCT FROM last AND other IS DISTINCT FROM text AS differs FROM kept),
+        parted AS (SELECT *, coalesce(bool_or(differs) OVER (PARTITION BY conv_id ORDER BY turn), false) AS after FROM marked)
+        SELECT conv_id, count(*) FILTER (NOT after) AS common_turns,
+               coalesce(string_agg(said, '' ORDER BY turn) FILTER (NOT after), '') AS prompt,
+               coalesce(string_agg(said, '' ORDER BY turn) FILTER (after), '') AS chosen,
+               coalesce(max(CASE WHEN after AND other IS NOT NULL THEN '<|im_start|>assistant' || chr(10) || replace(other, '<|im_', '< |im_') || '<|im_end|>' || chr(10) END), '') AS rejected,
+               CAST(coalesce(sum(length(said) - 22) FILTER (after), 0) AS BIGINT) AS chosen_trained,
+               CAST(coalesce(max(CASE WHEN after AND other IS NOT NULL THEN length(replace(other, '<|im_', '< |im_')) + 11 END), 0) AS BIGINT) AS rejected_trained
+        FROM parted GROUP BY conv_id
+    """,
     "op10_block_naming": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         h AS (SELECT doc_id, sha256(norm) AS text_sha256 FROM t)

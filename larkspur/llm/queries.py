@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
 from .packing import pack_documents
+from .preferences import format_preferences, swapped_answers
 from .quality import fit, remainder, score, training_rows
 from .sharding import shuffle_into_shards
 from .simhash import near_duplicates
@@ -26,11 +28,22 @@ def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
+def op4_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start_word", "n_words")
+
+
 def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shuffle_into_shards(_table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = format_preferences(*swapped_answers(_table(spark, sf_dir, "conversations")))
+    trained = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return pairs.select(F.col("pair_id").alias("conv_id"), "common_turns", "prompt", "chosen", "rejected", trained("chosen_spans").alias("chosen_trained"), trained("rejected_spans").alias("rejected_trained"))
+
+
 def op8_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = remainder("doc_id", 3) == 1
@@ -49,4 +62,4 @@ def op10_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_warc_index_merge, op6_hypergeometric_shards, op8_naive_bayes_svm, op9_karmarkar_karp_packing, op10_block_naming)}
+QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_warc_index_merge, op4_simhash_windows, op6_hypergeometric_shards, op7_preference_pairs, op8_naive_bayes_svm, op9_karmarkar_karp_packing, op10_block_naming)}

@@ -12,6 +12,7 @@ from .preferences import format_preferences, swapped_answers
 from .quality import fit, remainder, score, training_rows
 from .sharding import shuffle_into_shards
 from .simhash import near_duplicates
+from .substring_dedup import repeated_spans
 from .warc import archive
 
 
@@ -33,6 +34,10 @@ def op4_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start_word", "n_words")
 
 
+def op5_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shuffle_into_shards(_table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -62,4 +67,4 @@ def op10_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_warc_index_merge, op4_simhash_windows, op6_hypergeometric_shards, op7_preference_pairs, op8_naive_bayes_svm, op9_karmarkar_karp_packing, op10_block_naming)}
+QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_warc_index_merge, op4_simhash_windows, op5_gear_chunks, op6_hypergeometric_shards, op7_preference_pairs, op8_naive_bayes_svm, op9_karmarkar_karp_packing, op10_block_naming)}

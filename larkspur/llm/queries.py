@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
+from .katz import score_corpus
 from .packing import pack_documents
 from .preferences import format_preferences, swapped_answers
 from .quality import fit, remainder, score, training_rows
@@ -29,6 +30,10 @@ def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_corpus(_table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2, order=2)
+
+
 def op4_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start_word", "n_words")
@@ -67,4 +72,4 @@ def op10_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_warc_index_merge, op4_simhash_windows, op5_gear_chunks, op6_hypergeometric_shards, op7_preference_pairs, op8_naive_bayes_svm, op9_karmarkar_karp_packing, op10_block_naming)}
+QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_warc_index_merge, op3_katz_backoff, op4_simhash_windows, op5_gear_chunks, op6_hypergeometric_shards, op7_preference_pairs, op8_naive_bayes_svm, op9_karmarkar_karp_packing, op10_block_naming)}

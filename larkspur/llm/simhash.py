@@ -19,6 +19,13 @@ of that many groups gives a cell, and only fingerprints of one cell are
 compared; no link is lost. The second family is random: in a cell, its distance
 table discards pairs before their distance is computed.
 
+Links can ask for more: with ``confirm``, a second fingerprint over shingles of
+another length must be within a radius of its own. Near copies whose edits break
+many long shingles differ in many bits of a long-shingle fingerprint, too many
+for cells; a short-shingle fingerprint finds them, the long one confirms them.
+For shingles with similarity s, two fingerprints are expected to differ in
+64 acos(2s / (1 + s)) / pi bits; ``radius_for`` adds three standard deviations.
+
 In a cell, links are reduced to a star for each component found there, so a cell
 of many near copies gives as many links as it has members. A cell larger than
 ``cell_rows`` is split into tiles of which each pair of parts meets in one: no
@@ -34,6 +41,7 @@ table gives an empty result. Extra columns are not read.
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections.abc import Iterator
 
@@ -66,19 +74,29 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def _fingerprints(batches: Iterator, words: int) -> Iterator:
+def _fingerprints(batches: Iterator, words: tuple[int, ...]) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+        found = [[] for _ in words]
+        for x in batch.column(1):
+            text = x.as_buffer().to_pybytes() if x.is_valid else b""
+            for column, width in zip(found, words, strict=True):
+                column.append(fingerprint(text, width))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in found)], names=["id", "fp", "second"][: 1 + len(words)])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (the 64 bits as a signed long) for each row."""
+def fingerprints(docs: DataFrame, *words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fp and, for a second number of words, second (64 bits each, as a signed long) for each row."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: _fingerprints(batches, words), "id long, fp long")
+    return rows.mapInArrow(lambda batches: _fingerprints(batches, words), "id long, fp long, second long" if words[1:] else "id long, fp long")
+
+
+def radius_for(similarity: float) -> int:
+    """Differing bits of 64 that three in a thousand pairs of this similarity exceed, at most."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * share + 3 * math.sqrt(64 * share * (1 - share)))
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -86,8 +104,8 @@ def pivots(n: int = PIVOTS) -> list[int]:
     return [rng.getrandbits(64) for _ in range(n)]
 
 
-def cell_stars(fps, radius: int):
-    """Of distinct fingerprints: (members, the first member of each one's component), without the first ones."""
+def cell_stars(fps, seconds, radius: int, second_radius: int):
+    """Of the fingerprints of a cell: places of members and of the first member of each one's component, without the first ones."""
     import numpy as np
 
     table = np.bitwise_count(fps[None, :] ^ np.array(pivots(), np.uint64)[:, None]).astype(np.int8)
@@ -103,61 +121,68 @@ def cell_stars(fps, radius: int):
                     break
                 near = near[np.abs(column[near] - column[x]) <= radius]
             near = near[np.bitwise_count(fps[near] ^ fps[x]) <= radius]
+            if seconds is not None:
+                near = near[np.bitwise_count(seconds[near] ^ seconds[x]) <= second_radius]
             if len(near):
                 left = np.setdiff1d(left, near, assume_unique=True)
                 todo.extend(near.tolist())
                 nodes.append(near)
                 roots.append(np.full(len(near), root))
-    return (fps[np.concatenate(nodes)], fps[np.concatenate(roots)]) if nodes else (fps[:0], fps[:0])
+    return (np.concatenate(nodes), np.concatenate(roots)) if nodes else (left, left)
 
 
-def _links(batches: Iterator, radius: int, small: int = 24) -> Iterator:
-    """Links in rows sorted by cell (columns cell, tile, fp). Cells of a few rows are compared in step, at growing offsets; others one by one."""
+def _links(batches: Iterator, radius: int, second_radius: int, small: int = 24) -> Iterator:
+    """Links in rows sorted by cell (columns choice, cell, tile, fp and maybe second). Cells of a few rows are compared in step, at growing offsets; others by their own trees."""
     import numpy as np
     import pyarrow as pa
 
     refs = np.array(pivots(), np.uint64)
 
     def found(cell, fps) -> pa.RecordBatch:
+        """fps: a row of values for each fingerprint."""
         starts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]).any(axis=1))))
-        sizes = np.diff(np.concatenate((starts, [len(fps)])))
+        sizes = np.diff(np.append(starts, fps.shape[1]))
         a, b = [], []
-        in_small = np.repeat(sizes <= small, sizes)
-        group = np.repeat(np.arange(len(sizes)), sizes)[in_small]
-        few = fps[in_small]
+        places = np.flatnonzero(np.repeat((sizes <= small) & (sizes > 1), sizes))
+        group, few = np.repeat(np.arange(len(sizes)), sizes)[places], fps[0][places]
         for step in range(1, small):
-            if not len(few) > step:
-                break
             at = np.flatnonzero(group[step:] == group[:-step])
             if not len(at):
                 break
-            x, y = few[at], few[at + step]
+            other = at + step
             for p in refs:  # the pivot table's columns, discarding as they go
-                keep = np.abs(np.bitwise_count(x ^ p).astype(np.int8) - np.bitwise_count(y ^ p).astype(np.int8)) <= radius
-                x, y = x[keep], y[keep]
-            near = np.bitwise_count(x ^ y) <= radius
-            a.append(x[near])
-            b.append(y[near])
+                keep = np.abs(np.bitwise_count(few[at] ^ p).astype(np.int8) - np.bitwise_count(few[other] ^ p).astype(np.int8)) <= radius
+                at, other = at[keep], other[keep]
+            near = np.bitwise_count(few[at] ^ few[other]) <= radius
+            x, y = places[at[near]], places[other[near]]
+            if len(fps) > 1:
+                near = np.bitwise_count(fps[1][x] ^ fps[1][y]) <= second_radius
+                x, y = x[near], y[near]
+            a.append(x)
+            b.append(y)
         for k in np.flatnonzero(sizes > small):
-            node, root = cell_stars(np.unique(fps[starts[k] : starts[k] + sizes[k]]), radius)
-            a.append(node)
-            b.append(root)
-        a, b = (np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    held_cell, held = np.empty((0, 3), np.int64), np.empty(0, np.uint64)
+            own = slice(starts[k], starts[k] + sizes[k])
+            node, root = cell_stars(fps[0][own], fps[1][own] if len(fps) > 1 else None, radius, second_radius)
+            a.append(starts[k] + node)
+            b.append(starts[k] + root)
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+        columns = [v.view(np.int64)[x] for x in (a, b) for v in fps]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b"] if len(fps) == 1 else ["a", "a2", "b", "b2"])
+
+    held_cell = held = None
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        cell = np.concatenate((held_cell, np.stack(columns[:3], axis=1).astype(np.int64)))
-        fps = np.concatenate((held, columns[3].view(np.uint64)))
-        if not len(fps):
+        cell, fps = np.stack(columns[:3], axis=1).astype(np.int64), np.stack([c.view(np.uint64) for c in columns[3:]])
+        if held is not None:
+            cell, fps = np.concatenate((held_cell, cell)), np.concatenate((held, fps), axis=1)
+        if not len(cell):
             continue
         last = np.flatnonzero((cell != cell[-1]).any(axis=1))
         cut = last[-1] + 1 if len(last) else 0
         if cut:
-            yield found(cell[:cut], fps[:cut])
-        held_cell, held = cell[cut:], fps[cut:]
-    if len(held):
+            yield found(cell[:cut], fps[:, :cut])
+        held_cell, held = cell[cut:], fps[:, cut:]
+    if held is not None:
         yield found(held_cell, held)
 
 
@@ -167,38 +192,56 @@ def groups_of_bits(blocks: int) -> list[int]:
     return [sum(1 << i for i in range(a, b)) for a, b in itertools.pairwise(edges)]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell_rows: int = CELL_ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs within the radius. fps: distinct values in a column fp."""
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, second_radius: int = 0, cell_rows: int = CELL_ROWS, scratch: Scratch | None = None) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs within the radius. fps: distinct values in a column fp, or distinct pairs in fp and second; a and b are such values or structs of them."""
     if blocks <= radius:
         raise ValueError("more groups than the radius are needed")
-    scratch = scratch or Scratch(fps.sparkSession, "links")
+    scratch, own = scratch or Scratch(fps.sparkSession, "links"), fps.columns
     masks = [sum(x) for x in itertools.combinations(groups_of_bits(blocks), blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    cells = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("choice", "cell"))
-    crowded = cells.groupBy("choice", "cell").count().where(F.col("count") > cell_rows).withColumn("parts", F.ceil(F.col("count") / cell_rows)).drop("count")
+    choices = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("choice", "cell")
+    crowded = fps.select(choices).groupBy("choice", "cell").count().where(F.col("count") > cell_rows).withColumn("parts", F.ceil(F.col("count") / cell_rows)).drop("count")
     crowded = scratch.table(crowded, "crowded")
-    n = crowded.count()
+    cells, n = fps.select(*own, choices), crowded.count()
     if n:  # as many cells as rows / cell_rows at most; broadcast if they are few, else joined by key
         cells = cells.join(F.broadcast(crowded) if n <= 20_000 else crowded, ["choice", "cell"], "left")
-        part = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts"))
+        part = F.pmod(F.xxhash64(*own, F.lit(1)), F.col("parts"))
         tile = lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j)
         tiles = F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), tile)))
-        cells = cells.select("choice", "cell", F.explode(tiles).alias("tile"), "fp")
+        cells = cells.select("choice", "cell", F.explode(tiles).alias("tile"), *own)
     else:
-        cells = cells.select("choice", "cell", F.lit(-1).cast("long").alias("tile"), "fp")
-    dealt = cells.repartition("choice", "cell", "tile").sortWithinPartitions("choice", "cell", "tile", "fp")
-    return dealt.mapInArrow(lambda batches: _links(batches, radius), "a long, b long")
+        cells = cells.select("choice", "cell", F.lit(-1).cast("long").alias("tile"), *own)
+    dealt = cells.repartition("choice", "cell", "tile").sortWithinPartitions("choice", "cell", "tile", *own)
+    two = len(own) > 1
+    found = dealt.mapInArrow(lambda batches: _links(batches, radius, second_radius), "a long, a2 long, b long, b2 long" if two else "a long, b long")
+    return found.select(F.struct(F.col("a").alias("fp"), F.col("a2").alias("second")).alias("a"), F.struct(F.col("b").alias("fp"), F.col("b2").alias("second")).alias("b")) if two else found
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable), n_rows and n_fingerprints of the class."""
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, blocks: int = BLOCKS, confirm: tuple[int, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable), n_rows and n_fingerprints of the class.
+
+    confirm: words and similarity of the second fingerprint, if links need one.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.table(fingerprints(docs, words, id_col, text_col), "rows")
-    nodes = scratch.table(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
-    stars = star_roots(links(nodes.select("fp"), radius, blocks, scratch=scratch), scratch)
-    member = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    rows = scratch.table(fingerprints(docs, words, *(confirm or ())[:1], id_col=id_col, text_col=text_col), "rows")
+    own = rows.columns[1:]
+    nodes = scratch.table(rows.groupBy(*own).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+    stars = star_roots(links(nodes.select(*own), radius, blocks, radius_for(confirm[1]) if confirm else 0, scratch=scratch), scratch)
+    stars = stars.select(F.col("node.fp").alias("fp"), F.col("node.second").alias("second"), "root") if confirm else stars.withColumnRenamed("node", "fp")
+    member = nodes.join(stars, own, "left").select(*own, "first", "n", F.coalesce("root", F.struct(*own) if confirm else F.col("fp")).alias("root"))
     member = scratch.table(member, "member")
     classes = member.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_fingerprints"))
-    named = member.select("fp", "root").join(classes, "root").drop("root")
-    found = rows.join(named, "fp")
+    named = member.select(*own, "root").join(classes, "root").drop("root")
+    found = rows.join(named, own)
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_rows", "n_fingerprints")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows, with all columns, that are first in their class. Ids must be distinct; rows without an id stay.
+
+    Two texts are linked if their fingerprints over word pairs differ in 8 bits
+    at most and those over shingles of ``words`` words in ``radius_for(similarity)``.
+    """
+    found = near_duplicates(docs, words=2, radius=8, blocks=11, confirm=(words, similarity), id_col=id_col, text_col=text_col)
+    repeats = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__repeat"))
+    return docs.join(repeats, F.col(id_col) == F.col("__repeat"), "left_anti")

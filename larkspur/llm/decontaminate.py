@@ -87,7 +87,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     items = scratch.table(items.withColumn("grams", by_width).withColumn("fp", _fingerprint(F.transform("grams", lambda x: F.xxhash64(x)))), "items")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most `words` rows
     keyed = docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("key"))
-    texts = docs.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("key"), _norm(F.col(text_col)).alias("norm"))
+    texts = docs.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("key"), F.xxhash64(text_col).alias("quick"), _norm(F.col(text_col)).alias("norm"))
 
     found = None
     for width in widths:
@@ -95,12 +95,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
         places = scratch.table(own.select("n_words", F.posexplode("grams").alias("at", "gram")).select("n_words", "at", F.xxhash64("gram").alias("hash")).distinct(), f"places{width}")
         wanted = places.select("hash").distinct()
         n = places.count()
-        grams = texts.select("key", F.posexplode(_shingles(F.col("norm"), width)).alias("pos", "gram")).select("key", "pos", F.xxhash64("gram").alias("hash"))
+        grams = texts.select("key", "quick", F.posexplode(_shingles(F.col("norm"), width)).alias("pos", "gram")).select("key", "quick", "pos", F.xxhash64("gram").alias("hash"))
         shared = scratch.table(grams.join(_few(wanted, n), "hash", "left_semi").distinct(), f"shared{width}")
         starts = scratch.table(shared.join(_few(places, n), "hash").select("key", "n_words", (F.col("pos") - F.col("at")).alias("start")).distinct(), f"starts{width}")
 
-        sources = starts.select("key").distinct()
-        sharing = texts.join(sources, "key", "left_semi").dropDuplicates(["key"]).select("key", _shingles(F.col("norm"), width).alias("all"))
+        # A short hash finds the texts again without a shuffle of all texts; the join on the key below is exact.
+        sources = scratch.table(shared.select("quick").distinct(), f"sources{width}")
+        sharing = texts.join(_few(sources, sources.count()), "quick", "left_semi").dropDuplicates(["key"]).select("key", _shingles(F.col("norm"), width).alias("all"))
         size = F.col("n_words") - (width - 1)
         clipped = F.greatest(F.lit(0), F.least(F.col("start"), F.size("all") - size))
         windows = starts.join(sharing, "key").withColumn("start", clipped).withColumn("grams", F.slice("all", F.col("start") + 1, size)).drop("all").distinct()
@@ -125,5 +126,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The rows, with all columns, whose text holds no benchmark item."""
     found = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     held = Scratch(docs.sparkSession, "contaminated").table(found.select(F.col("text_sha256").alias("__held")).distinct(), "texts")
-    held = _few(held, held.count())
+    held = F.broadcast(held) if held.count() <= MAX_BROADCAST_ROWS // 5 else held
     return docs.join(held, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("__held"), "left_anti")

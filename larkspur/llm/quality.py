@@ -27,9 +27,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import Scratch, ship
 
-BITS, SAMPLE_ROWS, SMOOTHING, COST, ROUNDS, SEED = 18, 6000, 1.0, 1.0, 30, 7
+BITS, SAMPLE_ROWS, SMOOTHING, COST, ROUNDS, SEED, MAX_BROADCAST_ROWS = 18, 6000, 1.0, 1.0, 30, 7, 1_000_000
 BATCH_BYTES = 4 << 20
 
 
@@ -222,23 +222,33 @@ def fit(train: DataFrame, bits: int = BITS, sample_rows: int = SAMPLE_ROWS) -> M
 
 
 def _score(batches: Iterator, model) -> Iterator:
+    """Batches of columns, the last one a text, with the text's score put after them."""
+    import numpy as np
     import pyarrow as pa
 
-    for rest, texts in _batched(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rest], pa.int64()), pa.array(model.value.scores(texts))], names=["id", "score"])
+    for batch in batches:
+        found = [model.value.scores(texts) for _, texts in _batched([batch.select([batch.num_columns - 1])])]
+        scores = pa.array(np.concatenate(found) if found else [], pa.float64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "__score"])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score (0 to 1, higher: label 1 likelier) for each row."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """score (0 to 1, higher: label 1 likelier) for each row, after the columns in carry (by default the id alone)."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda b: _score(b, sent), "id long, score double").withColumnRenamed("id", id_col)
+    carry = [id_col] if carry is None else carry
+    rows = docs.select(*(F.col(c) for c in carry if c != text_col), F.col(text_col))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    scored = rows.mapInArrow(lambda b: _score(b, sent), f"{kinds}, __score double")
+    return scored.select(*carry, F.col("__score").alias("score"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Labelled rows of docs for which keep holds; labels without a class are left out."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = Scratch(docs.sparkSession, "labels").table(known, "known")
+    # Counted to be few, labels are broadcast (12 bytes each) and texts stay where they are; else both sides are shuffled.
+    known = F.broadcast(known) if known.count() <= MAX_BROADCAST_ROWS else known
     return docs.where(keep).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(known, "id")
 
 

@@ -1,5 +1,8 @@
 """Registered queries and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-ENTRY = None
+from . import catalogue_queries, matching_queries
+
+QUERIES = catalogue_queries.QUERIES | matching_queries.QUERIES
+ORACLES = catalogue_queries.ORACLES | matching_queries.ORACLES
+#: The flagship: noisy readings resolved through lattice and catalogue.
+ENTRY = QUERIES["lattice_match_core"]

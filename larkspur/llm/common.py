@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import uuid
 from pathlib import Path
@@ -44,7 +45,11 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         where = f"{self.path}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where)
+        schema = df.schema
+        del df
+        gc.collect()
+        self.spark._jvm.System.gc()  # lets Spark's cleaner remove shuffle files that only finished plans used
+        return self.spark.read.schema(schema).parquet(where)
 
     def drop(self, name: str = "") -> None:
         self._remove(f"{self.path}/{name}" if name else self.path)

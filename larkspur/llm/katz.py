@@ -23,11 +23,12 @@ exchange: a chunk sends each distinct n-gram once, with its training count and
 its lower-level probability, to the part of its context; the part sums the
 counts and keeps its n-grams (the model's partitioned tables); once the counts
 of counts of all parts give the discounts, it replies with counts and alphas in
-the order asked. A context with a large share of all words is spread over parts
+the order asked. Word ids ascend with falling counts, so that ids of contexts
+and words pack into few bytes and a word's count follows from its id. A context with a large share of all words is spread over parts
 by its followers, and its sums are added across parts. Then each chunk evaluates
 its tokens level by level. No task holds more than a chunk or a part, whose
-number grows with the input; the driver holds counts of counts and the sums of
-at most ``8 * parts`` spread contexts.
+number grows with the input; the driver holds the counts that occur (at most the
+root of twice the tokens) and the sums of at most ``8 * parts`` spread contexts.
 
 Edge cases: null text counts as empty, and an empty text is its end token. Null
 ids stay null; their remainder is that of the empty string. Repeated rows are
@@ -46,9 +47,9 @@ from pyspark.sql import functions as F
 from .blobs import pack, pack_floats, pack_sorted, parts_of, raw, unpack, unpack_floats, unpack_sorted
 from .common import Scratch
 
-CHUNK_TOKENS, KEYS_PER_PART, DISCOUNTED, SEED, NO_ID = 1_000_000, 1_500_000, 5, 5, (1 << 63) - 1
-CHUNK = "chunk long, ids binary, held binary, row_tokens binary, vocabulary binary, train binary, tokens binary, words long, n_tokens long"
-#: What a part sends back to a chunk: for level 1 the words' ids and counts; above, counts, ids, and for each context its alpha and C.
+CHUNK_TOKENS, KEYS_PER_PART, DISCOUNTED, SEED, NO_ID = 1_500_000, 3_000_000, 5, 5, (1 << 63) - 1
+CHUNK = "chunk long, ids binary, held binary, row_tokens binary, vocabulary binary, train binary, numbers binary, tokens binary, words long, n_tokens long"
+#: What a part sends back to a chunk: for level 1 the words' ids; above, counts, ids, and for each context its alpha and C.
 REPLY = "chunk long, level long, part long, counts binary, ids binary, alphas binary, totals binary"
 
 
@@ -66,6 +67,91 @@ def discounts(n: list[int], most: int = DISCOUNTED) -> list[float]:
     return []
 
 
+class Plan:
+    """What all chunks and parts know: sizes of the exchanges, the discounts, the words' ids by count, and the spread contexts of each level."""
+
+    def __init__(self, parts: int):
+        self.parts, self.discounts, self.spread, self.offsets, self.borders = {1: parts}, {}, {}, {}, {}
+
+    def level_one(self, histogram: dict[int, tuple[int, int]]) -> None:
+        """histogram: for each count the words that have it, in all and in the part with most of them. At most as many counts as the root of twice the tokens."""
+        import numpy as np
+
+        self.counts = np.array(sorted(histogram, reverse=True), np.int64)
+        self.sizes = np.array([histogram[c][0] for c in self.counts.tolist()], np.int64)
+        widths = np.array([histogram[c][1] for c in self.counts.tolist()], np.int64) * self.parts[1]
+        self.starts = np.cumsum(widths) - widths
+        self.begin = int(widths.sum())  # the begin mark's id follows the words'
+        self.total, self.kinds = int((self.counts * self.sizes).sum()), int(self.sizes.sum())
+        self.discounts[1] = discounts([0, *(histogram.get(r, (0, 0))[0] for r in range(1, DISCOUNTED + 2))])
+        left = sum(r * (1 - d) * histogram[r][0] for r, d in enumerate(self.discounts[1], 1))
+        self.floor = self.total + (not left)
+        self.unknown = (left or 1) / self.floor
+
+    def first_id(self, counts):
+        import numpy as np
+
+        if not len(self.counts):
+            return np.zeros(len(counts), np.int64)
+        return self.starts[np.minimum(np.searchsorted(-self.counts, -counts), len(self.counts) - 1)]
+
+    def word_counts(self, ids):
+        """Training counts of words; 0 for -1."""
+        import numpy as np
+
+        if not len(self.counts):
+            return np.zeros(len(ids), np.int64)
+        return np.where(ids < 0, 0, self.counts[np.searchsorted(self.starts, np.maximum(ids, 0), side="right") - 1])
+
+    def word_p(self, ids):
+        import numpy as np
+
+        counts = self.word_counts(ids)
+        return np.where(counts > 0, self.discount(1, counts) * counts / self.floor, self.unknown)
+
+    def discount(self, level: int, counts):
+        import numpy as np
+
+        table = np.array([1.0, *self.discounts[level]])
+        return np.where(counts < len(table), table[np.minimum(counts, len(table) - 1)], 1.0)
+
+    def deal(self, level: int, parts: int, spread) -> None:
+        """Parts of a level by context: for level 2 ranges of word ids with equal counts, so that neighbours pack well; above, by hash."""
+        import numpy as np
+
+        self.parts[level], self.spread[level] = parts, spread
+        if level == 2 and len(self.counts):
+            least = self.spread_above(parts)
+            weight = np.where(self.counts > least, 0, self.counts * self.sizes)
+            ends = np.cumsum(weight)
+            aims = ends[-1] * np.arange(1, parts) / parts
+            block = np.minimum(np.searchsorted(ends, aims), len(ends) - 1)
+            share = (aims - (ends - weight)[block]) / np.maximum(weight[block], 1)
+            widths = np.diff(np.append(self.starts, self.begin))
+            self.borders[2] = self.starts[block] + (share * widths[block]).astype(np.int64)
+
+    def spread_above(self, parts: int) -> int:
+        """Contexts with more than an eighth of a part's share of all tokens are spread; they are 8 * parts at most."""
+        return max(self.total // (8 * parts), 1000)
+
+    def part_of(self, level: int, context, word):
+        import numpy as np
+
+        by_pair = (_mixed(_mixed(context) ^ _mixed(word + 2)) >> np.uint64(33)) % np.uint64(self.parts[level])
+        if level in self.borders:
+            by_context = np.searchsorted(self.borders[level], context, side="right")
+        else:
+            by_context = (_mixed(context) >> np.uint64(33)) % np.uint64(self.parts[level])
+        return np.where(np.isin(context, self.spread[level]), by_pair.astype(np.int64), by_context.astype(np.int64))
+
+
+def _mixed(x):
+    import numpy as np
+
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _encode(batches: Iterator, chunk_tokens: int) -> Iterator:
     import numpy as np
     import pyarrow as pa
@@ -85,13 +171,10 @@ def _encode(batches: Iterator, chunk_tokens: int) -> Iterator:
         by_hash = np.argsort(hashes)
         rank = np.empty(len(hashes), np.int64)  # frequent words get small numbers, which pack well
         rank[np.argsort(-seen, kind="stable")] = np.arange(len(hashes))
-        place = np.empty(len(hashes), np.int64)
-        place[rank] = np.arange(len(hashes))
-        in_hash_order = rank[by_hash]
-        values = [chunk, raw(ids), raw(held, "u1"), pack(sizes), raw(hashes[by_hash], "<u8") + raw(in_hash_order, "<i8"), pack(train[by_hash]), pack(rank[flat]), len(hashes), len(flat)]
+        values = [chunk, raw(ids), raw(held, "u1"), pack(sizes), raw(hashes[by_hash], "<u8"), pack(train[by_hash]), pack(rank[by_hash]), pack(rank[flat]), len(hashes), len(flat)]
         chunk, vocabulary, ids, held, tokens, n = chunk + 1, {b"": 0}, [], [], [], 0
-        kinds = (pa.int64(), *[pa.binary()] * 6, pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["chunk", "ids", "held", "row_tokens", "vocabulary", "train", "tokens", "words", "n_tokens"])
+        kinds = (pa.int64(), *[pa.binary()] * 7, pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["chunk", "ids", "held", "row_tokens", "vocabulary", "train", "numbers", "tokens", "words", "n_tokens"])
 
     for rows in batches:
         for key, is_held, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):
@@ -107,15 +190,8 @@ def _encode(batches: Iterator, chunk_tokens: int) -> Iterator:
         yield record()
 
 
-def _words(chunk: dict):
-    """Hashes in ascending order and the local number of each."""
-    import numpy as np
-
-    n = chunk["words"]
-    return np.frombuffer(chunk["vocabulary"][: 8 * n], "<u8"), np.frombuffer(chunk["vocabulary"][8 * n :], "<i8")
-
-
 def _edges(hashes, parts: int):
+    """Where each part's range of hashes begins, and the end."""
     import numpy as np
 
     return np.append(np.searchsorted(hashes, np.array([(k << 64) // parts for k in range(parts)], np.uint64)), len(hashes))
@@ -129,28 +205,31 @@ def _table(rows: list[tuple], names: list[str], kinds: list):
 
 
 def _send_words(batches: Iterator, parts: int) -> Iterator:
+    import numpy as np
     import pyarrow as pa
 
     for batch in batches:
         rows = []
         for chunk in batch.to_pylist():
-            hashes, _ = _words(chunk)
+            hashes = np.frombuffer(chunk["vocabulary"], "<u8")
             train, cuts = unpack(chunk["train"]), _edges(hashes, parts)
             rows += [(part, chunk["chunk"], raw(hashes[a:b], "<u8"), pack(train[a:b])) for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
         yield from _table(rows, ["part", "chunk", "keys", "train"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]).to_batches()
 
 
-PART = "part long, model binary, replies array<struct<chunk:long,counts:binary,places:binary>>, histogram array<long>, total long, kinds long, seen long"
+#: A part of a level: its n-grams, the answers it owes, how many n-grams it has and how many of each count (at level 1 all counts, above the small ones).
+PART = "part long, model binary, replies array<struct<chunk:long,counts:binary,places:binary>>, kinds long, histogram array<struct<count:long,n:long>>"
 
 
-def _part_row(part: int, model: bytes, replies: list[dict], counts, distinct: int):
+def _part_row(part: int, model: bytes, replies: list[dict], counts, most: int | None):
     import numpy as np
     import pyarrow as pa
 
-    seen = counts[counts > 0]
-    histogram = np.bincount(seen[seen <= DISCOUNTED + 1], minlength=DISCOUNTED + 2).tolist()
+    value, n = np.unique(counts[counts > 0] if most is None else counts[(counts > 0) & (counts <= most)], return_counts=True)
+    histogram = [{"count": v, "n": k} for v, k in zip(value.tolist(), n.tolist(), strict=True)]
     reply = pa.list_(pa.struct([("chunk", pa.int64()), ("counts", pa.binary()), ("places", pa.binary())]))
-    return _table([(part, model, replies, histogram, int(seen.sum()), distinct, len(seen))], ["part", "model", "replies", "histogram", "total", "kinds", "seen"], [pa.int64(), pa.binary(), reply, pa.list_(pa.int64()), *[pa.int64()] * 3])
+    kinds = [pa.int64(), pa.binary(), reply, pa.int64(), pa.list_(pa.struct([("count", pa.int64()), ("n", pa.int64())]))]
+    return _table([(part, model, replies, len(counts), histogram)], ["part", "model", "replies", "kinds", "histogram"], kinds)
 
 
 def _sum_words(table):
@@ -163,36 +242,37 @@ def _sum_words(table):
     replies, at = [], 0
     for r, own in zip(rows, keys, strict=True):
         mine = place[at : at + len(own)]
-        replies.append({"chunk": r["chunk"], "counts": pack(counts[mine]), "places": pack_sorted(mine)})
+        replies.append({"chunk": r["chunk"], "counts": None, "places": pack_sorted(mine)})
         at += len(own)
-    return _part_row(rows[0]["part"], raw(some, "<u8") + pack(counts), replies, counts, len(some))
+    return _part_row(rows[0]["part"], raw(some, "<u8") + pack(counts), replies, counts, None)
+
+
+def _word_ids(part: dict, plan: Plan):
+    """Ids of a part's words, -1 for those without a training count. Frequent words have small ids, and a word's count follows from its id."""
+    import numpy as np
+
+    counts = unpack(part["model"][8 * part["kinds"] :])
+    order = np.argsort(-counts, kind="stable")
+    ordered = counts[order]
+    new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    rank = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
+    ids = np.empty(len(order), np.int64)
+    ids[order] = plan.first_id(ordered) + rank * plan.parts[1] + part["part"]
+    return np.where(counts > 0, ids, -1), counts
 
 
-def _reply_words(batches: Iterator, offsets: dict[int, int]) -> Iterator:
+def _reply_words(batches: Iterator, plan: Plan) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
         rows = []
         for part in batch.to_pylist():
+            ids, _ = _word_ids(part, plan)
             for r in part["replies"]:
-                rows.append((r["chunk"], 1, part["part"], r["counts"], pack_sorted(unpack_sorted(r["places"]) + offsets[part["part"]]), None, None))
+                rows.append((r["chunk"], 1, part["part"], None, pack(ids[unpack_sorted(r["places"])] + 1), None, None))
         yield from _table(rows, [x.split()[0] for x in REPLY.split(", ")], [pa.int64()] * 3 + [pa.binary()] * 4).to_batches()
 
 
-class Plan:
-    """What all chunks and parts know: sizes of the exchanges, the discounts and the spread contexts of each level."""
-
-    def __init__(self, parts: int):
-        self.parts, self.discounts, self.spread, self.offsets = {1: parts}, {}, {}, {}
-        self.total, self.kinds, self.kinds_seen, self.unknown, self.floor, self.histogram = 0, 0, 0, 1.0, 1, []
-
-    def discount(self, level: int, counts):
-        import numpy as np
-
-        table = np.array([1.0, *self.discounts[level]])
-        return np.where(counts < len(table), table[np.minimum(counts, len(table) - 1)], 1.0)
-
-
 def _pairs(context, word):
     """The distinct pairs in ascending order, each pair's first place, and the place of each input pair among them."""
     import numpy as np
@@ -207,23 +287,6 @@ def _pairs(context, word):
     return order[new], place
 
 
-def _mixed(x):
-    import numpy as np
-
-    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-
-
-def _part_of(plan: Plan, level: int, context, word):
-    """By the context, but by the pair where the context is spread."""
-    import numpy as np
-
-    h = _mixed(context)
-    spread = np.isin(context, plan.spread[level])
-    h = np.where(spread, _mixed(h ^ _mixed(word + 2)), h)
-    return ((h >> np.uint64(33)) % np.uint64(plan.parts[level])).astype(np.int64)
-
-
 class State:
     """A chunk's tokens, evaluated up to a level: word ids (-1: unknown), training counts, log10 probabilities, and each token's context for the next level (-1: not seen)."""
 
@@ -235,17 +298,10 @@ class State:
         tokens = unpack(chunk["tokens"])
         self.first = np.cumsum(self.sizes) - self.sizes
         self.training = np.repeat(~self.held, self.sizes)
-        hashes, numbers = _words(chunk)
-        cuts = _edges(hashes, plan.parts[1])
-        ids, counts = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
-        for r in (r for r in replies if r["level"] == 1):
-            at = numbers[cuts[r["part"]] : cuts[r["part"] + 1]]
-            ids[at], counts[at] = unpack_sorted(r["ids"]), unpack(r["counts"])
-        ids[counts == 0] = -1
-        p = np.where(counts > 0, plan.discount(1, counts) * counts / plan.floor, plan.unknown)
-        self.word, self.count, self.p = ids[tokens], counts[tokens], p[tokens]
-        begin = plan.kinds  # the begin mark's id follows the words'
-        self.context = self._after(self.word, begin)
+        ids = np.empty(chunk["words"], np.int64)  # the parts' answers, in order, are those to the words by hash
+        ids[unpack(chunk["numbers"])] = np.concatenate([unpack(r["ids"]) for r in sorted((r for r in replies if r["level"] == 1), key=lambda r: r["part"])]) - 1
+        self.word, self.count, self.p = ids[tokens], plan.word_counts(ids)[tokens], plan.word_p(ids)[tokens]
+        self.context = self._after(self.word, plan.begin)
         for level in range(2, max((r["level"] for r in replies), default=1) + 1):
             self._climb(level, [r for r in replies if r["level"] == level])
 
@@ -265,7 +321,7 @@ class State:
         asking = np.flatnonzero(self.context >= 0)
         first, place = _pairs(self.context[asking], self.word[asking])
         first = asking[first]
-        part = _part_of(self.plan, level, self.context[first], self.word[first])
+        part = self.plan.part_of(level, self.context[first], self.word[first])
         order = np.argsort(part, kind="stable")  # within a part still by context and word
         where = np.empty(len(order), np.int64)
         where[order] = np.arange(len(order))
@@ -307,7 +363,7 @@ def _send_pairs(chunk_rows, reply_rows, plan: Plan, level: int):
         for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a < b:
                 f = first[a:b]
-                rows.append((part, chunk["chunk"], pack_sorted(s.context[f]), pack(s.word[f] + 1), pack(train[a:b]), pack_floats(s.p[f])))
+                rows.append((part, chunk["chunk"], pack_sorted(s.context[f]), pack(s.word[f] + 1), pack(train[a:b]), pack_floats(s.p[f]) if level > 2 else None))
     return _table(rows, names, kinds)
 
 
@@ -316,6 +372,7 @@ def _sender(plan: Plan, level: int):
 
 
 def _sum_pairs(table):
+    """Counts of a part's pairs; their lower-level probabilities are carried where a word's id doesn't tell them."""
     import numpy as np
 
     rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
@@ -323,33 +380,34 @@ def _sum_pairs(table):
     context, word = np.concatenate(contexts), np.concatenate([unpack(r["words"]) for r in rows]) - 1
     first, place = _pairs(context, word)
     counts = np.bincount(place, np.concatenate([unpack(r["train"]) for r in rows]), len(first)).astype(np.int64)
-    lower = np.concatenate([unpack_floats(r["lower"]) for r in rows])[first]
+    lower = np.concatenate([unpack_floats(r["lower"]) for r in rows])[first] if rows[0]["lower"] is not None else None
     context, word = context[first], word[first]
     replies, at = [], 0
     for r, own in zip(rows, contexts, strict=True):
         mine = place[at : at + len(own)]
         replies.append({"chunk": r["chunk"], "counts": pack(counts[mine]), "places": pack_sorted(mine)})
         at += len(own)
-    blobs = [pack_sorted(context), pack(word + 1), pack(counts), pack_floats(lower)]
+    blobs = [pack_sorted(context), pack(word + 1), pack(counts), pack_floats(lower) if lower is not None else b""]
     model = raw([len(b) for b in blobs]) + b"".join(blobs)
-    return _part_row(rows[0]["part"], model, replies, counts, len(first))
+    return _part_row(rows[0]["part"], model, replies, counts, DISCOUNTED + 1)
 
 
-def _open_model(model: bytes):
+def _open_model(model: bytes, plan: Plan):
     """context, word, count and lower-level probability of a part's pairs, in ascending order."""
     import numpy as np
 
     sizes = np.frombuffer(model[:32], "<i8").tolist()
     ends = np.cumsum([32, *sizes]).tolist()
     a, b, c, d = (model[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True))
-    return unpack_sorted(a), unpack(b) - 1, unpack(c), unpack_floats(d)
+    word = unpack(b) - 1
+    return unpack_sorted(a), word, unpack(c), unpack_floats(d) if d else plan.word_p(word)
 
 
 def _context_sums(plan: Plan, level: int, model: bytes):
     """Per context: id, C, discounted count, lower-level probability of the seen; and each pair's context place."""
     import numpy as np
 
-    context, _, counts, lower = _open_model(model)
+    context, _, counts, lower = _open_model(model, plan)
     new = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
     seen = counts > 0
     kept = plan.discount(level, counts) * counts
@@ -398,7 +456,7 @@ def _evaluate(chunk_rows, reply_rows, plan: Plan):
     for chunk in chunk_rows.to_pylist():
         s = State(chunk, reply_rows.to_pylist(), plan)
         total = lambda x, s=s: np.add.reduceat(x, s.first)
-        base = np.log10((s.count + 1) / (plan.total + plan.kinds_seen + 1))
+        base = np.log10((s.count + 1) / (plan.total + plan.kinds + 1))
         ids = pa.array(s.ids, pa.int64(), mask=s.ids == NO_ID)
         found.append(pa.Table.from_arrays([ids, pa.array(s.held), pa.array(s.sizes), pa.array(total((s.count > 0).astype(np.int64))), pa.array(np.full(len(s.ids), plan.total)), pa.array(total(base)), pa.array(total(np.log10(s.p)))], names=names))
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -416,61 +474,62 @@ def score_corpus(docs: DataFrame, held_out, order: int = 2, id_col: str = "doc_i
 
     plan = Plan(parts_of(size["words"] or 0, KEYS_PER_PART, least))
     parts = plan.parts[1]
-    sent = chunks.select("chunk", "vocabulary", "train", "words").mapInArrow(lambda b: _send_words(b, parts), "part long, chunk long, keys binary, train binary")
+    sent = chunks.select("chunk", "vocabulary", "train").mapInArrow(lambda b: _send_words(b, parts), "part long, chunk long, keys binary, train binary")
     model = scratch.table(sent.repartition(parts, "part").groupBy("part").applyInArrow(_sum_words, PART), "ngrams1")
-    stats = _gather(model, plan, 1)
-    plan.total, plan.kinds = sum(s["total"] for s in stats), sum(s["kinds"] for s in stats)
-    plan.kinds_seen = sum(s["seen"] for s in stats)
-    left = [r * (1 - d) * n for r, (d, n) in enumerate(zip(plan.discounts[1], plan.histogram[1:], strict=False), 1)]
-    plan.floor = plan.total + (not left)
-    plan.unknown = (sum(left) if left else 1) / plan.floor
-    offsets = plan.offsets[1]
-    replies = scratch.table(model.select("part", "replies").mapInArrow(lambda b: _reply_words(b, offsets), REPLY), "replies1")
+    counted = model.select(F.inline("histogram")).groupBy("count").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    plan.level_one({r["count"]: (r["n"], r["most"]) for r in counted.collect()})
+    replies = scratch.table(model.select("part", "model", "kinds", "replies").mapInArrow(lambda b: _reply_words(b, plan), REPLY), "replies1")
+    chunks = chunks.drop("vocabulary", "train")
 
     for level in range(2, order + 1):
-        plan.parts[level] = parts_of(size["tokens"] or 0, KEYS_PER_PART, least)
-        plan.spread[level] = _spread(model, plan, level)
+        parts = parts_of(size["tokens"] or 0, KEYS_PER_PART, least)
+        plan.deal(level, parts, _spread(model, plan, level, parts))
         sent = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_sender(plan, level), "part long, chunk long, contexts binary, words binary, train binary, lower binary")
-        model = scratch.table(sent.repartition(plan.parts[level], "part").groupBy("part").applyInArrow(_sum_pairs, PART), f"ngrams{level}")
-        _gather(model, plan, level)
-        sums = model.select("model").mapInArrow(lambda b, level=level: _spread_sums(b, plan, level), "context long, total long, kept double, lower double")
-        sums = sums.groupBy("context").agg(F.sum("total").alias("total"), F.sum("kept").alias("kept"), F.sum("lower").alias("lower"))
-        spread = {r["context"]: (r["total"], r["kept"], r["lower"]) for r in sums.collect()} if len(plan.spread[level]) else {}
-        more = level < order
-        answered = model.select("part", "model", "replies").mapInArrow(lambda b, level=level, spread=spread, more=more: _reply_pairs(b, plan, level, spread, more), REPLY)
+        model = scratch.table(sent.repartition(parts, "part").groupBy("part").applyInArrow(_sum_pairs, PART), f"ngrams{level}")
+        counted = model.select(F.inline("histogram")).groupBy("count").agg(F.sum("n").alias("n"))
+        n = {r["count"]: r["n"] for r in counted.collect()}
+        plan.discounts[level] = discounts([0, *(n.get(r, 0) for r in range(1, DISCOUNTED + 2))])
+        at, plan.offsets[level] = 0, {}
+        for r in model.select("part", "kinds").orderBy("part").collect():  # one small row for each part
+            plan.offsets[level][r["part"]] = at
+            at += r["kinds"]
+        spread = _spread_totals(model, plan, level)
+        answered = model.select("part", "model", "replies").mapInArrow(_replier(plan, level, spread, level < order), REPLY)
         replies = replies.unionByName(scratch.table(answered, f"replies{level}"))
 
     scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lambda a, b: _evaluate(a, b, plan), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumnRenamed("id", id_col)
 
 
-def _gather(model: DataFrame, plan: Plan, level: int) -> list[dict]:
-    """Counts of counts over all parts, which give the discounts; and where each part's ids begin. One small row per part."""
-    stats = [r.asDict() for r in model.select("part", "histogram", "total", "kinds", "seen").collect()]
-    plan.histogram = [sum(s["histogram"][r] for s in stats) for r in range(DISCOUNTED + 2)] if stats else [0] * (DISCOUNTED + 2)
-    plan.discounts[level] = discounts(plan.histogram)
-    at, plan.offsets[level] = 0, {}
-    for s in sorted(stats, key=lambda s: s["part"]):
-        plan.offsets[level][s["part"]] = at
-        at += s["kinds"]
-    return stats
+def _replier(plan: Plan, level: int, spread: dict[int, tuple], more: bool):
+    return lambda batches: _reply_pairs(batches, plan, level, spread, more)
+
 
+def _spread_totals(model: DataFrame, plan: Plan, level: int) -> dict[int, tuple]:
+    """Sums of the spread contexts over all parts."""
+    sums = model.select("model").mapInArrow(lambda b: _spread_sums(b, plan, level), "context long, total long, kept double, lower double")
+    sums = sums.groupBy("context").agg(F.sum("total").alias("total"), F.sum("kept").alias("kept"), F.sum("lower").alias("lower"))
+    return {r["context"]: (r["total"], r["kept"], r["lower"]) for r in sums.collect()}
 
-def _spread(model: DataFrame, plan: Plan, level: int):
-    """Ids of the n-grams whose count is over an eighth of a part's share of all tokens."""
+
+def _spread(model: DataFrame, plan: Plan, level: int, parts: int):
+    """Ids of the n-grams, contexts of this level, that are to be spread."""
     import numpy as np
 
-    least = max(plan.total // (8 * plan.parts[level]), 1000)
-    offsets = plan.offsets[level - 1]
-    begin = [plan.kinds] if level == 2 else []  # the begin mark, whose count is that of the training rows
+    least = plan.spread_above(parts)
 
     def large(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for part in batch.to_pylist():
-                counts = unpack(part["model"][8 * part["kinds"] :]) if level == 2 else _open_model(part["model"])[2]
-                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts > least) + offsets[part["part"]])], names=["id"])
-
-    found = [r["id"] for r in model.select("part", "model", "kinds").mapInArrow(large, "id long").collect()]  # at most 8 * parts
+                if level == 2:
+                    ids, counts = _word_ids(part, plan)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[counts > least])], names=["id"])
+                else:
+                    counts = _open_model(part["model"], plan)[2]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts > least) + plan.offsets[level - 1][part["part"]])], names=["id"])
+
+    found = [r["id"] for r in model.select("part", "model", "kinds").mapInArrow(large, "id long").collect()]
+    begin = [plan.begin] if level == 2 else []  # the begin mark's count is that of the training rows
     return np.array(sorted(found) + begin, np.int64)

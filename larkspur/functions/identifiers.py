@@ -82,9 +82,12 @@ def fix_digits(x: Column) -> Column:
 def normalize_code(x: Column) -> Column:
     """Upper case, no spaces, plain dashes, and digits for their lookalikes after the last dash."""
     plain = F.translate(F.replace(F.upper(x), F.lit(" "), F.lit("")), "_—–", "---")
-    tail = F.substring_index(plain, "-", -1)
-    head = F.substr(plain, F.lit(1), F.length(plain) - F.length(tail))
-    return F.when(plain.contains("-"), F.concat(head, fix_digits(tail))).otherwise(plain)
+
+    def fixed(p: Column) -> Column:
+        tail = F.substring_index(p, "-", -1)
+        return F.when(p.contains("-"), F.concat(F.substr(p, F.lit(1), F.length(p) - F.length(tail)), fix_digits(tail))).otherwise(p)
+
+    return F.get(F.transform(F.array(plain), fixed), F.lit(0))  # the plain text is computed once
 
 
 def extract_code(raw: Column) -> Column:

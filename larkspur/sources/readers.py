@@ -25,7 +25,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_catalogue(spark: SparkSession, path: str, schema: T.StructType = CATALOGUE, keep_blank: bool = False) -> DataFrame:
+def read_catalogue(spark: SparkSession, path: str, schema: T.StructType = CATALOGUE, pattern: str = "*.json") -> DataFrame:
     """All JSON files under a folder: an array or one object each; names in any case or snake case.
 
     Files that don't parse, and those whose root is neither, give no rows; rows
@@ -35,7 +35,7 @@ def read_catalogue(spark: SparkSession, path: str, schema: T.StructType = CATALO
     names = {f.name.replace("_", ""): f.name for f in schema.fields}
     if not _exists(spark, path):
         return spark.createDataFrame([], schema).withColumn("json_file", F.lit(None).cast("string"))
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path).select("value", F.col("_metadata.file_path").alias("json_file"))
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_path").alias("json_file"))
     root = F.trim("value")
     as_list = F.when(root.startswith("["), root).when(root.startswith("{"), F.concat(F.lit("["), root, F.lit("]")))
     rows = files.select("json_file", F.posexplode(F.from_json(as_list, "array<map<string,string>>", {"mode": "PERMISSIVE"})).alias("at", "row"))
@@ -43,8 +43,7 @@ def read_catalogue(spark: SparkSession, path: str, schema: T.StructType = CATALO
     rows = rows.withColumn("row", plain)
     value = lambda f: F.from_json(F.try_element_at("row", F.lit(f.name.replace("_", ""))), f.dataType.simpleString()) if isinstance(f.dataType, T.ArrayType) else F.try_element_at("row", F.lit(f.name.replace("_", ""))).cast(f.dataType)
     out = rows.select(*(value(f).alias(names[f.name.replace("_", "")]) for f in schema.fields), "json_file", "at")
-    ordered = out if keep_blank else out.where(~blank(F.col("id")))
-    return ordered.drop("at")
+    return out.where(~blank(F.col("id"))).drop("at")
 
 
 def list_files(spark: SparkSession, path: str, types: tuple[str, ...] = IMAGE_TYPES, recursive: bool = True) -> DataFrame:

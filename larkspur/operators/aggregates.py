@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import UNKNOWN, blank, key, known_number
@@ -67,13 +68,10 @@ def bounding_box(x: Column, y: Column, w: Column, h: Column) -> list[Column]:
 def outcome_counts(df: DataFrame, outcome: Column) -> DataFrame:
     """Runs by outcome, and their share."""
     counted = df.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return counted.join(F.broadcast(total)).withColumn("share", F.when(F.col("total") > 0, F.col("n") * 100.0 / F.col("total")).otherwise(0.0)).drop("total")
+    return counted.withColumn("share", F.col("n") * 100.0 / F.sum("n").over(W.partitionBy()))  # one row per outcome
 
 
 def capped_per_class(df: DataFrame, class_col: str, order: list[str], existing: Column, most: int = 200) -> DataFrame:
     """New rows that fit under a class's cap, after those that exist."""
-    from pyspark.sql import Window as W
-
     ranked = df.withColumn("__rank", F.row_number().over(W.partitionBy(class_col).orderBy(*order)))
     return ranked.where(F.col("__rank") + existing <= most).drop("__rank")

@@ -11,8 +11,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 
 IMAGE = "id string, width int, height int, pixels binary"
-#: Relative crops (name, left, top, width, height) of a card's number and rarity.
-CROPS = (("tight", 0.72, 0.925, 0.20, 0.045), ("normal", 0.66, 0.905, 0.30, 0.075), ("wide", 0.55, 0.88, 0.43, 0.11))
+#: Relative crops (name, left, top, width, height) of a card's number, from its final place and coarse ones.
+CROPS = (("tight", 0.770, 0.952, 0.155, 0.027), ("normal", 0.745, 0.944, 0.190, 0.038), ("wide", 0.715, 0.936, 0.225, 0.050))
+COARSE_CROPS = (("0", 0.56, 0.875, 0.39, 0.105), ("1", 0.60, 0.895, 0.35, 0.085), ("2", 0.64, 0.915, 0.31, 0.065), ("3", 0.60, 0.855, 0.35, 0.085), ("4", 0.67, 0.885, 0.28, 0.080))
 GLYPH_WIDTH, GLYPH_HEIGHT = 40, 56
 
 
@@ -121,6 +122,66 @@ def components(image) -> list[tuple[int, int, int, int]]:
     return sorted((p[0], p[1], p[2] - p[0], p[3] - p[1]) for k, p in enumerate(boxes) if find(k) == k)
 
 
+def _union(boxes: list[tuple[int, int, int, int]]) -> tuple[int, int, int, int]:
+    x, y = min(b[0] for b in boxes), min(b[1] for b in boxes)
+    return x, y, max(b[0] + b[2] for b in boxes) - x, max(b[1] + b[3] for b in boxes) - y
+
+
+def text_rows(boxes: list[tuple[int, int, int, int]], least: int = 3) -> list[list[tuple[int, int, int, int]]]:
+    """Components dealt into rows from the top: each joins the row of fitting height and centre that it overlaps most, or begins one. Rows of a few components are left out."""
+    from statistics import median
+
+    rows: list[list[tuple[int, int, int, int]]] = []
+    for box in sorted(boxes, key=lambda b: b[1]):
+        best, share = None, 0.0
+        for row in rows:
+            _, y, _, h = _union(row)
+            m = median(b[3] for b in row)
+            overlap = (min(y + h, box[1] + box[3]) - max(y, box[1])) / max(1, min(h, box[3]))
+            centred = abs(y + h / 2 - box[1] - box[3] / 2) <= max(h, m) * 0.72
+            if 0.28 <= box[3] / max(1.0, m) <= 2.40 and centred and overlap > share:
+                best, share = row, overlap
+        if best is not None and share >= 0.35:
+            best.append(box)
+        else:
+            rows.append([box])
+    return [row for row in rows if len(row) >= least]
+
+
+def row_regions(row: list[tuple[int, int, int, int]], characters: int, width: int, height: int, paddings: tuple = ((0.16, 3, 0.30, 5), (0.22, 4, 0.62, 10))) -> list[tuple[int, int, int, int]]:
+    """Regions around runs of about so many neighbours of a row, each with narrow and generous padding, clipped to the image."""
+    from statistics import median
+
+    row, out = sorted(row), []
+    for size in range(max(3, characters - 1), min(len(row), characters + 2) + 1):
+        for k in range(len(row) - size + 1):
+            run = row[k : k + size]
+            x, y, w, h = _union(run)
+            m = median(b[3] for b in run)
+            for left, least_left, right, least_right in paddings:
+                dx, dw, dy = max(least_left, round(m * left)), max(least_right, round(m * right)), max(4, round(m * 0.18))
+                x0, y0 = max(0, x - dx), max(0, y - dy)
+                out.append((x0, y0, min(width, x + w + dw) - x0, min(height, y + h + dy) - y0))
+    return out
+
+
+def has_star(image, light: int = 205) -> bool:
+    """Whether a light component of a star's size, shape and raggedness is there."""
+    import numpy as np
+
+    ink = image > light
+    for x, y, w, h in components(np.where(ink, 255, 0).astype(np.uint8)) if ink.any() else []:
+        part = ink[y : y + h, x : x + w]
+        area = int(part.sum())
+        if not (20 <= area <= 900 and min(w, h) >= 5 and 0.55 <= w / h <= 1.65):
+            continue
+        padded = np.pad(part, 1).astype(int)
+        edge = int(np.abs(np.diff(padded, axis=0)).sum() + np.abs(np.diff(padded, axis=1)).sum()) * np.pi / 4
+        if 0.12 <= 4 * np.pi * area / edge**2 <= 0.72:
+            return True
+    return False
+
+
 def split_places(ink, parts: int) -> list[int]:
     """Columns at which a wide segment is cut: the lightest, near equal parts."""
     import numpy as np
@@ -170,18 +231,29 @@ def map_values(images: DataFrame, function: Callable, kind: str) -> DataFrame:
     return images.select("id", "width", "height", "pixels").mapInPandas(run, f"id string, value {kind}")
 
 
-def crops(images: DataFrame) -> DataFrame:
-    """The fixed relative crops of each image, as id/name."""
+def upright(image):
+    """Turned by a quarter if wider than high."""
+    import numpy as np
+
+    return image if image.shape[0] >= image.shape[1] else np.rot90(image, -1)
+
+
+def crops(images: DataFrame, places: tuple = CROPS) -> DataFrame:
+    """Fixed relative crops of each image set upright, as id/name; crops under five pixels are left out."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for key, image in _images(batches, lambda x: x):
+            image = upright(image)
             h, w = image.shape
             rows = []
-            for name, x, y, dw, dh in CROPS:
-                cut = image[int(h * y) : min(h, int(h * (y + dh)) + 1), int(w * x) : min(w, int(w * (x + dw)) + 1)]
-                rows.append((f"{key}/{name}", cut.shape[1], cut.shape[0], cut.tobytes()))
+            for name, x, y, dw, dh in places:
+                cut = image[int(h * y) : int(h * y) + int(h * dh), int(w * x) : int(w * x) + int(w * dw)]
+                if min(cut.shape) >= 5:
+                    rows.append((f"{key}/{name}", cut.shape[1], cut.shape[0], cut.tobytes()))
+            if not rows:
+                continue
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["id", "width", "height", "pixels"])
 

@@ -91,22 +91,39 @@ def _nearby(texts: DataFrame, numbers: DataFrame, on: Column) -> DataFrame:
     return texts.join(F.broadcast(numbers) if few else numbers, on)
 
 
+def _dropped(x: str) -> Column:
+    """A text and its forms without one character. Two texts within one edit share a form."""
+    n = F.length(x)
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.concat(F.array(F.col(x)), F.transform(places, lambda i: F.concat(F.substr(F.col(x), F.lit(1), i - 1), F.substr(F.col(x), i + 1)))))
+
+
 def nearest_number(queries: DataFrame, numbers: DataFrame, query_col: str = "code") -> DataFrame:
     """Each query with the known number of the least edit distance, then length difference, then order: number, distance and similarity.
 
-    Distinct texts are resolved once; those that are known numbers by equality.
+    Distinct texts are resolved once: known numbers by equality, texts one edit
+    from a number by an equi-join on their forms with a character dropped, and
+    only the rest against all numbers.
     """
     texts = queries.select(key(F.col(query_col)).alias("__text")).where(~blank(F.col("__text"))).distinct()
     exact = texts.join(numbers, F.col("__text") == F.col("number"), "left_semi").select("__text", F.col("__text").alias("number"), F.lit(0).alias("distance"))
     rest = texts.join(numbers, F.col("__text") == F.col("number"), "left_anti")
-    scored = _nearby(rest, numbers, F.lit(True)).withColumn("d", F.levenshtein("__text", "number"))
-    best = scored.groupBy("__text").agg(F.min(F.struct("d", F.abs(F.length("number") - F.length("__text")).alias("off"), "number")).alias("best"))
-    found = exact.unionByName(best.select("__text", F.col("best.number").alias("number"), F.col("best.d").alias("distance")))
+    forms = numbers.select("number", F.explode(_dropped("number")).alias("__form"))
+    one = rest.withColumn("__form", F.explode(_dropped("__text"))).join(forms, "__form").select("__text", "number").distinct()
+    one = _closest(one.where(F.levenshtein("__text", "number") == 1))
+    far = _closest(_nearby(rest.join(one, "__text", "left_anti"), numbers, F.lit(True)))
+    found = exact.unionByName(one).unionByName(far)
     longest = F.greatest(F.length("__text"), F.length("number"))
     found = found.withColumn("similarity", F.greatest(F.lit(0.0), 100.0 * (1 - F.col("distance") / longest)))
     return queries.join(found, key(F.col(query_col)) == F.col("__text")).drop("__text")
 
 
+def _closest(pairs: DataFrame) -> DataFrame:
+    scored = pairs.withColumn("d", F.levenshtein("__text", "number"))
+    best = scored.groupBy("__text").agg(F.min(F.struct("d", F.abs(F.length("number") - F.length("__text")).alias("off"), "number")).alias("best"))
+    return best.select("__text", F.col("best.number").alias("number"), F.col("best.d").alias("distance"))
+
+
 def correct_codes(queries: DataFrame, catalogue: DataFrame, query_col: str = "code") -> DataFrame:
     """corrected: the normalised query if it is an id; else the only id of its set within one edit; else the normalised query.
 

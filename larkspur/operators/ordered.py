@@ -93,3 +93,32 @@ def two_cuts(df: DataFrame, by: list[str], place: str, cost: str, apart: int = 4
     pairs = F.flatten(F.transform("all", lambda a: F.transform(F.filter("all", lambda b: b["p"] - a["p"] >= apart), lambda b: F.struct((a["c"] + b["c"]).alias("cost"), a["p"].alias("first"), b["p"].alias("second")))))
     best = F.array_min(pairs)
     return listed.select(*by, best["first"].alias("first"), best["second"].alias("second"), best["cost"].alias("cost"))
+
+
+def ranked_regions(regions: DataFrame, by: list[str], score: str, most: int) -> DataFrame:
+    """Regions by score, then the smaller area; the first ones of each image."""
+    w = W.partitionBy(*by).orderBy(F.desc(score), F.col("w") * F.col("h"), "x", "y")
+    return regions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def ranked_hypotheses(hypotheses: DataFrame, by: list[str], score: str, count: str, tie: list[str], most: int, usual: int = 8) -> DataFrame:
+    """Segmentations by score, then how near their count is to the usual one; the first ones of each image."""
+    w = W.partitionBy(*by).orderBy(F.desc(score), F.abs(F.col(count) - usual), *tie)
+    return hypotheses.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def window_bonus(items: int | Column, size: Column, dashed: Column) -> Column:
+    """What a run gains by a plausible dash and loses for each component left out."""
+    return F.when(dashed, 14.0).otherwise(-12.0) - (items - size) * 1.5
+
+
+def harvested(candidates: DataFrame, label: str, order: str, count: str) -> DataFrame:
+    """Per label the first candidate with as many segments as the label has characters; its rows are accepted. Labels without one give no row."""
+    fits = candidates.where(F.col(count) == F.length(label))
+    return fits.withColumn("__first", F.row_number().over(W.partitionBy(label).orderBy(order))).where("__first = 1").drop("__first")
+
+
+def best_region(regions: DataFrame, by: list[str], difference: str, score: str, tie: str) -> DataFrame:
+    """Per image the region with the least length difference, then the highest score."""
+    w = W.partitionBy(*by).orderBy(difference, F.desc(score), tie)
+    return regions.withColumn("__first", F.row_number().over(w)).where("__first = 1").drop("__first")

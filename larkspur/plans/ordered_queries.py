@@ -72,6 +72,47 @@ def segmentation_scores(spark, sf_dir):
     return rows.select("l_orderkey", F.round(geometry.segmentation_score(F.col("rects"), F.lit(110)), 6).alias("geometry"), F.round(geometry.sequence_score(F.col("rects"), F.lit(0), F.lit(8.0)), 6).alias("sequence"), F.round(geometry.discarded_score(F.col("rects"), F.lit(1), F.lit(2), first["h"].cast("double")), 6).alias("discarded"))
 
 
+def region_ranking(spark, sf_dir):
+    rows = _boxes(spark, sf_dir).withColumn("score", (F.col("w") + F.col("h")).cast("double"))
+    return ordered.ranked_regions(rows.select("l_orderkey", "x", "y", "w", "h", "score").distinct(), ["l_orderkey"], "score", 3).select("l_orderkey", "x", "y", "w", "h", "rank")
+
+
+def _characters():
+    return F.filter(F.split("code", ""), lambda c: c != "")
+
+
+def hypothesis_ranking(spark, sf_dir):
+    """Format windows of each text and the whole text, ranked by bonus."""
+    texts = observations(spark, sf_dir).select("code").distinct().withColumn("n", F.length("code"))
+    cut = texts.select("code", "n", F.explode(ordered.format_windows(_characters())).alias("w"))
+    windows = cut.select("code", F.col("w.start").alias("start"), F.col("w.size").alias("size"), ordered.window_bonus(F.col("n"), F.col("w.size"), F.get("w.items", F.col("w.dash")) == "-").alias("score"))
+    whole = texts.select("code", F.lit(-1).alias("start"), F.col("n").alias("size"), F.lit(0.0).alias("score"))
+    return ordered.ranked_hypotheses(windows.unionByName(whole), ["code"], "score", "size", ["start", "size"], 5).select("code", "start", "size", F.round("score", 6).alias("score"), "rank")
+
+
+def _candidates(spark, sf_dir):
+    return observations(spark, sf_dir).select("pos", "expected", "code", F.length("code").alias("segments"))
+
+
+def template_harvest(spark, sf_dir):
+    """Characters of accepted candidates, at most so many of each."""
+    accepted = ordered.harvested(_candidates(spark, sf_dir), "expected", "pos", "segments")
+    letters = accepted.select("expected", F.posexplode(F.filter(F.split("expected", ""), lambda c: c != "")).alias("place", "letter"))
+    return aggregates.capped_per_class(letters, "letter", ["expected", "place"], F.lit(0), most=20)
+
+
+def best_debug_region(spark, sf_dir):
+    rows = _candidates(spark, sf_dir).withColumn("difference", F.abs(F.col("segments") - F.length("expected"))).withColumn("score", F.col("pos") % 89)
+    return ordered.best_region(rows, ["expected"], "difference", "score", "pos").select("expected", "pos", "difference", "score")
+
+
+def benchmark_cards(spark, sf_dir):
+    """Labelled images by their expected number: the shortest raw id, the images and their number."""
+    paths = catalogue(spark, sf_dir).select("pos", F.concat(F.lit("/scans/"), F.col("id"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit("_c"), F.col("pos").cast("string"))).otherwise(""), F.lit(".png")).alias("path"))
+    raw = paths.withColumn("raw", identifiers.strip_copy_suffix(identifiers.file_stem(F.col("path")))).withColumn("expected", identifiers.known_number(F.col("raw"))).where(~identifiers.blank(F.col("expected")))
+    return raw.groupBy("expected").agg(F.min(F.struct(F.length("raw").alias("l"), "pos", "raw")).alias("s"), F.countDistinct(F.upper("path")).alias("images")).select("expected", F.col("s.raw").alias("display_id"), "images")
+
+
 def _events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
 
@@ -194,7 +235,7 @@ def known_by_prefix(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (median_exact, median_upper, bounding_box, component_predicates, region_scores, neighbour_iou, merged_rows, iou_suppression, segmentation_scores, centered_mean, running_max, adjacent_gap, rank_labels, score_margins, sliding_windows, format_windows, interleave_dedup, distinct_first, seeded_sample, pick_untrained, cut_places, class_topk_mean, class_quality, class_statistics, most_similar_templates, nearest_variant, greedy_reading, ink_prefilter, prefix_counts, known_by_prefix)
+    for f in (median_exact, median_upper, bounding_box, component_predicates, region_scores, neighbour_iou, merged_rows, iou_suppression, segmentation_scores, region_ranking, hypothesis_ranking, template_harvest, best_debug_region, benchmark_cards, centered_mean, running_max, adjacent_gap, rank_labels, score_margins, sliding_windows, format_windows, interleave_dedup, distinct_first, seeded_sample, pick_untrained, cut_places, class_topk_mean, class_quality, class_statistics, most_similar_templates, nearest_variant, greedy_reading, ink_prefilter, prefix_counts, known_by_prefix)
 }
 
 _USER = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
@@ -220,6 +261,19 @@ ORACLES = {
     "neighbour_iou": f"""WITH {BOXES}, p AS (SELECT *, lead(y) OVER z AS y2, lead(w) OVER z AS w2, lead(h) OVER z AS h2 FROM boxes WINDOW z AS (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y, w, h)),
         i AS (SELECT *, least(w, w2) AS iw, least(y + h, y2 + h2) - greatest(y, y2) AS ih FROM p WHERE y2 IS NOT NULL)
         SELECT l_orderkey, l_linenumber, x, round(CASE WHEN iw <= 0 OR ih <= 0 THEN 0.0 ELSE (iw * ih)::DOUBLE / (w * h + w2 * h2 - iw * ih) END, 6)::DOUBLE AS iou FROM i""",
+    "region_ranking": f"""WITH {BOXES}, d AS (SELECT DISTINCT l_orderkey, x, y, w, h FROM boxes)
+        SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY w + h DESC, w * h, x, y) AS INTEGER) AS rank FROM d QUALIFY rank <= 3""",
+    "hypothesis_ranking": f"""{BASE}, c AS (SELECT DISTINCT code, length(code) AS n FROM observations), s AS (SELECT code, n, unnest([5, 8, 9]) AS size, unnest([1, 4, 5]) AS dash FROM c),
+        w AS (SELECT *, unnest(range(0, n - size + 1)) AS start FROM s WHERE size <= n),
+        h AS (SELECT code, CAST(start AS INTEGER) AS start, CAST(size AS INTEGER) AS size, (CASE WHEN substr(code, start + dash + 1, 1) = '-' THEN 14.0 ELSE -12.0 END - (n - size) * 1.5)::DOUBLE AS score FROM w
+            UNION ALL SELECT code, -1, CAST(n AS INTEGER), 0.0::DOUBLE FROM c)
+        SELECT code, start, size, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY code ORDER BY score DESC, abs(size - 8), start, size) AS INTEGER) AS rank FROM h QUALIFY rank <= 5""",
+    "template_harvest": f"""{BASE}, a AS (SELECT DISTINCT expected FROM observations WHERE length(code) = length(expected)), l AS (SELECT expected, unnest(range(0, length(expected))) AS place FROM a)
+        SELECT expected, CAST(place AS INTEGER) AS place, substr(expected, place + 1, 1) AS letter FROM l QUALIFY row_number() OVER (PARTITION BY substr(expected, place + 1, 1) ORDER BY expected, place) <= 20""",
+    "best_debug_region": f"""{BASE}, r AS (SELECT pos, expected, CAST(abs(length(code) - length(expected)) AS INTEGER) AS difference, pos % 89 AS score FROM observations)
+        SELECT expected, pos, difference, score FROM r QUALIFY row_number() OVER (PARTITION BY expected ORDER BY difference, score DESC, pos) = 1""",
+    "benchmark_cards": f"""{BASE}, n AS (SELECT pos, id AS raw, upper(split_part(id, '_', 1)) AS expected, '/scans/' || id || CASE WHEN pos % 2 = 0 THEN '_c' || pos ELSE '' END AS path FROM catalogue)
+        SELECT expected, arg_min(raw, length(raw) * 1000000 + pos) AS display_id, count(DISTINCT upper(path)) AS images FROM n GROUP BY 1""",
     "centered_mean": f"SELECT event_id, round(avg(value) {_USER} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS one, round(avg(value) {_USER} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS two FROM events",
     "running_max": f"SELECT event_id, max(value) {_USER} ROWS UNBOUNDED PRECEDING) AS peak FROM events",
     "adjacent_gap": f"SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) {_USER}) AS gap FROM events",

@@ -137,5 +137,14 @@ def test_images(spark):
     assert images.split_places(ink, 2)[0] in (9, 10, 11)
     df = spark.createDataFrame([("a", 60, 30, bytearray(image.tobytes()))], images.IMAGE)
     assert images.map_images(df, images.glyph).first().height == 56
-    assert images.crops(df).count() == len(images.CROPS)
+    assert images.crops(df).count() == 0  # too small to crop
+    wide = spark.createDataFrame([("b", 1039, 744, bytearray(1039 * 744))], images.IMAGE)
+    assert {(r.id, r.width, r.height) for r in images.crops(wide).collect()} == {("b/tight", 115, 28), ("b/normal", 141, 39), ("b/wide", 167, 51)}
+    assert images.crops(wide, images.COARSE_CROPS).count() == 5
+    rows = images.text_rows([(0, 0, 5, 10), (8, 1, 5, 10), (16, 0, 5, 9), (0, 40, 5, 10), (8, 41, 5, 10)])
+    assert rows == [[(0, 0, 5, 10), (16, 0, 5, 9), (8, 1, 5, 10)]]
+    assert images.row_regions(rows[0], 3, 100, 50) == [(0, 0, 26, 15), (0, 0, 31, 15)]
+    y, x = np.mgrid[-20:20, -20:20]
+    star = np.where(np.hypot(x, y) < 8 + 5 * np.cos(5 * np.arctan2(y, x)), 255, 0).astype(np.uint8)
+    assert images.has_star(star) and not images.has_star(np.zeros((40, 40), np.uint8))
     assert images.map_values(df, images.signature, "string").first().value == images.signature(image)

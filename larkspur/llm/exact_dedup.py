@@ -71,7 +71,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         open_, k = lists.where("size(parts) > 1"), k + 1
 
     groups = done.join(firsts.select("uid", "id"), "uid").withColumn("key", F.struct(F.col("id").isNull().alias("none"), "id", "uid"))
-    kept = groups.groupBy("n_blocks", "name").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that both sides of the join are plain exchanges and a large group can be split.
+    kept = scratch.table(groups.groupBy("n_blocks", "name").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
     member = groups.select("uid", "n_blocks", "name").join(kept, ["n_blocks", "name"]).select("uid", F.col("first.id").alias("keep_id"), F.col("first.uid").alias("keep_uid"), "group_size", F.lit(True).alias("grouped"))
     return firsts.join(member, "uid", "left").select(
         F.col("id").alias(id_col),

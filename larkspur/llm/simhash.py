@@ -11,18 +11,20 @@ pairs with a larger maximum coordinate difference are discarded and survivors
 verified.
 
 Two families of pivots are used. The first is zero and the 64 unit fingerprints,
-dealt into ``blocks`` groups of bits: relative to the distance to zero, the
+dealt into B groups of bits: relative to the distance to zero, the
 coordinate of unit i is -1 or +1 as bit i is set or not, so a fingerprint's
 coordinates in a group are its bits there. Two fingerprints within the radius
-agree in all the coordinates of at least ``blocks - radius`` groups. Each choice
+agree in all the coordinates of at least B less the radius groups. Each choice
 of that many groups gives a cell, and only fingerprints of one cell are
-compared; no link is lost. The second family is random: in a cell, its distance
+compared; no link is lost. B grows with the number of fingerprints, so that cells
+of unrelated ones stay small. The second family is random: in a cell, its distance
 table discards pairs before their distance is computed.
 
-Links can ask for more: with ``confirm``, a second fingerprint over shingles of
-another length must be within a radius of its own. Near copies whose edits break
-many long shingles differ in many bits of a long-shingle fingerprint, too many
-for cells; a short-shingle fingerprint finds them, the long one confirms them.
+Links can ask for more: with ``confirm``, a fingerprint over shingles of another
+length must be within a radius of its own. Near copies whose edits break many
+long shingles differ in many bits of a long-shingle fingerprint, too many for
+cells; short-shingle fingerprints find them (with two ``looks``, either of two
+independent ones), the long one confirms them.
 For shingles with similarity s, two fingerprints are expected to differ in
 64 acos(2s / (1 + s)) / pi bits; ``radius_for`` adds three standard deviations.
 
@@ -43,6 +45,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -51,46 +54,51 @@ from pyspark.sql import functions as F
 from .common import Scratch, ship
 from .components import star_roots
 
-RADIUS, BLOCKS, CELL_ROWS, PIVOTS, SEED = 4, 6, 16_384, 12, 42
+RADIUS, CELL_ROWS, CELL_AIM, PIVOTS, SEED = 4, 16_384, 32, 12, 42
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """The fingerprint of one text, A-Z in lower case."""
+def fingerprint(text: bytes, words: int, looks: int = 1) -> list[int]:
+    """The fingerprints of one text, A-Z in lower case, as signed integers. Looks after the first are over scrambled hashes."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return [0] * looks
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(words, len(tokens))
-    counts, n = np.zeros(64, np.int64), len(tokens) - width + 1
+    counts, n = np.zeros((looks, 64), np.int64), len(tokens) - width + 1
     for k in range(0, n, 65536):
         spans = zip(starts[k : min(n, k + 65536)].tolist(), ends[k + width - 1 : k + width - 1 + 65536].tolist(), strict=True)
         hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+        for look in range(looks):
+            if look:
+                hashes = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+                hashes ^= hashes >> np.uint64(29)
+            counts[look] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
-def _fingerprints(batches: Iterator, words: tuple[int, ...]) -> Iterator:
+def _fingerprints(batches: Iterator, kinds: list[tuple[int, int]]) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        found = [[] for _ in words]
+        found = []
         for x in batch.column(1):
             text = x.as_buffer().to_pybytes() if x.is_valid else b""
-            for column, width in zip(found, words, strict=True):
-                column.append(fingerprint(text, width))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in found)], names=["id", "fp", "second"][: 1 + len(words)])
+            found.append([fp for words, looks in kinds for fp in fingerprint(text, words, looks)])
+        columns = list(zip(*found, strict=True)) if found else [[]] * sum(looks for _, looks in kinds)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", *(f"fp{k}" for k in range(len(columns)))])
 
 
-def fingerprints(docs: DataFrame, *words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp and, for a second number of words, second (64 bits each, as a signed long) for each row."""
+def fingerprints(docs: DataFrame, kinds: list[tuple[int, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and fp0, fp1, ... (64 bits each, as a signed long) for each row. kinds: words of a shingle and number of looks."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: _fingerprints(batches, words), "id long, fp long, second long" if words[1:] else "id long, fp long")
+    names = ", ".join(f"fp{k} long" for k in range(sum(looks for _, looks in kinds)))
+    return rows.mapInArrow(lambda batches: _fingerprints(batches, kinds), f"id long, {names}")
 
 
 def radius_for(similarity: float) -> int:
@@ -131,59 +139,54 @@ def cell_stars(fps, seconds, radius: int, second_radius: int):
     return (np.concatenate(nodes), np.concatenate(roots)) if nodes else (left, left)
 
 
-def _links(batches: Iterator, radius: int, second_radius: int, small: int = 24) -> Iterator:
-    """Links in rows sorted by cell (columns choice, cell, tile, fp and maybe second). Cells of a few rows are compared in step, at growing offsets; others by their own trees."""
+def _links(batches: Iterator, radius: int, second_radius: int, small: int = 64) -> Iterator:
+    """Links in rows sorted by cell (columns choice, cell, tile, node, fp and maybe second). Cells of a few rows are compared in step, at growing offsets; others by their own trees."""
     import numpy as np
     import pyarrow as pa
 
     refs = np.array(pivots(), np.uint64)
 
-    def found(cell, fps) -> pa.RecordBatch:
-        """fps: a row of values for each fingerprint."""
-        starts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]).any(axis=1))))
-        sizes = np.diff(np.append(starts, fps.shape[1]))
+    def found(rows) -> pa.RecordBatch:
+        cell, node, fps = rows[:3], rows[3], rows[4:].view(np.uint64)
+        starts = np.flatnonzero(np.concatenate(([True], (cell[:, 1:] != cell[:, :-1]).any(axis=0))))
+        sizes = np.diff(np.append(starts, len(node)))
         a, b = [], []
         places = np.flatnonzero(np.repeat((sizes <= small) & (sizes > 1), sizes))
         group, few = np.repeat(np.arange(len(sizes)), sizes)[places], fps[0][places]
+        table = [np.bitwise_count(few ^ p).astype(np.int8) for p in refs]
         for step in range(1, small):
             at = np.flatnonzero(group[step:] == group[:-step])
             if not len(at):
                 break
-            other = at + step
-            for p in refs:  # the pivot table's columns, discarding as they go
-                keep = np.abs(np.bitwise_count(few[at] ^ p).astype(np.int8) - np.bitwise_count(few[other] ^ p).astype(np.int8)) <= radius
-                at, other = at[keep], other[keep]
-            near = np.bitwise_count(few[at] ^ few[other]) <= radius
-            x, y = places[at[near]], places[other[near]]
+            for column in table:  # discarding as they go
+                at = at[np.abs(column[at] - column[at + step]) <= radius]
+            at = at[np.bitwise_count(few[at] ^ few[at + step]) <= radius]
+            x, y = places[at], places[at + step]
             if len(fps) > 1:
                 near = np.bitwise_count(fps[1][x] ^ fps[1][y]) <= second_radius
                 x, y = x[near], y[near]
-            a.append(x)
-            b.append(y)
+            a.append(node[x])
+            b.append(node[y])
         for k in np.flatnonzero(sizes > small):
             own = slice(starts[k], starts[k] + sizes[k])
-            node, root = cell_stars(fps[0][own], fps[1][own] if len(fps) > 1 else None, radius, second_radius)
-            a.append(starts[k] + node)
-            b.append(starts[k] + root)
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        columns = [v.view(np.int64)[x] for x in (a, b) for v in fps]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b"] if len(fps) == 1 else ["a", "a2", "b", "b2"])
-
-    held_cell = held = None
+            x, y = cell_stars(fps[0][own], fps[1][own] if len(fps) > 1 else None, radius, second_radius)
+            a.append(node[own][x])
+            b.append(node[own][y])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    held = None
     for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        cell, fps = np.stack(columns[:3], axis=1).astype(np.int64), np.stack([c.view(np.uint64) for c in columns[3:]])
-        if held is not None:
-            cell, fps = np.concatenate((held_cell, cell)), np.concatenate((held, fps), axis=1)
-        if not len(cell):
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.columns])
+        rows = rows if held is None else np.concatenate((held, rows), axis=1)
+        if not rows.shape[1]:
             continue
-        last = np.flatnonzero((cell != cell[-1]).any(axis=1))
+        last = np.flatnonzero((rows[:3] != rows[:3, -1:]).any(axis=0))
         cut = last[-1] + 1 if len(last) else 0
         if cut:
-            yield found(cell[:cut], fps[:, :cut])
-        held_cell, held = cell[cut:], fps[:, cut:]
-    if held is not None:
-        yield found(held_cell, held)
+            yield found(rows[:, :cut])
+        held = rows[:, cut:]
+    if held is not None and held.shape[1]:
+        yield found(held)
 
 
 def groups_of_bits(blocks: int) -> list[int]:
@@ -192,56 +195,67 @@ def groups_of_bits(blocks: int) -> list[int]:
     return [sum(1 << i for i in range(a, b)) for a, b in itertools.pairwise(edges)]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, second_radius: int = 0, cell_rows: int = CELL_ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs within the radius. fps: distinct values in a column fp, or distinct pairs in fp and second; a and b are such values or structs of them."""
-    if blocks <= radius:
-        raise ValueError("more groups than the radius are needed")
-    scratch, own = scratch or Scratch(fps.sparkSession, "links"), fps.columns
+def groups_for(fingerprints: int, radius: int) -> int:
+    """Groups of bits so that unrelated fingerprints fill a cell with CELL_AIM on average at most."""
+    blocks = radius + 2
+    while fingerprints / 2 ** (64 * (blocks - radius) / blocks) > CELL_AIM:
+        blocks += 1
+    return blocks
+
+
+def links(nodes: DataFrame, n: int, radius: int = RADIUS, second_radius: int = 0, cell_rows: int = CELL_ROWS, scratch: Scratch | None = None) -> DataFrame:
+    """Links (a, b) between n nodes, whose components are those of all pairs within the radius. nodes: node (distinct), fp and, for pairs that must also be near in it, second."""
+    scratch, own = scratch or Scratch(nodes.sparkSession, "links"), [c for c in ("node", "fp", "second") if c in nodes.columns]
+    blocks = groups_for(n, radius)
     masks = [sum(x) for x in itertools.combinations(groups_of_bits(blocks), blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     choices = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("choice", "cell")
-    crowded = fps.select(choices).groupBy("choice", "cell").count().where(F.col("count") > cell_rows).withColumn("parts", F.ceil(F.col("count") / cell_rows)).drop("count")
-    crowded = scratch.table(crowded, "crowded")
-    cells, n = fps.select(*own, choices), crowded.count()
-    if n:  # as many cells as rows / cell_rows at most; broadcast if they are few, else joined by key
-        cells = cells.join(F.broadcast(crowded) if n <= 20_000 else crowded, ["choice", "cell"], "left")
-        part = F.pmod(F.xxhash64(*own, F.lit(1)), F.col("parts"))
+    crowded = nodes.select(choices).groupBy("choice", "cell").count().where(F.col("count") > cell_rows).withColumn("parts", F.ceil(F.col("count") / cell_rows)).drop("count")
+    crowded = scratch.table(crowded, f"crowded-{uuid.uuid4().hex}")
+    cells, n_crowded = nodes.select(*own, choices), crowded.count()
+    if n_crowded:  # as many cells as rows / cell_rows at most; broadcast if they are few, else joined by key
+        cells = cells.join(F.broadcast(crowded) if n_crowded <= 20_000 else crowded, ["choice", "cell"], "left")
+        part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))
         tile = lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j)
         tiles = F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), tile)))
         cells = cells.select("choice", "cell", F.explode(tiles).alias("tile"), *own)
     else:
         cells = cells.select("choice", "cell", F.lit(-1).cast("long").alias("tile"), *own)
-    dealt = cells.repartition("choice", "cell", "tile").sortWithinPartitions("choice", "cell", "tile", *own)
-    two = len(own) > 1
-    found = dealt.mapInArrow(lambda batches: _links(batches, radius, second_radius), "a long, a2 long, b long, b2 long" if two else "a long, b long")
-    return found.select(F.struct(F.col("a").alias("fp"), F.col("a2").alias("second")).alias("a"), F.struct(F.col("b").alias("fp"), F.col("b2").alias("second")).alias("b")) if two else found
+    dealt = cells.repartition("choice", "cell", "tile").sortWithinPartitions("choice", "cell", "tile", "node")
+    return dealt.mapInArrow(lambda batches: _links(batches, radius, second_radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, blocks: int = BLOCKS, confirm: tuple[int, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, looks: int = 1, confirm: tuple[int, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable), n_rows and n_fingerprints of the class.
 
-    confirm: words and similarity of the second fingerprint, if links need one.
+    looks: independent fingerprints, of which a link needs one within the
+    radius. confirm: words and similarity of another fingerprint that a link
+    must also be near in.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.table(fingerprints(docs, words, *(confirm or ())[:1], id_col=id_col, text_col=text_col), "rows")
+    rows = scratch.table(fingerprints(docs, [(words, looks), *([(confirm[0], 1)] if confirm else [])], id_col, text_col), "rows")
     own = rows.columns[1:]
-    nodes = scratch.table(rows.groupBy(*own).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
-    stars = star_roots(links(nodes.select(*own), radius, blocks, radius_for(confirm[1]) if confirm else 0, scratch=scratch), scratch)
-    stars = stars.select(F.col("node.fp").alias("fp"), F.col("node.second").alias("second"), "root") if confirm else stars.withColumnRenamed("node", "fp")
-    member = nodes.join(stars, own, "left").select(*own, "first", "n", F.coalesce("root", F.struct(*own) if confirm else F.col("fp")).alias("root"))
+    nodes = rows.groupBy(*own).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id())
+    nodes = scratch.table(nodes, "nodes")
+    n, found = nodes.count(), None
+    for look in range(looks):
+        by = nodes.select("node", F.col(f"fp{look}").alias("fp"), *([F.col(own[-1]).alias("second")] if confirm else []))
+        some = links(by, n, radius, radius_for(confirm[1]) if confirm else 0, scratch=scratch)
+        found = some if found is None else found.unionByName(some)
+    member = nodes.join(star_roots(found, scratch), "node", "left").withColumn("root", F.coalesce("root", "node"))
     member = scratch.table(member, "member")
     classes = member.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_fingerprints"))
-    named = member.select(*own, "root").join(classes, "root").drop("root")
-    found = rows.join(named, own)
-    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_rows", "n_fingerprints")
+    named = member.select(*own, "root").join(scratch.table(classes, "classes"), "root").drop("root")
+    return rows.join(named, own).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id", "n_rows", "n_fingerprints")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows, with all columns, that are first in their class. Ids must be distinct; rows without an id stay.
 
-    Two texts are linked if their fingerprints over word pairs differ in 8 bits
-    at most and those over shingles of ``words`` words in ``radius_for(similarity)``.
+    Two texts are linked if one of two fingerprints over word pairs differs in 8
+    bits at most and that over shingles of ``words`` words in
+    ``radius_for(similarity)`` bits at most.
     """
-    found = near_duplicates(docs, words=2, radius=8, blocks=11, confirm=(words, similarity), id_col=id_col, text_col=text_col)
+    found = near_duplicates(docs, words=2, radius=8, looks=2, confirm=(words, similarity), id_col=id_col, text_col=text_col)
     repeats = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__repeat"))
     return docs.join(repeats, F.col(id_col) == F.col("__repeat"), "left_anti")

@@ -10,7 +10,7 @@ text. Chunks are named by a 128-bit XXH3 digest; of equal ones, the first by
 form a span; spans of at least ``min_span`` bytes are reported.
 
 Texts are read once. A batch of rows is one record with its chunk lengths and
-digests. Each batch sends a digest once to the part that owns its range, however
+distinct digests. Each batch sends a digest once to the part that owns its range, however
 often it occurs there, so a chunk that many rows share is no hot key; the part
 replies to each batch with the places of its repeated digests and their first
 occurrence. Texts are never shuffled; parts are bounded in size by their number.
@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 from .blobs import pack, pack_sorted, parts_of, raw, unpack, unpack_sorted
 from .common import Scratch
 
-LEAST, MASK_BITS, MOST, MIN_SPAN, BATCH_BYTES, KEYS_PER_PART, SEED = 16, 5, 256, 128, 24 << 20, 1_000_000, 11
+LEAST, MASK_BITS, MOST, MIN_SPAN, BATCH_BYTES, KEYS_PER_PART, SEED = 12, 4, 192, 112, 24 << 20, 1_000_000, 11
 NO_ID = (1 << 63) - 1
-BATCH = "batch long, ids binary, row_chunks binary, lengths binary, digests binary, n long"
-SPANS = "id long, batch long, row long, start long, end long, source_id long, source_start long"
+#: Rows of a batch, their chunks' lengths and digests: distinct ones in order, each chunk's place among them, how often each occurs and its first chunk.
+BATCH = "batch long, ids binary, row_chunks binary, lengths binary, groups binary, keys binary, firsts binary, counts binary, n long"
+SPANS = "id long, start long, end long, source_id long, source_ids array<long>"
 
 
 @functools.lru_cache(maxsize=1)
@@ -70,6 +71,29 @@ def boundaries(data: bytes, least: int = LEAST, bits: int = MASK_BITS, most: int
     return out
 
 
+def _ids(values) -> bytes:
+    """Signed ids, so that their order and the bytes they share survive packing."""
+    import numpy as np
+
+    return pack(np.ascontiguousarray(values, "<i8").view("<u8") ^ np.uint64(1 << 63))
+
+
+def _read_ids(data: bytes):
+    import numpy as np
+
+    return (unpack(data).view("<u8") ^ np.uint64(1 << 63)).view("<i8")
+
+
+def _layout(counts, lengths):
+    """Of each chunk its row and its start in it."""
+    import numpy as np
+
+    row = np.repeat(np.arange(len(counts)), counts)
+    begin = np.cumsum(lengths) - lengths
+    first = (np.cumsum(counts) - counts)[row]
+    return row, begin - begin[first]
+
+
 def _chunk(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
@@ -81,11 +105,18 @@ def _chunk(batches: Iterator) -> Iterator:
 
     def record() -> pa.RecordBatch:
         nonlocal batch, size, ids, counts, lengths, digests
-        values = [[batch], [raw(ids)], [pack(counts)], [pack(lengths)], [b"".join(digests)], [len(lengths)]]
+        row, start = _layout(np.array(counts, np.int64), np.array(lengths, np.int64))
+        digest = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
+        order = np.lexsort((start, row, np.array(ids, np.int64)[row], digest[:, 1], digest[:, 0]))
+        new = _changes(digest[order])
+        groups = np.empty(len(order), np.int64)
+        groups[order] = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        values = [batch, _ids(ids), pack(counts), pack(lengths), pack(groups), raw(digest[order][at], "<u8"), pack(order[at]), pack(np.diff(np.append(at, len(order)))), len(at)]
         batch, size = batch + 1, 0
         ids, counts, lengths, digests = [], [], [], []
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, kinds, strict=True)], names=["batch", "ids", "row_chunks", "lengths", "digests", "n"])
+        kinds = (pa.int64(), *[pa.binary()] * 7, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=[x.split()[0] for x in BATCH.split(", ")])
 
     for rows in batches:
         for key, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
@@ -103,130 +134,111 @@ def _chunk(batches: Iterator) -> Iterator:
         yield record()
 
 
-def _open(batch: dict):
-    """Of each chunk in a batch: its row, start, digest (two numbers); and the rows' ids."""
-    import numpy as np
-
-    ids, counts, lengths = np.frombuffer(batch["ids"], "<i8"), unpack(batch["row_chunks"]), unpack(batch["lengths"])
-    row = np.repeat(np.arange(len(ids)), counts)
-    begin = np.cumsum(lengths) - lengths
-    first = np.cumsum(counts) - counts
-    start = begin - (begin[np.minimum(first, max(len(begin) - 1, 0))][row] if len(begin) else 0)
-    digest = np.frombuffer(batch["digests"], ">u8").astype(np.uint64).reshape(-1, 2)
-    return ids, row, start, lengths, digest
-
-
-def _unique(batch: dict, parts: int):
-    """Places of a batch's digests' first occurrences, ordered by digest; how often each occurs, and where parts begin."""
+def _changes(sorted_keys):
+    """Where a row of sorted keys differs from the one before."""
     import numpy as np
 
-    ids, row, start, _, digest = _open(batch)
-    order = np.lexsort((start, row, ids[row], digest[:, 1], digest[:, 0]))
-    d = digest[order]
-    new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]).any(axis=1)))) if len(d) else np.empty(0, np.int64)
-    edges = np.array([(k << 64) // parts for k in range(parts)], np.uint64)
-    cuts = np.append(np.searchsorted(d[new, 0], edges), len(new))
-    return order[new], np.diff(np.append(new, len(d))), cuts
+    return np.concatenate(([True], (sorted_keys[1:] != sorted_keys[:-1]).any(axis=1))) if len(sorted_keys) else np.empty(0, bool)
 
 
 def _send(batches: Iterator, parts: int) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
+    edges = np.array([(k << 64) // parts for k in range(parts)], np.uint64)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5)
     for rows in batches:
         for batch in rows.to_pylist():
-            ids, row, start, _, digest = _open(batch)
-            place, n, cuts = _unique(batch, parts)
+            keys, ids = np.frombuffer(batch["keys"], "<u8").reshape(-1, 2), _read_ids(batch["ids"])
+            row, start = _layout(unpack(batch["row_chunks"]), unpack(batch["lengths"]))
+            first, n = unpack(batch["firsts"]), unpack(batch["counts"])
+            cuts = np.append(np.searchsorted(keys[:, 0], edges), len(keys))
             out = []
-            for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            for part, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if a < b:
-                    p = place[a:b]
-                    out.append((part, batch["batch"], raw(digest[p], "<u8"), pack(n[a:b]), raw(ids[row[p]]), pack(row[p]), pack(start[p])))
-            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
-            columns = zip(*out, strict=True) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["part", "batch", "keys", "n", "ids", "row", "start"])
+                    p = first[a:b]
+                    out.append((part, batch["batch"], a, raw(keys[a:b], "<u8"), pack(n[a:b]), _ids(ids[row[p]]), pack(row[p]), pack(start[p])))
+            columns = zip(*out, strict=True) if out else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["part", "batch", "base", "keys", "n", "ids", "row", "start"])
 
 
 def _resolve(table):
-    """A part's replies: to each batch, the repeated digests' places in what it sent and their first occurrences."""
+    """A part's replies: to each batch, the places of its repeated digests and their first occurrences."""
     import numpy as np
     import pyarrow as pa
 
     sent = sorted(table.to_pylist(), key=lambda r: r["batch"])
     keys = np.concatenate([np.frombuffer(r["keys"], "<u8").reshape(-1, 2) for r in sent])
     n, row, start = (np.concatenate([unpack(r[c]) for r in sent]) for c in ("n", "row", "start"))
-    ids = np.concatenate([np.frombuffer(r["ids"], "<i8") for r in sent])
+    ids = np.concatenate([_read_ids(r["ids"]) for r in sent])
     sizes = np.array([len(r["keys"]) // 16 for r in sent])
     by = np.repeat(np.arange(len(sent)), sizes)
     order = np.lexsort((start, row, by, ids, keys[:, 1], keys[:, 0]))
-    new = np.concatenate(([True], (keys[order][1:] != keys[order][:-1]).any(axis=1)))
-    group = np.cumsum(new) - 1
-    repeated = np.add.reduceat(n[order], np.flatnonzero(new))[group] > 1
-    first = order[np.flatnonzero(new)][group]
+    new = _changes(keys[order])
+    group, at = np.cumsum(new) - 1, np.flatnonzero(new)
+    repeated = np.add.reduceat(n[order], at)[group] > 1
     source = np.full(len(keys), -1)
-    source[order[repeated]] = first[repeated]
-    out, at = [], 0
+    source[order[repeated]] = order[at][group][repeated]
+    out, begin = [], 0
     for r, size in zip(sent, sizes, strict=True):
-        mine = source[at : at + size]
+        mine = source[begin : begin + size]
         some = np.flatnonzero(mine >= 0)
         s = mine[some]
         if len(some):
-            out.append((r["batch"], r["part"], pack_sorted(some), raw(ids[s]), pack(start[s]), pack(row[s]), pack((s >= at) & (s < at + size))))
-        at += size
-    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
-    columns = list(zip(*out, strict=True)) if out else [[]] * 7
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["batch", "part", "some", "ids", "start", "row", "own"])
+            out.append((r["batch"], pack_sorted(some + r["base"]), _ids(ids[s]), pack(start[s]), pack(row[s]), pack((s >= begin) & (s < begin + size))))
+        begin += size
+    kinds = (pa.int64(), *[pa.binary()] * 5)
+    columns = list(zip(*out, strict=True)) if out else [[]] * 6
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["batch", "places", "ids", "start", "row", "own"])
 
 
-def _spans(batch_rows, replies, parts: int, min_span: int):
+def _spans(batch_rows, replies, min_span: int):
     import numpy as np
     import pyarrow as pa
 
-    names = ["id", "batch", "row", "start", "end", "source_id", "source_start"]
-    empty = pa.Table.from_arrays([pa.array([], pa.int64())] * 7, names=names)
+    names, kinds = [x.split()[0] for x in SPANS.split(", ")], [*[pa.int64()] * 4, pa.list_(pa.int64())]
     if not batch_rows.num_rows or not replies.num_rows:
-        return empty
+        return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
     batch = batch_rows.to_pylist()[0]
-    ids, row, start, lengths, digest = _open(batch)
-    place, _, cuts = _unique(batch, parts)
-    source_id, source_row, source_start, repeated = np.zeros(len(row), np.int64), np.full(len(row), -1), np.zeros(len(row), np.int64), np.zeros(len(row), bool)
+    ids, lengths, groups, n = _read_ids(batch["ids"]), unpack(batch["lengths"]), unpack(batch["groups"]), batch["n"]
+    row, start = _layout(unpack(batch["row_chunks"]), lengths)
+    source_id, source_row, source_start, known = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, bool)
     for r in replies.to_pylist():
-        p = place[cuts[r["part"]] + unpack_sorted(r["some"])]
-        repeated[p], source_id[p], source_start[p] = True, np.frombuffer(r["ids"], "<i8"), unpack(r["start"])
+        p = unpack_sorted(r["places"])
+        known[p], source_id[p], source_start[p] = True, _read_ids(r["ids"]), unpack(r["start"])
         source_row[p] = np.where(unpack(r["own"]) > 0, unpack(r["row"]), -1)  # -1: in another batch
-    # What holds of a digest's first occurrence in the batch holds of all of them.
-    order = np.lexsort((digest[:, 1], digest[:, 0]))
-    same = np.concatenate(([False], (digest[order][1:] == digest[order][:-1]).all(axis=1)))
-    group = np.cumsum(~same) - 1
-    lead = np.zeros(group[-1] + 1, np.int64)
-    lead[group[np.argsort(order, kind="stable")][place]] = place
-    of = np.empty(len(row), np.int64)
-    of[order] = lead[group]
-    repeated, source_id, source_start, source_row = repeated[of], source_id[of], source_start[of], source_row[of]
-    repeated &= ~((source_row == row) & (source_start == start))  # the first occurrence itself stays
-    begins = repeated & ~np.concatenate(([False], repeated[:-1] & (row[1:] == row[:-1])))
-    ends = repeated & ~np.concatenate((repeated[1:] & (row[1:] == row[:-1]), [False]))
-    a, b = np.flatnonzero(begins), np.flatnonzero(ends)
+    first = (source_row[groups] == row) & (source_start[groups] == start)
+    repeated = known[groups] & ~first  # the first occurrence itself stays
+    before = np.concatenate(([False], repeated[:-1] & (row[1:] == row[:-1])))
+    after = np.concatenate((repeated[1:] & (row[1:] == row[:-1]), [False]))
+    a, b = np.flatnonzero(repeated & ~before), np.flatnonzero(repeated & ~after)
     long = (start[b] + lengths[b] - start[a]) >= min_span
     a, b = a[long], b[long]
-    own = ids[row[a]]
-    nulls = lambda x: pa.array(x, pa.int64(), mask=x == NO_ID)
-    return pa.Table.from_arrays([nulls(own), pa.array(np.full(len(a), batch["batch"])), pa.array(row[a]), pa.array(start[a]), pa.array(start[b] + lengths[b]), nulls(source_id[a]), pa.array(source_start[a])], names=names)
+    plain = lambda x: None if x == NO_ID else x
+    main, all_of = [], []
+    for x, y in zip(a.tolist(), (b + 1).tolist(), strict=True):
+        some, place = np.unique(source_id[groups[x:y]], return_inverse=True)
+        size = np.bincount(place, lengths[x:y])
+        main.append(plain(some[size.argmax()].item()))
+        all_of.append([plain(i) for i in some[(size >= min_span) | (np.arange(len(some)) == size.argmax())].tolist()])
+    columns = [[plain(i) for i in ids[row[a]].tolist()], start[a], start[b] + lengths[b], main, all_of]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def repeated_spans(docs: DataFrame, min_span: int = MIN_SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per span of repeated chunks: id, start, end (bytes of the text's UTF-8), source_id and source_start (the first chunk's first occurrence)."""
+    """One row per span of repeated chunks: id, start, end (bytes of the text's UTF-8), source_id (of its chunks' first occurrences, the row with most bytes, the smallest of equals) and source_ids (that and others with min_span bytes)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "chunks")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     batches = scratch.table(rows.mapInArrow(_chunk, BATCH), "batches")
     keys = batches.agg(F.sum("n")).first()[0] or 0
     parts = parts_of(keys, KEYS_PER_PART, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = batches.mapInArrow(lambda b: _send(b, parts), "part long, batch long, keys binary, n binary, ids binary, row binary, start binary")
-    replies = sent.repartition(parts, "part").groupBy("part").applyInArrow(_resolve, "batch long, part long, some binary, ids binary, start binary, row binary, own binary")
+    sent = batches.drop("groups").mapInArrow(lambda b: _send(b, parts), "part long, batch long, base long, keys binary, n binary, ids binary, row binary, start binary")
+    replies = sent.repartition(parts, "part").groupBy("part").applyInArrow(_resolve, "batch long, places binary, ids binary, start binary, row binary, own binary")
     replies = scratch.table(replies, "replies")
-    spans = batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(lambda a, b: _spans(a, b, parts, min_span), SPANS)
-    return spans.select(F.col("id").alias(id_col), "start", "end", "source_id", "source_start")
+    laid = batches.select("batch", "ids", "row_chunks", "lengths", "groups", "n")
+    spans = laid.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(lambda a, b: _spans(a, b, min_span), SPANS)
+    return spans.withColumnRenamed("id", id_col)
 
 
 def _cut(batches: Iterator) -> Iterator:

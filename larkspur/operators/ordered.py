@@ -97,7 +97,7 @@ def two_cuts(df: DataFrame, by: list[str], place: str, cost: str, apart: int = 4
 
 def ranked_regions(regions: DataFrame, by: list[str], score: str, most: int) -> DataFrame:
     """Regions by score, then the smaller area; the first ones of each image."""
-    w = W.partitionBy(*by).orderBy(F.desc(score), F.col("w") * F.col("h"), "x", "y")
+    w = W.partitionBy(*by).orderBy(F.desc(score), F.col("w") * F.col("h"), "x", "y", "w")
     return regions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 

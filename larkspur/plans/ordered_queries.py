@@ -262,7 +262,7 @@ ORACLES = {
         i AS (SELECT *, least(w, w2) AS iw, least(y + h, y2 + h2) - greatest(y, y2) AS ih FROM p WHERE y2 IS NOT NULL)
         SELECT l_orderkey, l_linenumber, x, round(CASE WHEN iw <= 0 OR ih <= 0 THEN 0.0 ELSE (iw * ih)::DOUBLE / (w * h + w2 * h2 - iw * ih) END, 6)::DOUBLE AS iou FROM i""",
     "region_ranking": f"""WITH {BOXES}, d AS (SELECT DISTINCT l_orderkey, x, y, w, h FROM boxes)
-        SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY w + h DESC, w * h, x, y) AS INTEGER) AS rank FROM d QUALIFY rank <= 3""",
+        SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY w + h DESC, w * h, x, y, w) AS INTEGER) AS rank FROM d QUALIFY rank <= 3""",
     "hypothesis_ranking": f"""{BASE}, c AS (SELECT DISTINCT code, length(code) AS n FROM observations), s AS (SELECT code, n, unnest([5, 8, 9]) AS size, unnest([1, 4, 5]) AS dash FROM c),
         w AS (SELECT *, unnest(range(0, n - size + 1)) AS start FROM s WHERE size <= n),
         h AS (SELECT code, CAST(start AS INTEGER) AS start, CAST(size AS INTEGER) AS size, (CASE WHEN substr(code, start + dash + 1, 1) = '-' THEN 14.0 ELSE -12.0 END - (n - size) * 1.5)::DOUBLE AS score FROM w

@@ -392,6 +392,21 @@ def _sum_pairs(table):
     return _part_row(rows[0]["part"], model, replies, counts, DISCOUNTED + 1)
 
 
+def open_words(model: bytes, kinds: int):
+    """Word hashes (XXH64, ascending) and training counts of a kept part of level 1."""
+    import numpy as np
+
+    return np.frombuffer(model[: 8 * kinds], "<u8"), unpack(model[8 * kinds :])
+
+
+def open_pairs(model: bytes):
+    """Context ids, word ids (-1: unknown) and training counts of a kept part of a higher level, in ascending order."""
+    import numpy as np
+
+    ends = np.cumsum([32, *np.frombuffer(model[:32], "<i8").tolist()]).tolist()
+    return unpack_sorted(model[ends[0] : ends[1]]), unpack(model[ends[1] : ends[2]]) - 1, unpack(model[ends[2] : ends[3]])
+
+
 def _open_model(model: bytes, plan: Plan):
     """context, word, count and lower-level probability of a part's pairs, in ascending order."""
     import numpy as np
@@ -463,8 +478,13 @@ def _evaluate(chunk_rows, reply_rows, plan: Plan):
     return pa.concat_tables(found) if found else _table([], names, kinds)
 
 
-def score_corpus(docs: DataFrame, held_out, order: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability). held_out: a boolean column; rows where it is false train the model."""
+def score_corpus(docs: DataFrame, held_out, order: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS, model_path: str | None = None) -> DataFrame:
+    """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability).
+
+    held_out: a boolean column; rows where it is false train the model.
+    model_path: where to keep the n-gram tables (ngrams1, ngrams2, ... by part;
+    open_words and open_pairs read a part's model), else they go with the run.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -497,6 +517,10 @@ def score_corpus(docs: DataFrame, held_out, order: int = 2, id_col: str = "doc_i
         answered = model.select("part", "model", "replies").mapInArrow(_replier(plan, level, spread, level < order), REPLY)
         replies = replies.unionByName(scratch.table(answered, f"replies{level}"))
 
+    for level in range(1, order + 1) if model_path else ():
+        kept = spark.read.parquet(f"{scratch.path}/ngrams{level}").select("part", "kinds", "model")
+        kept.write.mode("overwrite").partitionBy("part").parquet(f"{model_path}/ngrams{level}")
+
     scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lambda a, b: _evaluate(a, b, plan), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumnRenamed("id", id_col)
 

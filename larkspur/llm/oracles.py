@@ -10,6 +10,20 @@ ORACLES = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
         FROM k
     """,
+    # Items of at least five words, as the benchmark table has them.
+    "op4_simhash_windows": r"""
+        WITH dw AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g')), ' ') AS w FROM documents),
+        iw AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g')), ' ') AS w FROM benchmark),
+        dg AS (SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS gram, len(w) - 4 AS total FROM dw, unnest(range(0, len(w) - 4)) AS t(pos)),
+        ig AS (SELECT item_id, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS gram, len(w) - 4 AS m FROM iw, unnest(range(0, len(w) - 4)) AS t(pos)),
+        starts AS (SELECT DISTINCT doc_id, item_id, greatest(0, least(dg.pos - ig.pos, total - m)) AS start, m, least(m, total) AS n FROM dg JOIN ig USING (gram)),
+        wc AS (SELECT s.doc_id, item_id, start, m, n, gram, count(*) AS c FROM starts s JOIN dg ON dg.doc_id = s.doc_id AND pos >= start AND pos < start + m GROUP BY ALL),
+        ic AS (SELECT item_id, gram, count(*) AS c FROM ig GROUP BY ALL),
+        shared AS (SELECT doc_id, item_id, start, m, n, sum(least(wc.c, ic.c)) AS k FROM wc JOIN ic USING (item_id, gram) GROUP BY ALL),
+        scored AS (SELECT *, k::DOUBLE / (m + n - k) AS s FROM shared)
+        SELECT doc_id, item_id, round(s, 6) AS similarity, CAST(start AS INTEGER) AS start_word, CAST(m + 4 AS INTEGER) AS n_words FROM scored WHERE s >= 0.8
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s DESC, start) = 1
+    """,
     "op7_preference_pairs": r"""
         WITH answers AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
         final AS (SELECT c.conv_id, max(coalesce(c.text, '')) AS other FROM conversations c JOIN answers a ON c.conv_id = a.conv_id AND c.turn = a.last

@@ -76,7 +76,9 @@ def swapped_answers(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     Chosen is a conversation up to its last assistant turn; in the rejected one
     that turn has the text of the last assistant turn of the conversation
     numbered one higher, or is missing if there is none. Conversations without
-    an assistant turn are equal on both sides.
+    an assistant turn, and turns without a conversation, are equal on both
+    sides; turns without a number are left out of conversations with an
+    assistant turn. Repeated last answers count as one on the rejected side.
     """
     rows = turns.select(F.col(conv_col).alias("pair_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     answers = rows.where("role = 'assistant'")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .blobs import pack, pack_sorted, parts_of, raw, unpack, unpack_sorted
 from .common import Scratch
 
-LEAST, MASK_BITS, MOST, MIN_SPAN, BATCH_BYTES, KEYS_PER_PART, SEED = 12, 4, 192, 112, 24 << 20, 1_000_000, 11
+LEAST, MASK_BITS, MOST, MIN_SPAN, BATCH_BYTES, KEYS_PER_PART, SEED = 12, 4, 192, 112, 12 << 20, 1_000_000, 11
 NO_ID = (1 << 63) - 1
 #: Rows of a batch, their chunks' lengths and digests: distinct ones in order, each chunk's place among them, how often each occurs and its first chunk.
 BATCH = "batch long, ids binary, row_chunks binary, lengths binary, groups binary, keys binary, firsts binary, counts binary, n long"

@@ -111,6 +111,11 @@ def plausible_structure(code: Column) -> Column:
     return F.coalesce(F.when(n == 5, dash(2)).when(n == 8, dash(5)).when(n == 9, dash(6)), F.lit(False))
 
 
+def plausible_segments(n: Column) -> Column:
+    """A number of segments that a code can have."""
+    return n.between(4, 14)
+
+
 def strip_copy_suffix(x: Column) -> Column:
     """Without a trailing _c and number."""
     return F.regexp_replace(x, r"(?i)_c\d+$", "")

@@ -71,6 +71,11 @@ def outcome_counts(df: DataFrame, outcome: Column) -> DataFrame:
     return counted.withColumn("share", F.col("n") * 100.0 / F.sum("n").over(W.partitionBy()))  # one row per outcome
 
 
+def template_counts(templates: DataFrame) -> DataFrame:
+    """Templates of each character and their share of all."""
+    return outcome_counts(templates, F.col("character")).withColumnRenamed("outcome", "character")
+
+
 def capped_per_class(df: DataFrame, class_col: str, order: list[str], existing: Column, most: int = 200) -> DataFrame:
     """New rows that fit under a class's cap, after those that exist."""
     ranked = df.withColumn("__rank", F.row_number().over(W.partitionBy(class_col).orderBy(*order)))

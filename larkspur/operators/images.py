@@ -148,7 +148,11 @@ def text_rows(boxes: list[tuple[int, int, int, int]], least: int = 3) -> list[li
     return [row for row in rows if len(row) >= least]
 
 
-def row_regions(row: list[tuple[int, int, int, int]], characters: int, width: int, height: int, paddings: tuple = ((0.16, 3, 0.30, 5), (0.22, 4, 0.62, 10))) -> list[tuple[int, int, int, int]]:
+#: Left and right padding (share of the median height and least pixels) of a narrow and a generous region, and of a more generous variant.
+PADDINGS, WIDE_PADDINGS = ((0.16, 3, 0.30, 5), (0.22, 4, 0.62, 10)), ((0.16, 3, 0.30, 5), (0.22, 4, 0.78, 12))
+
+
+def row_regions(row: list[tuple[int, int, int, int]], characters: int, width: int, height: int, paddings: tuple = PADDINGS) -> list[tuple[int, int, int, int]]:
     """Regions around runs of about so many neighbours of a row, each with narrow and generous padding, clipped to the image."""
     from statistics import median
 
@@ -238,6 +242,14 @@ def upright(image):
     return image if image.shape[0] >= image.shape[1] else np.rot90(image, -1)
 
 
+def distinct_images(images: DataFrame) -> DataFrame:
+    """One image of each signature, the one with the smallest id."""
+    from pyspark.sql import functions as F
+
+    first = map_values(images, signature, "string").groupBy("value").agg(F.min("id").alias("id")).select("id")
+    return images.join(first, "id", "left_semi")
+
+
 def crops(images: DataFrame, places: tuple = CROPS) -> DataFrame:
     """Fixed relative crops of each image set upright, as id/name; crops under five pixels are left out."""
 

@@ -57,6 +57,13 @@ def early_exit(ranked: DataFrame, group: str, order: str, qualifies, score: str)
     return marked.withColumn("__rank", F.row_number().over(W.partitionBy(group).orderBy(key))).where("__rank = 1").drop("__rank", "__ok")
 
 
+def evaluated_until(rows: DataFrame, group: str, order: str, qualifies, least: int = 1) -> DataFrame:
+    """The rows of each group that are looked at, in order, when the search stops at the first qualifying row but not before ``least`` rows."""
+    w = W.partitionBy(group).orderBy(order)
+    counted = rows.withColumn("__at", F.row_number().over(w)).withColumn("__ok", F.coalesce(F.max(F.when(qualifies, 1)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return counted.where((F.col("__ok") == 0) | (F.col("__at") <= least)).drop("__at", "__ok")
+
+
 def with_overall(matched: DataFrame, reading_score: str = "reading_score") -> DataFrame:
     return matched.withColumn("overall", overall_confidence(F.col(reading_score), F.coalesce("confidence", F.lit(0.0)), F.col("number").isNotNull()))
 

@@ -101,8 +101,15 @@ def early_exit(spark, sf_dir):
     return matching.early_exit(rows, "image_of", "pos", F.col("usable") & (F.col("global_score") >= 85) & (F.col("length_difference") == 0), "global_score").select("image_of", "pos", F.round("global_score", 6).alias("global_score"))
 
 
+def evaluated_regions(spark, sf_dir):
+    """Candidates looked at until a conclusive one, twelve at least."""
+    rows = _global(_candidates(spark, sf_dir))
+    found = matching.evaluated_until(rows, "image_of", "pos", F.col("usable") & (F.col("global_score") >= 85) & (F.col("length_difference") == 0), 12)
+    return found.groupBy("image_of").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("global_score"), 6).alias("best"))
+
+
 PROFILES = ("core", "engine", "benchmark", "live", "recovery")
-QUERIES = {f.__name__: f for f in (nearest_key, unique_within_one_correction, window_similarity, alignment_score, failure_classes, confusion_matrix, confusion_report, accuracy_summary, db_effect, stem_accuracy, global_hypothesis, better_candidate_fold, early_exit)}
+QUERIES = {f.__name__: f for f in (nearest_key, unique_within_one_correction, window_similarity, alignment_score, failure_classes, confusion_matrix, confusion_report, accuracy_summary, db_effect, stem_accuracy, global_hypothesis, better_candidate_fold, early_exit, evaluated_regions)}
 QUERIES |= {f"quick_score_topk_{name}": _quick(name) for name in PROFILES} | {f"lattice_match_{name}": _lattice(name) for name in PROFILES}
 
 
@@ -213,6 +220,8 @@ ORACLES = {
         count(*) FILTER (NOT is_usable) AS segmentation_failures, count(*) FILTER (is_usable AND margin < 2.0) AS low_margin FROM evaluated""",
     "stem_accuracy": f"{_E} SELECT count(*) AS total, count(*) FILTER (expected = text) AS correct, round(count(*) FILTER (expected = text) * 100.0 / count(*), 6)::DOUBLE AS accuracy FROM evaluated",
     "global_hypothesis": f"{_CANDIDATES} SELECT pos, round(g, 6) AS global_score, usable AND ld = 0 AND database + 4 >= 99.7 AND image >= 82.0 AND geometry >= 82.0 AND upper(greedy) = upper(text) AS conclusive FROM globals",
+    "evaluated_regions": f"""{_CANDIDATES}, o AS (SELECT *, row_number() OVER w AS at_row, coalesce(max(CASE WHEN usable AND g >= 85 AND ld = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY image_of ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
+        FROM globals WINDOW w AS (PARTITION BY image_of ORDER BY pos)) SELECT image_of, count(*) AS n, round(max(g), 6) AS best FROM o WHERE done = 0 OR at_row <= 12 GROUP BY 1""",
     "early_exit": f"""{_CANDIDATES} SELECT image_of, pos, round(g, 6) AS global_score FROM (SELECT *, usable AND g >= 85 AND ld = 0 AS ok FROM globals)
         QUALIFY row_number() OVER (PARTITION BY image_of ORDER BY CASE WHEN ok THEN 0 ELSE 1 END, CASE WHEN ok THEN 0.0 ELSE -g END, pos) = 1""",
 }

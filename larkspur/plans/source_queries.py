@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import aggregates
 from ..operators.lookups import exact_lookup
 from ..sources import readers, writers
 from ..streaming.incremental import resolve_stream
@@ -57,6 +58,10 @@ def template_labels(spark, sf_dir):
     return readers.label_templates(paths)
 
 
+def template_counts(spark, sf_dir):
+    return aggregates.template_counts(template_labels(spark, sf_dir)).select("character", "n", F.round("share", 6).alias("share"))
+
+
 def clean_history(spark, sf_dir):
     ending = F.when(F.col("pos") % 4 == 0, ".PNG").when(F.col("pos") % 4 == 1, ".jpg").otherwise(".png")
     lines = catalogue(spark, sf_dir).select(F.when(F.col("pos") % 7 == 0, "  ").otherwise(F.concat(F.lit(" /x/"), F.col("name"), ending, F.lit(" "))).alias("path"))
@@ -80,7 +85,7 @@ def batch_exact_lookup(spark, sf_dir):
     return exact_lookup(rows, catalogue(spark, sf_dir)).select("asked", "code", "pos", "id")
 
 
-QUERIES = {f.__name__: f for f in (csv_sink_roundtrip, json_catalog_roundtrip, event_properties, template_labels, clean_history, stream_exact_lookup, batch_exact_lookup)}
+QUERIES = {f.__name__: f for f in (csv_sink_roundtrip, json_catalog_roundtrip, event_properties, template_labels, template_counts, clean_history, stream_exact_lookup, batch_exact_lookup)}
 
 _LOOKUP = f"{BASE} SELECT o.pos AS asked, code, c.pos, id FROM observations o JOIN catalogue c ON upper(code) = upper(id)"
 ORACLES = {
@@ -88,6 +93,8 @@ ORACLES = {
     "json_catalog_roundtrip": f"WITH {CATALOGUE} SELECT id, name, rarity, category, category || '|' || rarity AS types, cost, 'x' AS img_url FROM catalogue WHERE pos % 10 <> 9",
     "event_properties": "SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS INTEGER)) AS BIGINT) AS total, max(CAST(props->>'$.k' AS INTEGER)) AS largest FROM events GROUP BY 1",
     "template_labels": f"""WITH {CATALOGUE} SELECT '/t/' || list_extract(['A', 'Dash', 'Slash', '7', 'notes'], pos % 5 + 1) || '/' || pos || '.png' AS path, list_extract(['A', '-', '/', '7'], pos % 5 + 1) AS character FROM catalogue WHERE pos % 5 <> 4""",
+    "template_counts": f"""WITH {CATALOGUE}, l AS (SELECT list_extract(['A', '-', '/', '7'], pos % 5 + 1) AS character FROM catalogue WHERE pos % 5 <> 4)
+        SELECT character, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM l GROUP BY 1""",
     "clean_history": f"""WITH {CATALOGUE}, l AS (SELECT '/x/' || name || CASE pos % 4 WHEN 0 THEN '.PNG' ELSE '.png' END AS path FROM catalogue WHERE pos % 7 <> 0 AND pos % 4 <> 1) SELECT min(path) AS path FROM l GROUP BY upper(path)""",
     "stream_exact_lookup": _LOOKUP,
     "batch_exact_lookup": _LOOKUP,

@@ -147,4 +147,5 @@ def test_images(spark):
     y, x = np.mgrid[-20:20, -20:20]
     star = np.where(np.hypot(x, y) < 8 + 5 * np.cos(5 * np.arctan2(y, x)), 255, 0).astype(np.uint8)
     assert images.has_star(star) and not images.has_star(np.zeros((40, 40), np.uint8))
+    assert images.distinct_images(df.unionByName(df.replace("a", "b", "id"))).first().id == "a"
     assert images.map_values(df, images.signature, "string").first().value == images.signature(image)

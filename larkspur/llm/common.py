@@ -44,8 +44,10 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         where = f"{self.path}/{name}"
+        # Lets Spark's cleaner remove shuffle files that only finished plans used; a finished job's plan is held until the next job.
+        self.spark.range(1).collect()
         gc.collect()
-        self.spark._jvm.System.gc()  # lets Spark's cleaner remove shuffle files that only finished plans used
+        self.spark._jvm.System.gc()
         df.write.mode("overwrite").option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 

@@ -131,7 +131,7 @@ def _pack(batches: Iterator, path: str, pattern: str, end_id: int, window: int,
                     held, at, n = held + take, at + take, n - take
                     if held == limit:
                         close()
-            if len(rows) >= 4096:
+            if len(rows) >= 1024:
                 yield emit()
     if group:
         close()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, ship
 
 BITS, SAMPLE_ROWS, SMOOTHING, COST, ROUNDS, SEED, MAX_BROADCAST_ROWS = 18, 6000, 1.0, 1.0, 30, 7, 1_000_000
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def _tables():

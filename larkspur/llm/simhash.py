@@ -28,6 +28,12 @@ independent ones), the long one confirms them.
 For shingles with similarity s, two fingerprints are expected to differ in
 64 acos(2s / (1 + s)) / pi bits; ``radius_for`` adds three standard deviations.
 
+The near copies of the pipeline are pairs with a stated Jaccard similarity of
+their shingle sets. Fingerprints only estimate it, so pairs are verified by the sets
+themselves. Candidates share a band of minima of the hashed shingles, which
+depends on the similarity and not on where a text was edited; in large cells,
+fingerprints of the same shingles discard pairs that are far off.
+
 In a cell, links are reduced to a star for each component found there, so a cell
 of many near copies gives as many links as it has members. A cell larger than
 ``cell_rows`` is split into tiles of which each pair of parts meets in one: no
@@ -42,6 +48,7 @@ table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import random
@@ -55,6 +62,8 @@ from .common import Scratch, ship
 from .components import star_roots
 
 RADIUS, CELL_ROWS, CELL_AIM, PIVOTS, SEED = 4, 16_384, 32, 12, 42
+#: Near copies: bands of minima (of pairs with a similarity of 0.8, all but 5 in 100,000 share one), fingerprints, bits of them all that pairs in large cells may differ in, rows of a small cell, nearest rows tried in a larger one.
+BANDS, BAND_ROWS, LOOKS, FAR, FEW, NEAREST = 25, 5, 4, 73, 32, 4
 
 
 def fingerprint(text: bytes, words: int, looks: int = 1) -> list[int]:
@@ -249,13 +258,198 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, looks
     return rows.join(named, own).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id", "n_rows", "n_fingerprints")
 
 
+def shingle_hashes(text: bytes, words: int):
+    """The distinct XXH64 hashes of a text's shingles, sorted; A-Z in lower case."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    tokens = text.lower().split()
+    grams = {b" ".join(tokens[k : k + words]) for k in range(max(1, len(tokens) - words + 1))}
+    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def signature(hashes) -> tuple[list[int], list[int]]:
+    """Of distinct shingle hashes: LOOKS fingerprints, and BANDS digests of BAND_ROWS minima each."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    factors = _factors()
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    ones = np.zeros((LOOKS, 64), np.int64)
+    for k in range(0, len(hashes), 512):
+        some = hashes[k : k + 512]
+        least = np.minimum(least, (factors[:, None] * some[None, :]).min(axis=1))
+        for look in range(LOOKS):
+            if look:
+                some = (some ^ (some >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+                some ^= some >> np.uint64(29)
+            ones[look] += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fps = np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view(np.int64).ravel().tolist()
+    bands = np.array([xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
+    return fps, bands.view(np.int64).tolist()
+
+
+@functools.lru_cache(maxsize=1)
+def _factors():
+    import numpy as np
+
+    return np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def _hashes_of(batch, words: int) -> list:
+    return [shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column(1)]
+
+
+def _signatures(batches: Iterator, words: int) -> Iterator:
+    import pyarrow as pa
+    from xxhash import xxh3_128_digest
+
+    for batch in batches:
+        digests, fps, bands = [], [], []
+        for hashes in _hashes_of(batch, words):
+            digests.append(xxh3_128_digest(hashes.tobytes()))
+            a, b = signature(hashes)
+            fps.append(a)
+            bands.append(b)
+        columns = [batch.column(0), pa.array(digests, pa.binary()), *(pa.array([x[k] for x in fps], pa.int64()) for k in range(LOOKS)), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", *(f"fp{k}" for k in range(LOOKS)), "bands"])
+
+
+def _shingle_sets(batches: Iterator, words: int) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _hashes_of(batch, words)], pa.binary())], names=["id", "shingles"])
+
+
+def _verified(batches: Iterator, similarity: float) -> Iterator:
+    """Of rows a, b and their shingle sets, the pairs whose sets have the similarity at least."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) / max(len(x), len(y)) >= similarity else 0
+            keep.append(common / (len(x) + len(y) - common) >= similarity)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _candidates(batches: Iterator, radius: int, few: int, nearest: int) -> Iterator:
+    """Pairs in rows sorted by cell (columns cell, tile, node, fp0, ... and maybe root). All pairs of a cell of few rows.
+
+    In others, a row's nearest earlier ones within the radius or, with roots,
+    all pairs of different roots within it.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def found(rows) -> Iterator:
+        starts = np.flatnonzero(np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))))
+        sizes, node = np.diff(np.append(starts, rows.shape[1])), rows[2]
+        fps, roots = rows[3 : 3 + LOOKS].view(np.uint64), rows[3 + LOOKS] if rows.shape[0] > 3 + LOOKS else None
+        a, b, held = [], [], 0
+        if roots is None:
+            places = np.flatnonzero(np.repeat((sizes <= few) & (sizes > 1), sizes))
+            group = np.repeat(np.arange(len(sizes)), sizes)[places]
+            for step in range(1, few):
+                at = np.flatnonzero(group[step:] == group[:-step])
+                if not len(at):
+                    break
+                a.append(node[places[at]])
+                b.append(node[places[at + step]])
+        for k in np.flatnonzero(sizes > few):
+            own = slice(starts[k], starts[k] + sizes[k])
+            table, names, root = np.ascontiguousarray(fps[:, own]), node[own], None if roots is None else roots[own]
+            for j in range(1, sizes[k]):
+                far = np.bitwise_count(table[:, :j] ^ table[:, j : j + 1]).sum(axis=0, dtype=np.int16)
+                near = np.flatnonzero(far <= radius if root is None else (far <= radius) & (root[:j] != root[j]))
+                if root is None and len(near) > nearest:
+                    near = near[np.argpartition(far[near], nearest)[:nearest]]
+                a.append(names[near])
+                b.append(np.full(len(near), names[j]))
+                held += len(near)
+                if held > 1_000_000:
+                    yield batch_of(a, b)
+                    a, b, held = [], [], 0
+        yield batch_of(a, b)
+
+    def batch_of(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    held = None
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.columns])
+        rows = rows if held is None else np.concatenate((held, rows), axis=1)
+        if not rows.shape[1]:
+            continue
+        last = np.flatnonzero((rows[:2] != rows[:2, -1:]).any(axis=0))
+        cut = last[-1] + 1 if len(last) else 0
+        if cut:
+            yield from found(rows[:, :cut])
+        held = rows[:, cut:]
+    if held is not None and held.shape[1]:
+        yield from found(held)
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, scratch: Scratch, cell_rows: int = CELL_ROWS, few: int = FEW) -> DataFrame:
+    """Links (a, b) whose shingle sets have the similarity at least. Their components are those of all such pairs that share a band.
+
+    docs: id and text; nodes: node (an id), fp0, ... and bands. Rows of a cell
+    are compared in two rounds. The first verifies all pairs of a cell of few
+    rows, and links a row of a larger one to its nearest earlier ones, which
+    joins a large group of near copies; the second verifies what is left: pairs
+    of larger cells that the first left in different components.
+    """
+    fps = [f"fp{k}" for k in range(LOOKS)]
+    cells = nodes.select("node", *fps, F.explode("bands").alias("cell"))
+    large = scratch.table(nodes.select(F.explode("bands").alias("cell")).groupBy("cell").count().where(F.col("count") > few), "large")
+    crowded = large.where(F.col("count") > cell_rows).withColumn("parts", F.ceil(F.col("count") / cell_rows)).drop("count")
+    n_large, n_crowded = large.count(), crowded.count()
+
+    def pairs(cells: DataFrame, own: list[str]) -> DataFrame:
+        if n_crowded:
+            cells = cells.join(F.broadcast(crowded) if n_crowded <= 20_000 else crowded, "cell", "left")
+            part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))
+            tile = lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j)
+            tiles = F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), tile)))
+            cells = cells.select("cell", F.explode(tiles).alias("tile"), *own)
+        else:
+            cells = cells.select("cell", F.lit(-1).cast("long").alias("tile"), *own)
+        dealt = cells.repartition("cell", "tile").sortWithinPartitions("cell", "tile", "node")
+        return dealt.mapInArrow(lambda batches: _candidates(batches, FAR, few, NEAREST), "a long, b long").distinct()
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = docs.join(asked, "id", "left_semi").mapInArrow(lambda batches: _shingle_sets(batches, words), "id long, shingles binary")
+        sets = scratch.table(sets, f"{name}-sets")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        return scratch.table(both.select("a", "b", "x", "y").mapInArrow(lambda batches: _verified(batches, similarity), "a long, b long"), name)
+
+    tried = scratch.table(pairs(cells, ["node", *fps]), "tried")
+    found = verified(tried, "verified")
+    if not n_large:
+        return found
+    known = nodes.join(star_roots(found, scratch), "node", "left").select("node", *fps, F.explode("bands").alias("cell"), F.coalesce("root", "node").alias("root"))
+    left = pairs(known.join(large.select("cell"), "cell", "left_semi"), ["node", *fps, "root"]).join(tried, ["a", "b"], "left_anti")
+    return found.unionByName(verified(scratch.table(left, "left"), "verified-left"))
+
+
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows, with all columns, that are first in their class. Ids must be distinct; rows without an id stay.
+    """The input rows, with all columns, that are first in their class. Ids must be distinct; rows without an id stay, and link no others.
 
-    Two texts are linked if one of two fingerprints over word pairs differs in 8
-    bits at most and that over shingles of ``words`` words in
-    ``radius_for(similarity)`` bits at most.
+    Two texts are linked if the sets of their shingles of ``words`` words have
+    the Jaccard similarity at least; a class is a connected component.
     """
-    found = near_duplicates(docs, words=2, radius=8, looks=2, confirm=(words, similarity), id_col=id_col, text_col=text_col)
-    repeats = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__repeat"))
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    fps = [f"fp{k}" for k in range(LOOKS)]
+    rows = texts.mapInArrow(lambda batches: _signatures(batches, words), f"id long, digest binary, {', '.join(f'{c} long' for c in fps)}, bands array<long>")
+    rows = scratch.table(rows, "rows")
+    nodes = rows.groupBy("digest").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in (*fps, "bands"))).drop("digest")
+    nodes = scratch.table(nodes, "nodes")
+    later = star_roots(verified_links(texts, nodes, words, similarity, scratch), scratch).select("node")
+    firsts = nodes.select("node").join(later, "node", "left_anti")
+    repeats = rows.select(F.col("id").alias("__repeat")).join(firsts, F.col("__repeat") == F.col("node"), "left_anti")
     return docs.join(repeats, F.col(id_col) == F.col("__repeat"), "left_anti")

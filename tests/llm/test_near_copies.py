@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from larkspur.llm import simhash
 from larkspur.llm.common import Scratch
 from pyspark.sql import functions as F
@@ -37,6 +38,20 @@ def test_texts_below_the_similarity_stay(spark):
     assert kept(spark, rows) == [i for i, _ in rows]
 
 
+@pytest.mark.parametrize("size", [200, 600])
+def test_block_edits_are_found(spark, size):
+    """A block added or cut, at the start, within or at the end."""
+    rng, rows = random.Random(size), []
+    for k in range(120):
+        base = words(rng, size).split()
+        aim = 0.80 + 0.1 * (k % 11) / 10
+        block, at = int((size - 8) / aim) - size, [0, size // 3, size][k % 3]
+        other = base[:at] + words(rng, block).split() + base[at:]
+        rows += [(2 * k + k % 2, " ".join(base)), (2 * k + 1 - k % 2, " ".join(other))]
+        assert 0.8 <= similarity(rows[-1][1], rows[-2][1]) < 0.95
+    assert kept(spark, rows) == [2 * k for k in range(120)]
+
+
 def test_large_groups_lose_no_link(spark):
     """Cells beyond a few rows, tiled: the components are those of all pairs."""
     rng, texts = random.Random(8), {}

@@ -15,6 +15,7 @@ partitions: nothing is shuffled, and memory is bounded by one Arrow batch and
 one group. Only the last group of a partition can be small.
 
 Edge cases: null text counts as empty, and an empty text is its end id alone.
+An added token of the vocabulary that occurs in a text gives its own id.
 Ids may be null or repeated: every row is a document of its own. An empty table
 gives an empty result. Extra columns are not read.
 """
@@ -35,8 +36,7 @@ WINDOW, PIECE, GROUP_WINDOWS, SLACK = 2048, 256, 64, 15
 
 
 @functools.lru_cache(maxsize=2)
-def byte_bpe(path: str, pattern: str) -> Callable[[str], list[int]]:
-    """The encoder of a byte-level BPE vocabulary file; special strings are ordinary text."""
+def _encoding(path: str, pattern: str):
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -44,9 +44,19 @@ def byte_bpe(path: str, pattern: str) -> Callable[[str], list[int]]:
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     hidden = [b for b in range(256) if b not in shown]
     byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-    added = {x["content"] for x in spec.get("added_tokens", [])}
+    added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     ranks = {bytes(byte_of[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in added}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+
+
+def byte_bpe(path: str, pattern: str) -> Callable[[str], list[int]]:
+    """The encoder of a byte-level BPE vocabulary file; special strings are ordinary text."""
+    return _encoding(path, pattern).encode_ordinary
+
+
+def with_added_tokens(path: str, pattern: str) -> Callable[[str], list[int]]:
+    """The encoder of a byte-level BPE vocabulary file; text is split at its added tokens, which give their own ids."""
+    return functools.partial(_encoding(path, pattern).encode, allowed_special="all")
 
 
 def differencing(sizes: list[int], parts: int) -> list[list[int]]:
@@ -94,7 +104,7 @@ def _pack(batches: Iterator, path: str, pattern: str, end_id: int, window: int,
     import pyarrow as pa
     from pyspark import TaskContext
 
-    encode = byte_bpe(path, pattern)
+    encode = with_added_tokens(path, pattern)
     sequence, limit = TaskContext.get().partitionId() << 32, group_windows * (window - slack)
     rows, group, held = [], [], 0  # rows: (id, start, ids, doc's ids, sequence, offset)
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import os
+import re
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +17,35 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]"
 
 
+#: Lets Spark remove a statement's shuffle files when the statement ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse.
+
+    A warehouse on the driver's own disk serves only where executors run in the driver.
+    """
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master) and warehouse.startswith(("file:", "/")):
+        raise ValueError(f"executors can't share {warehouse}: set spark.checkpoint.dir to a folder that all machines reach")
+    return f"{warehouse}/_scratch"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Statements that end here leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,15 +71,14 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         where = f"{self.path}/{name}"
-        # Lets Spark's cleaner remove shuffle files that only finished plans used; a finished job's plan is held until the next job.
-        self.spark.range(1).collect()
-        gc.collect()
-        self.spark._jvm.System.gc()
-        df.write.mode("overwrite").option("compression", "zstd").parquet(where)
+        with shuffles_freed(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
-    def drop(self, name: str = "") -> None:
-        self._remove(f"{self.path}/{name}" if name else self.path)
+    def drop(self, *names: str) -> None:
+        """Remove tables whose last reader is done; without names, all."""
+        for where in [f"{self.path}/{name}" for name in names] or [self.path]:
+            self._remove(where)
 
     def _remove(self, where: str) -> None:
         try:

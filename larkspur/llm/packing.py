@@ -1,18 +1,23 @@
 """Packing into windows by Karmarkar-Karp multiway differencing.
 
-Every text is encoded, closed with an end id and cut into pieces: whole windows
-where it is long enough, then pieces of ``piece`` ids and a shorter last one. Pieces are
-taken in groups worth ``group_windows`` windows. In a group each piece begins as
-a partial partition with one filled part; the two partitions with the largest
-imbalance are merged with opposing order, largest part on smallest, until one
-partition is left. Its parts are the windows, of near-equal size. Where the
-largest exceeds the capacity, the group is partitioned again with one window
-more.
-
-A group is closed a little below the capacity of its windows, by cutting the
-last piece, so that near-equal windows fit. Groups are formed within the input
-partitions: nothing is shuffled, and memory is bounded by one Arrow batch and
-one group. Only the last group of a partition can be small.
+Every text is encoded and closed with an end id. A text that fits a window stays
+one piece. A longer one, which must be cut anyway, gives whole windows, and what
+is left of it gives pieces of ``piece`` ids that help to even the windows out.
+Pieces are taken in groups worth ``group_windows`` windows. In a group each piece
+begins as a partial partition with one filled part; the two partitions with the
+largest imbalance are merged with opposing order, largest part on smallest,
+until one partition is left. Its parts are the windows, of near-equal size.
+Where the largest exceeds the capacity, the group is partitioned again with one
+window more.
+
+A group is closed a little below the capacity of its windows, by cutting its
+last piece: of the texts that fit a window, one a group at most is cut. Groups are
+formed within the input partitions: nothing is shuffled, and memory is bounded by
+one Arrow batch and one group. Only the last group of a partition can be small.
+
+Texts with a run of over ``LONG_RUN`` white-space characters are encoded by
+``tokenizers`` itself, which takes runs of any length; the faster encoder of all
+others, whose ids are the same, can't backtrack through a run of a million.
 
 Edge cases: null text counts as empty, and an empty text is its end id alone.
 An added token of the vocabulary that occurs in a text gives its own id.
@@ -25,6 +30,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-WINDOW, PIECE, GROUP_WINDOWS, SLACK = 2048, 256, 64, 15
+WINDOW, PIECE, GROUP_WINDOWS, SLACK, LONG_RUN = 2048, 64, 128, 15, 10_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -49,6 +55,13 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
+@functools.lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(path)
+
+
 def byte_bpe(path: str, pattern: str) -> Callable[[str], list[int]]:
     """The encoder of a byte-level BPE vocabulary file; special strings are ordinary text."""
     return _encoding(path, pattern).encode_ordinary
@@ -56,7 +69,14 @@ def byte_bpe(path: str, pattern: str) -> Callable[[str], list[int]]:
 
 def with_added_tokens(path: str, pattern: str) -> Callable[[str], list[int]]:
     """The encoder of a byte-level BPE vocabulary file; text is split at its added tokens, which give their own ids."""
-    return functools.partial(_encoding(path, pattern).encode, allowed_special="all")
+    plain, long_run = functools.partial(_encoding(path, pattern).encode, allowed_special="all"), re.compile(r"\s{%d}" % LONG_RUN)
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= LONG_RUN and long_run.search(text):
+            return _tokenizer(path).encode(text, add_special_tokens=False).ids
+        return plain(text)
+
+    return encode
 
 
 def differencing(sizes: list[int], parts: int) -> list[list[int]]:
@@ -94,7 +114,9 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def cut(total: int, window: int, piece: int) -> list[int]:
-    """Lengths: whole windows first, then whole pieces and what is left; the short last pieces even the windows out."""
+    """Lengths: a text that fits a window as it is; else whole windows, then whole pieces and what is left."""
+    if total <= window:
+        return [total]
     whole, rest = divmod(total, window)
     return [window] * whole + [piece] * (rest // piece) + [rest % piece] * (rest % piece > 0)
 
@@ -130,7 +152,7 @@ def _pack(batches: Iterator, path: str, pattern: str, end_id: int, window: int,
             ids.append(end_id)
             data, total, at = np.array(ids, dtype="<u4").tobytes(), len(ids), 0
             for n in cut(total, window, piece):
-                if n == window:
+                if n == window < total:
                     rows.append((doc, at, data[4 * at : 4 * (at + n)], total, sequence, 0))
                     sequence += 1
                     at += n

@@ -29,10 +29,15 @@ For shingles with similarity s, two fingerprints are expected to differ in
 64 acos(2s / (1 + s)) / pi bits; ``radius_for`` adds three standard deviations.
 
 The near copies of the pipeline are pairs with a stated Jaccard similarity of
-their shingle sets. Fingerprints only estimate it, so pairs are verified by the sets
-themselves. Candidates share a band of minima of the hashed shingles, which
-depends on the similarity and not on where a text was edited; in large cells,
-fingerprints of the same shingles discard pairs that are far off.
+their shingle sets. Fingerprints estimate it, wherever a text was edited, but two
+texts at 0.8 differ in about a seventh of the bits, too many for cells that lose
+nothing. There, fingerprints of LOOKS * 64 bits are dealt into cells by drawn
+pivots: each of T tables takes the coordinates of k unit pivots, and texts that
+agree in all k meet in a cell of it. k and T are those of least cost (rows moved
+and pairs compared) for the number of texts at which a pair of exactly the stated
+similarity is met with a probability of RECALL, and a closer one with more. In a
+cell, the numbers of shingles and the distances over one and two words of the
+fingerprint discard pairs; survivors are verified by the sets themselves.
 
 In a cell, links are reduced to a star for each component found there, so a cell
 of many near copies gives as many links as it has members. A cell larger than
@@ -62,8 +67,8 @@ from .common import Scratch, ship
 from .components import star_roots
 
 RADIUS, CELL_ROWS, CELL_AIM, PIVOTS, SEED = 4, 16_384, 32, 12, 42
-#: Near copies: bands of minima (of pairs with a similarity of 0.8, all but 5 in 100,000 share one), fingerprints, bits of them all that pairs in large cells may differ in, rows of a small cell, nearest rows tried in a larger one.
-BANDS, BAND_ROWS, LOOKS, FAR, FEW, NEAREST = 25, 5, 4, 73, 32, 4
+#: Near copies: words of a fingerprint, words carried to cells, the probability with which a pair at the stated similarity meets, standard deviations that its distance may lie above the expected one, near anchors that a row of a cell is tried with first, tables dealt at once, and the costs of moving a row to a cell and of comparing a pair there: nanoseconds of one core, the former with as much again for disk and network.
+LOOKS, CARRIED, RECALL, SPREAD, NEAREST, TABLES_AT_ONCE, ROW_COST, PAIR_COST = 4, 2, 0.998, 4.5, 4, 24, 10_000, 1.5
 
 
 def fingerprint(text: bytes, words: int, looks: int = 1) -> list[int]:
@@ -112,8 +117,16 @@ def fingerprints(docs: DataFrame, kinds: list[tuple[int, int]], id_col: str = "d
 
 def radius_for(similarity: float) -> int:
     """Differing bits of 64 that three in a thousand pairs of this similarity exceed, at most."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * share + 3 * math.sqrt(64 * share * (1 - share)))
+    return distance_within(64, share_differing(similarity), 3)
+
+
+def share_differing(similarity: float) -> float:
+    """Of the bits of two fingerprints, those expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def distance_within(bits: int, share: float, deviations: float) -> int:
+    return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -268,32 +281,55 @@ def shingle_hashes(text: bytes, words: int):
     return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
 
 
-def signature(hashes) -> tuple[list[int], list[int]]:
-    """Of distinct shingle hashes: LOOKS fingerprints, and BANDS digests of BAND_ROWS minima each."""
+def signature(hashes) -> list[int]:
+    """Of distinct shingle hashes: the LOOKS words of the fingerprint, as signed integers."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    factors = _factors()
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
     ones = np.zeros((LOOKS, 64), np.int64)
-    for k in range(0, len(hashes), 512):
-        some = hashes[k : k + 512]
-        least = np.minimum(least, (factors[:, None] * some[None, :]).min(axis=1))
+    for k in range(0, len(hashes), 4096):
+        some = hashes[k : k + 4096]
         for look in range(LOOKS):
             if look:
                 some = (some ^ (some >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
                 some ^= some >> np.uint64(29)
             ones[look] += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    fps = np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view(np.int64).ravel().tolist()
-    bands = np.array([xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
-    return fps, bands.view(np.int64).tolist()
-
-
-@functools.lru_cache(maxsize=1)
-def _factors():
-    import numpy as np
-
-    return np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
+def meeting(bits: int, tables: int, share: float, width: int = 64 * LOOKS) -> float:
+    """The probability that two fingerprints agree in all drawn bits of a table, where each of their bits differs with the probability share."""
+    found = 0.0
+    for d in range(width - bits + 1):
+        likely = math.exp(math.lgamma(width + 1) - math.lgamma(d + 1) - math.lgamma(width - d + 1) + d * math.log(share) + (width - d) * math.log1p(-share)) if share else float(d == 0)
+        agree = math.prod((width - d - i) / (width - i) for i in range(bits))
+        found += likely * -math.expm1(tables * math.log1p(-agree)) if agree < 1 else likely
+    return found
+
+
+@functools.lru_cache(maxsize=64)
+def tables_for(texts: int, similarity: float) -> tuple[int, int]:
+    """Bits of a table and number of tables, of least cost for so many texts."""
+    share, best = share_differing(similarity), (math.inf, 0, 0)
+    for bits in range(1, 41):
+        low, high = 0, 1
+        while meeting(bits, high, share) < RECALL and high * ROW_COST < best[0]:
+            low, high = high, 2 * high
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (low, middle) if meeting(bits, middle, share) >= RECALL else (middle, high)
+        best = min(best, (high * (ROW_COST + texts / 2**bits / 2 * PAIR_COST), bits, high))
+    return best[1:]
+
+
+def table_masks(bits: int, tables: int) -> list[list[int]]:
+    """For each table the drawn unit pivots, as a mask over each word of the fingerprint."""
+    rng, out = random.Random(SEED), []
+    for _ in range(tables):
+        masks = [0] * LOOKS
+        for k in rng.sample(range(64 * LOOKS), bits):
+            masks[k // 64] |= 1 << k % 64
+        out.append([m - (1 << 64) if m >> 63 else m for m in masks])
+    return out
 
 
 def _hashes_of(batch, words: int) -> list:
@@ -305,14 +341,10 @@ def _signatures(batches: Iterator, words: int) -> Iterator:
     from xxhash import xxh3_128_digest
 
     for batch in batches:
-        digests, fps, bands = [], [], []
-        for hashes in _hashes_of(batch, words):
-            digests.append(xxh3_128_digest(hashes.tobytes()))
-            a, b = signature(hashes)
-            fps.append(a)
-            bands.append(b)
-        columns = [batch.column(0), pa.array(digests, pa.binary()), *(pa.array([x[k] for x in fps], pa.int64()) for k in range(LOOKS)), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", *(f"fp{k}" for k in range(LOOKS)), "bands"])
+        sets = _hashes_of(batch, words)
+        fps = [signature(x) for x in sets]
+        columns = [batch.column(0), pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), *(pa.array([x[k] for x in fps], pa.int64()) for k in range(LOOKS))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "shingles", *(f"fp{k}" for k in range(LOOKS))])
 
 
 def _shingle_sets(batches: Iterator, words: int) -> Iterator:
@@ -336,47 +368,108 @@ def _verified(batches: Iterator, similarity: float) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _candidates(batches: Iterator, radius: int, few: int, nearest: int) -> Iterator:
-    """Pairs in rows sorted by cell (columns cell, tile, node, fp0, ... and maybe root). All pairs of a cell of few rows.
-
-    In others, a row's nearest earlier ones within the radius or, with roots,
-    all pairs of different roots within it.
+class Cell:
+    """Fingerprints and numbers of shingles of the texts that met, and how far apart they may be."""
+
+    def __init__(self, fps, shingles, bounds: list[int], similarity: float):
+        self.fps, self.shingles, self.bounds, self.similarity = fps, shingles, bounds, similarity
+
+    def near(self, rows, columns):
+        """Places (of rows, of columns) of the pairs that nothing discards, and their distances. Only columns before the row are met."""
+        import numpy as np
+
+        word = self.fps[0]
+        r, c = np.nonzero(np.bitwise_count(word[rows][:, None] ^ word[columns][None, :]) <= self.bounds[0])
+        x, y = rows[r], columns[c]
+        ahead = y < x
+        x, y = x[ahead], y[ahead]
+        far = np.bitwise_count(word[x] ^ word[y]).astype(np.int16)
+        for other, bound in zip(self.fps[1:], self.bounds[1:], strict=True):
+            far += np.bitwise_count(other[x] ^ other[y])
+            some = far <= bound
+            x, y, far = x[some], y[some], far[some]
+        some = np.minimum(self.shingles[x], self.shingles[y]) / np.maximum(self.shingles[x], self.shingles[y]) >= self.similarity
+        return x[some], y[some], far[some]
+
+    def anchored(self, nearest: int, block: int = 128):
+        """Pairs of rows and earlier anchors, and whether some pairs are left. A row that is near ``nearest`` anchors meets the nearest of them and becomes no anchor, so that a group of near copies gives few pairs a row."""
+        import numpy as np
+
+        m, anchors, left, a, b = self.fps.shape[1], np.empty(0, np.int64), False, [], []
+        for start in range(0, m, block):
+            rows = np.arange(start, min(m, start + block))
+            x, y, far = self.near(rows, np.concatenate((anchors, rows)))
+            if np.bincount(x - start, minlength=1).max() < nearest:
+                a.append(x)
+                b.append(y)
+                anchors = np.concatenate((anchors, rows))
+                continue
+            order = np.lexsort((y, far, x))
+            x, y = x[order], y[order]
+            open_, ends = np.ones(len(rows), bool), np.searchsorted(x, np.append(rows, m))
+            for k, row in enumerate(rows):
+                met = y[ends[k] : ends[k + 1]]
+                met = met[(met < start) | open_[np.maximum(met - start, 0)]]
+                if len(met) >= nearest:
+                    met, open_[k], left = met[:nearest], False, True
+                a.append(np.full(len(met), row))
+                b.append(met)
+            anchors = np.concatenate((anchors, rows[open_]))
+        return np.concatenate(a), np.concatenate(b), left
+
+    def between(self, roots, block: int = 128) -> Iterator:
+        """All pairs of different roots."""
+        import numpy as np
+
+        values, place, n = np.unique(roots, return_inverse=True, return_counts=True)
+        order = np.argsort(place != n.argmax(), kind="stable")  # the largest component comes first, and needs no comparison within
+        own = Cell(self.fps[:, order], self.shingles[order], self.bounds, self.similarity)
+        for start in range(int(n.max()), len(roots), block):
+            rows = np.arange(start, min(len(roots), start + block))
+            x, y, _ = own.near(rows, np.arange(rows[-1] + 1))
+            x, y = order[x], order[y]
+            differ = roots[x] != roots[y]
+            yield x[differ], y[differ]
+
+
+def _candidates(batches: Iterator, bounds: list[int], similarity: float, nearest: int) -> Iterator:
+    """Pairs a, b in rows sorted by cell (columns cell, tile, node, shingles, fp0, ... and maybe root). With roots, all near pairs of different ones.
+
+    Without, rows meet anchors; where that leaves pairs, their cell is given.
     """
     import numpy as np
     import pyarrow as pa
 
+    def batch_of(a, b, cells=()) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+        none = np.zeros(len(cells), np.int64)
+        pair = np.arange(len(a) + len(cells)) >= len(a)
+        columns = [pa.array(np.concatenate((x, none)), pa.int64(), mask=pair) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate((np.zeros(len(a), np.int64), np.array(cells, np.int64))), pa.int64(), mask=~pair)], names=["a", "b", "cell"])
+
     def found(rows) -> Iterator:
         starts = np.flatnonzero(np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))))
-        sizes, node = np.diff(np.append(starts, rows.shape[1])), rows[2]
-        fps, roots = rows[3 : 3 + LOOKS].view(np.uint64), rows[3 + LOOKS] if rows.shape[0] > 3 + LOOKS else None
-        a, b, held = [], [], 0
-        if roots is None:
-            places = np.flatnonzero(np.repeat((sizes <= few) & (sizes > 1), sizes))
-            group = np.repeat(np.arange(len(sizes)), sizes)[places]
-            for step in range(1, few):
-                at = np.flatnonzero(group[step:] == group[:-step])
-                if not len(at):
-                    break
-                a.append(node[places[at]])
-                b.append(node[places[at + step]])
-        for k in np.flatnonzero(sizes > few):
-            own = slice(starts[k], starts[k] + sizes[k])
-            table, names, root = np.ascontiguousarray(fps[:, own]), node[own], None if roots is None else roots[own]
-            for j in range(1, sizes[k]):
-                far = np.bitwise_count(table[:, :j] ^ table[:, j : j + 1]).sum(axis=0, dtype=np.int16)
-                near = np.flatnonzero(far <= radius if root is None else (far <= radius) & (root[:j] != root[j]))
-                if root is None and len(near) > nearest:
-                    near = near[np.argpartition(far[near], nearest)[:nearest]]
-                a.append(names[near])
-                b.append(np.full(len(near), names[j]))
-                held += len(near)
+        a, b, left, held = [], [], [], 0
+        for start, end in zip(starts.tolist(), np.append(starts[1:], rows.shape[1]).tolist(), strict=True):
+            if end - start < 2:
+                continue
+            own = rows[:, start:end]
+            cell = Cell(np.ascontiguousarray(own[4 : 4 + CARRIED]).view(np.uint64), own[3], bounds, similarity)
+            if rows.shape[0] == 4 + CARRIED:
+                x, y, more = cell.anchored(nearest)
+                if more:
+                    left.append(own[0, 0])
+                parts = [(x, y)]
+            else:
+                parts = cell.between(own[4 + CARRIED])
+            for x, y in parts:
+                a.append(own[2][y])
+                b.append(own[2][x])
+                held += len(x)
                 if held > 1_000_000:
                     yield batch_of(a, b)
                     a, b, held = [], [], 0
-        yield batch_of(a, b)
-
-    def batch_of(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)], names=["a", "b"])
+        yield batch_of(a, b, left)
 
     held = None
     for batch in batches:
@@ -393,23 +486,29 @@ def _candidates(batches: Iterator, radius: int, few: int, nearest: int) -> Itera
         yield from found(held)
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, scratch: Scratch, cell_rows: int = CELL_ROWS, few: int = FEW) -> DataFrame:
-    """Links (a, b) whose shingle sets have the similarity at least. Their components are those of all such pairs that share a band.
+def verified_links(docs: DataFrame, nodes: DataFrame, n: int, words: int, similarity: float, scratch: Scratch, cell_rows: int = CELL_ROWS, nearest: int = NEAREST) -> DataFrame:
+    """Links (a, b) whose shingle sets have the similarity at least. Their components are those of all such pairs that meet in a cell.
 
-    docs: id and text; nodes: node (an id), fp0, ... and bands. Rows of a cell
-    are compared in two rounds. The first verifies all pairs of a cell of few
-    rows, and links a row of a larger one to its nearest earlier ones, which
-    joins a large group of near copies; the second verifies what is left: pairs
-    of larger cells that the first left in different components.
+    docs: id and text; nodes (n of them): node (an id), shingles (their number),
+    fp0, .... Rows of a cell are compared in two rounds. The first compares a row
+    with the cell's anchors, which are all rows but those near several anchors;
+    it joins a large group of near copies. The second compares what is left: in
+    cells with such rows, all pairs that the first left in different components.
+    Tables are dealt a few at a time, so that the disk holds few rows per text at once.
     """
-    fps = [f"fp{k}" for k in range(LOOKS)]
-    cells = nodes.select("node", *fps, F.explode("bands").alias("cell"))
-    large = scratch.table(nodes.select(F.explode("bands").alias("cell")).groupBy("cell").count().where(F.col("count") > few), "large")
-    crowded = large.where(F.col("count") > cell_rows).withColumn("parts", F.ceil(F.col("count") / cell_rows)).drop("count")
-    n_large, n_crowded = large.count(), crowded.count()
-
-    def pairs(cells: DataFrame, own: list[str]) -> DataFrame:
-        if n_crowded:
+    share, carried = share_differing(similarity), [f"fp{k}" for k in range(CARRIED)]
+    bounds = [distance_within(64 * (k + 1), share, SPREAD) for k in range(CARRIED)]
+    masks = table_masks(*tables_for(max(n, 1), similarity))
+
+    def met(texts: DataFrame, first: int, own: list[str], only: DataFrame | None = None) -> DataFrame:
+        drawn = enumerate(masks[first : first + TABLES_AT_ONCE], first)
+        cell = F.explode(F.array(*(F.xxhash64(F.lit(t), *(F.col(f"fp{k}").bitwiseAND(F.lit(m)) for k, m in enumerate(words_of) if m)) for t, words_of in drawn))).alias("cell")
+        cells = texts.select(cell, *own)
+        if only is not None:
+            cells = cells.join(only, "cell", "left_semi")
+        crowded = cells.groupBy("cell").count().where(F.col("count") > cell_rows).withColumn("parts", F.ceil(F.col("count") / cell_rows)).drop("count")
+        crowded = scratch.table(crowded, f"crowded-{uuid.uuid4().hex}")
+        if n_crowded := crowded.count():  # as many cells as rows / cell_rows at most; broadcast if they are few, else joined by key
             cells = cells.join(F.broadcast(crowded) if n_crowded <= 20_000 else crowded, "cell", "left")
             part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))
             tile = lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j)
@@ -418,22 +517,36 @@ def verified_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: fl
         else:
             cells = cells.select("cell", F.lit(-1).cast("long").alias("tile"), *own)
         dealt = cells.repartition("cell", "tile").sortWithinPartitions("cell", "tile", "node")
-        return dealt.mapInArrow(lambda batches: _candidates(batches, FAR, few, NEAREST), "a long, b long").distinct()
+        return dealt.mapInArrow(lambda batches: _candidates(batches, bounds, similarity, nearest), "a long, b long, cell long")
+
+    def in_turns(texts: DataFrame, own: list[str], name: str, only: DataFrame | None = None) -> DataFrame:
+        rounds = [scratch.table(met(texts, first, own, only), f"{name}{first}") for first in range(0, len(masks), TABLES_AT_ONCE)]
+        together = scratch.table(functools.reduce(DataFrame.unionByName, rounds).distinct(), name)
+        scratch.drop(*(f"{name}{first}" for first in range(0, len(masks), TABLES_AT_ONCE)))
+        return together
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         sets = docs.join(asked, "id", "left_semi").mapInArrow(lambda batches: _shingle_sets(batches, words), "id long, shingles binary")
         sets = scratch.table(sets, f"{name}-sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        return scratch.table(both.select("a", "b", "x", "y").mapInArrow(lambda batches: _verified(batches, similarity), "a long, b long"), name)
+        found = scratch.table(both.select("a", "b", "x", "y").mapInArrow(lambda batches: _verified(batches, similarity), "a long, b long"), name)
+        scratch.drop(f"{name}-sets")
+        return found
 
-    tried = scratch.table(pairs(cells, ["node", *fps]), "tried")
-    found = verified(tried, "verified")
-    if not n_large:
+    own = ["node", F.col("shingles").cast("long").alias("shingles"), *carried]
+    tried = in_turns(nodes, own, "tried")
+    pairs = tried.where("cell IS NULL").select("a", "b")
+    found = verified(pairs, "verified")
+    large = scratch.table(tried.where("cell IS NOT NULL").select("cell").distinct(), "large")
+    if large.isEmpty():
         return found
-    known = nodes.join(star_roots(found, scratch), "node", "left").select("node", *fps, F.explode("bands").alias("cell"), F.coalesce("root", "node").alias("root"))
-    left = pairs(known.join(large.select("cell"), "cell", "left_semi"), ["node", *fps, "root"]).join(tried, ["a", "b"], "left_anti")
-    return found.unionByName(verified(scratch.table(left, "left"), "verified-left"))
+    n_large = large.count()
+    known = nodes.join(star_roots(found, scratch), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = scratch.table(known, "known")
+    left = in_turns(known, [*own, "root"], "left", F.broadcast(large) if n_large <= 200_000 else large).select("a", "b")
+    more = verified(scratch.table(left.join(pairs, ["a", "b"], "left_anti"), "new"), "verified-left")
+    return found.unionByName(more)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -445,11 +558,11 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     scratch = Scratch(docs.sparkSession, "near-copies")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     fps = [f"fp{k}" for k in range(LOOKS)]
-    rows = texts.mapInArrow(lambda batches: _signatures(batches, words), f"id long, digest binary, {', '.join(f'{c} long' for c in fps)}, bands array<long>")
+    rows = texts.mapInArrow(lambda batches: _signatures(batches, words), f"id long, digest binary, shingles int, {', '.join(f'{c} long' for c in fps)}")
     rows = scratch.table(rows, "rows")
-    nodes = rows.groupBy("digest").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in (*fps, "bands"))).drop("digest")
+    nodes = rows.groupBy("digest").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("shingles", *fps))).drop("digest")
     nodes = scratch.table(nodes, "nodes")
-    later = star_roots(verified_links(texts, nodes, words, similarity, scratch), scratch).select("node")
+    later = star_roots(verified_links(texts, nodes, nodes.count(), words, similarity, scratch), scratch).select("node")
     firsts = nodes.select("node").join(later, "node", "left_anti")
     repeats = rows.select(F.col("id").alias("__repeat")).join(firsts, F.col("__repeat") == F.col("node"), "left_anti")
     return docs.join(repeats, F.col(id_col) == F.col("__repeat"), "left_anti")

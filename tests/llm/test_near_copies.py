@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from larkspur.llm import simhash
 from larkspur.llm.common import Scratch
@@ -66,13 +67,74 @@ def test_large_groups_lose_no_link(spark):
     ids = sorted(texts)
     want = components(ids, [(a, b) for a in ids for b in ids if a < b and similarity(texts[a], texts[b]) >= 0.8])
     docs = spark.createDataFrame(sorted(texts.items()), "id long, text string")
-    signed = [(i, *fps, bands) for i, t in texts.items() for fps, bands in [simhash.signature(simhash.shingle_hashes(t.encode(), 5))]]
-    nodes = spark.createDataFrame(signed, f"node long, {', '.join(f'fp{k} long' for k in range(simhash.LOOKS))}, bands array<long>")
-    for few, cell_rows in ((64, 100_000), (3, 100_000), (3, 10)):
-        found = simhash.verified_links(docs, nodes, 5, 0.8, Scratch(spark, "test"), cell_rows=cell_rows, few=few).collect()
+    sets = {i: simhash.shingle_hashes(t.encode(), 5) for i, t in texts.items()}
+    nodes = spark.createDataFrame([(i, len(x), *simhash.signature(x)) for i, x in sets.items()], f"node long, shingles int, {', '.join(f'fp{k} long' for k in range(simhash.LOOKS))}")
+    for nearest, cell_rows, n in ((1000, 100_000, 0), (1, 100_000, 0), (2, 100_000, 10**6), (1, 10, 0)):
+        found = simhash.verified_links(docs, nodes, n or len(ids), 5, 0.8, Scratch(spark, "test"), cell_rows=cell_rows, nearest=nearest).collect()
+        assert all(similarity(texts[r.a], texts[r.b]) >= 0.8 for r in found)
         assert components(ids, [(r.a, r.b) for r in found]) == want
 
 
+def test_a_cell_leaves_no_near_pair():
+    """Anchored pairs and, where some are left, pairs between the components of those that are links: all links' components."""
+    rng = random.Random(11)
+    fps = []
+    for _ in range(12):
+        base = [rng.getrandbits(64) for _ in range(simhash.CARRIED)]
+        for _ in range(rng.randrange(1, 90)):
+            fps.append([w ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6))) & (1 << 64) - 1 for w in base])
+    rng.shuffle(fps)
+    sizes = [rng.randrange(80, 120) for _ in fps]
+    bounds = [16, 24]
+    table = np.array(fps, np.uint64).T.copy()
+    cell = simhash.Cell(table, np.array(sizes), bounds, 0.8)
+    far = lambda x, y, k: sum((fps[x][i] ^ fps[y][i]).bit_count() for i in range(k + 1))
+    near = {(a, b) for b in range(len(fps)) for a in range(b) if all(far(a, b, k) <= bounds[k] for k in range(2)) and min(sizes[a], sizes[b]) / max(sizes[a], sizes[b]) >= 0.8}
+    for nearest in (1, 4, 1000):
+        x, y, left = cell.anchored(nearest)
+        tried = set(zip(y.tolist(), x.tolist(), strict=True))
+        assert tried <= near and left == (nearest < 1000)
+        links = {p for p in tried if hash(p) % 3}  # some tried pairs turn out to be links
+        roots = {k: min(group) for group in components(range(len(fps)), links) for k in group}
+        more = {tuple(p) for x, y in cell.between(np.array([roots[k] for k in range(len(fps))])) for p in zip(y.tolist(), x.tolist(), strict=True)}
+        assert {tuple(sorted(p)) for p in more} == {p for p in near if roots[p[0]] != roots[p[1]]}
+        if nearest == 1000:
+            assert tried == near
+
+
+def test_tables_grow_slowly():
+    """Rows per text have no large step, and grow as a power of the number of texts of about a third."""
+    sizes = [10**k for k in range(5, 11)]
+    rows = [simhash.tables_for(n, 0.8)[1] for n in sizes]
+    assert rows == sorted(rows) and rows[0] <= 24
+    assert all(b / a <= 10**0.45 for a, b in zip(rows, rows[1:], strict=False)) and rows[-1] / rows[0] <= 10 ** (0.36 * 5)
+    share = simhash.share_differing(0.8)
+    assert all(simhash.meeting(*simhash.tables_for(n, 0.8), share) >= simhash.RECALL for n in sizes)
+
+
+@pytest.mark.parametrize("texts", [10_000, 10_000_000])
+def test_recall_of_the_tables(texts):
+    """Generated copies with a similarity of 0.80 to 0.85, by scattered words and by blocks, as if among so many texts."""
+    rng, met, n = random.Random(texts), 0, 300
+    masks = simhash.table_masks(*simhash.tables_for(texts, 0.8))
+    share = simhash.share_differing(0.8)
+    for k in range(n):
+        size = rng.choice([60, 200, 700])
+        base, other = words(rng, size).split(), None
+        while other is None or not 0.8 <= similarity(" ".join(base), " ".join(other)) < 0.85:
+            other = list(base)
+            if k % 2:
+                at, block = rng.randrange(size), rng.randrange(1, size // 4)
+                other[at:at] = words(rng, block).split()
+            else:
+                for at in rng.sample(range(size), max(1, rng.randrange(size // 60 + 1, size // 30 + 2))):
+                    other[at] = f"x{rng.randrange(999)}"
+        a, b = (simhash.signature(simhash.shingle_hashes(" ".join(x).encode(), 5)) for x in (base, other))
+        close = all(sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a[: k + 1], b[: k + 1], strict=True)) <= simhash.distance_within(64 * (k + 1), share, simhash.SPREAD) for k in range(simhash.CARRIED))
+        met += close and any(all((x ^ y) & m == 0 for x, y, m in zip(a, b, t, strict=True)) for t in masks)
+    assert met / n >= 0.97
+
+
 def test_odd_rows_of_the_near_stage(odd_docs, no_docs):
     assert simhash.drop_near_duplicates(no_docs).count() == 0
     got = simhash.drop_near_duplicates(odd_docs.where(F.col("doc_id").isNull() | ~F.col("doc_id").isin(5, 7)))

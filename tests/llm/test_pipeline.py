@@ -5,9 +5,10 @@ import re
 
 import corpus_pipeline
 import pytest
-from larkspur.llm import quality, simhash
+from larkspur.llm import quality
 
-from .test_dedup import norm
+from .test_dedup import components, norm
+from .test_near_copies import grams
 from .test_text import brute_contamination, check_packed, tokenizer  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
@@ -62,24 +63,12 @@ def test_exact_stage(stages):
 
 
 def test_near_stage(stages):
+    """The classes of all pairs whose five-word shingle sets have a similarity of 0.8 or more."""
     before, after = stages["SimHash near-dedup"]
     rows = sorted(texts(before))
-    limit = simhash.radius_for(0.8)
-    fps = [(simhash.fingerprint((t or "").encode(), 2, 2), simhash.fingerprint((t or "").encode(), 5)[0]) for _, t in rows]
-    far = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(rows)):
-        for b in range(a):
-            if far(fps[a][1], fps[b][1]) <= limit and min(map(far, fps[a][0], fps[b][0])) <= 8:
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    assert sorted(ids(after)) == [rows[k][0] for k in range(len(rows)) if find(k) == k]
+    found = [grams(t or "") for _, t in rows]
+    pairs = [(a, b) for b in range(len(rows)) for a in range(b) if len(found[a] & found[b]) / len(found[a] | found[b]) >= 0.8]
+    assert sorted(ids(after)) == sorted(rows[min(group)][0] for group in components(range(len(rows)), pairs))
 
 
 def test_decontamination_stage(spark, stages):
@@ -127,3 +116,25 @@ def test_run_is_registered(spark):
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+ODD = [(1, None), (2, ""), (3, "a b  c"), (3, "a b  c"), (4, "a b c"), (5, None), (6, "x" * 5000), (7, " " * 1_000_000), (None, "a b c"), (None, None), (8, "clean words that nobody else has in this table")]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_stages_on_odd_and_empty_tables(spark, rows):
+    """Each stage on nulls, repeated rows, a long run of spaces, and on no rows. Rows without an id, and texts that no other row has, stay."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], kinds)
+    found = {name: stage(spark, docs, DATA).collect() for name, stage in corpus_pipeline.STAGES}
+    if not rows:
+        assert not any(found.values())
+        return
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    of = lambda name: [(r.doc_id, r.text) for r in sorted(found[name], key=key)]
+    assert {t for _, t in of("exact dedup")} == {None, "a b  c", "x" * 5000, " " * 1_000_000, ODD[-1][1]}
+    assert [i for i, _ in of("exact dedup")] == [1, 3, 6, 7, 8]
+    near = [i for i, _ in of("SimHash near-dedup")]
+    assert near == [1, 3, 3, 6, 8, None, None]
+    assert len(found["benchmark decontamination"]) == len(ODD)
+    assert sum(r.start == 0 for r in found["packing"]) == len(ODD)

@@ -36,7 +36,7 @@ pivots: each of T tables takes the coordinates of k unit pivots, and texts that
 agree in all k meet in a cell of it. k and T are those of least cost (rows moved
 and pairs compared) for the number of texts at which a pair of exactly the stated
 similarity is met with a probability of RECALL, and a closer one with more. In a
-cell, the numbers of shingles and the distances over one and two words of the
+cell, the numbers of shingles and the distances over one to four words of the
 fingerprint discard pairs; survivors are verified by the sets themselves.
 
 In a cell, links are reduced to a star for each component found there, so a cell
@@ -66,9 +66,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, ship
 from .components import star_roots
 
-RADIUS, CELL_ROWS, CELL_AIM, PIVOTS, SEED = 4, 16_384, 32, 12, 42
+RADIUS, CELL_ROWS, CELL_AIM, PIVOTS, SEED, MAX_BROADCAST_ROWS = 4, 16_384, 32, 12, 42, 1_000_000
 #: Near copies: words of a fingerprint, words carried to cells, the probability with which a pair at the stated similarity meets, standard deviations that its distance may lie above the expected one, near anchors that a row of a cell is tried with first, tables dealt at once, and the costs of moving a row to a cell and of comparing a pair there: nanoseconds of one core, the former with as much again for disk and network.
-LOOKS, CARRIED, RECALL, SPREAD, NEAREST, TABLES_AT_ONCE, ROW_COST, PAIR_COST = 4, 2, 0.998, 4.5, 4, 24, 10_000, 1.5
+LOOKS, CARRIED, RECALL, SPREAD, NEAREST, TABLES_AT_ONCE, ROW_COST, PAIR_COST = 4, 4, 0.998, 4.5, 4, 24, 10_000, 1.5
 
 
 def fingerprint(text: bytes, words: int, looks: int = 1) -> list[int]:
@@ -348,24 +348,15 @@ def _signatures(batches: Iterator, words: int) -> Iterator:
 
 
 def _shingle_sets(batches: Iterator, words: int) -> Iterator:
-    import pyarrow as pa
-
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _hashes_of(batch, words)], pa.binary())], names=["id", "shingles"])
-
-
-def _verified(batches: Iterator, similarity: float) -> Iterator:
-    """Of rows a, b and their shingle sets, the pairs whose sets have the similarity at least."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) / max(len(x), len(y)) >= similarity else 0
-            keep.append(common / (len(x) + len(y) - common) >= similarity)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for k in range(0, batch.num_rows, 256):
+            some = batch.slice(k, 256)
+            sets = _hashes_of(some, words)
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([some.column(0), lists], names=["id", "shingles"])
 
 
 class Cell:
@@ -527,11 +518,16 @@ def verified_links(docs: DataFrame, nodes: DataFrame, n: int, words: int, simila
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = docs.join(asked, "id", "left_semi").mapInArrow(lambda batches: _shingle_sets(batches, words), "id long, shingles binary")
+        asked = scratch.table(asked, f"{name}-asked")
+        few = F.broadcast(asked) if asked.count() <= MAX_BROADCAST_ROWS else asked  # 8 bytes each; texts then stay where they are
+        sets = docs.join(few, "id", "left_semi").mapInArrow(lambda batches: _shingle_sets(batches, words), "id long, shingles array<long>")
         sets = scratch.table(sets, f"{name}-sets")
+        # Row by row in the JVM: the sets of long texts would make large Arrow batches.
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        found = scratch.table(both.select("a", "b", "x", "y").mapInArrow(lambda batches: _verified(batches, similarity), "a long, b long"), name)
-        scratch.drop(f"{name}-sets")
+        # The lambda lets the sets be met once, though their common part is used twice.
+        alike = F.transform(F.array(F.size(F.array_intersect("x", "y"))), lambda n: n / (F.size("x") + F.size("y") - n))[0]
+        found = scratch.table(both.where(alike >= similarity).select("a", "b"), name)
+        scratch.drop(f"{name}-sets", f"{name}-asked")
         return found
 
     own = ["node", F.col("shingles").cast("long").alias("shingles"), *carried]

@@ -85,11 +85,11 @@ def test_a_cell_leaves_no_near_pair():
             fps.append([w ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6))) & (1 << 64) - 1 for w in base])
     rng.shuffle(fps)
     sizes = [rng.randrange(80, 120) for _ in fps]
-    bounds = [16, 24]
+    bounds = [16 + 8 * k for k in range(simhash.CARRIED)]
     table = np.array(fps, np.uint64).T.copy()
     cell = simhash.Cell(table, np.array(sizes), bounds, 0.8)
     far = lambda x, y, k: sum((fps[x][i] ^ fps[y][i]).bit_count() for i in range(k + 1))
-    near = {(a, b) for b in range(len(fps)) for a in range(b) if all(far(a, b, k) <= bounds[k] for k in range(2)) and min(sizes[a], sizes[b]) / max(sizes[a], sizes[b]) >= 0.8}
+    near = {(a, b) for b in range(len(fps)) for a in range(b) if all(far(a, b, k) <= bounds[k] for k in range(simhash.CARRIED)) and min(sizes[a], sizes[b]) / max(sizes[a], sizes[b]) >= 0.8}
     for nearest in (1, 4, 1000):
         x, y, left = cell.anchored(nearest)
         tried = set(zip(y.tolist(), x.tolist(), strict=True))

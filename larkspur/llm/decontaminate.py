@@ -5,17 +5,22 @@ other characters belong to words). A benchmark item of n words is compared with
 windows of n words of each text. A window is looked at if it aligns with the
 item at a shared five-word shingle: a window with a similarity above zero shares
 one, so no similar alignment is missed. (Items of fewer than five words are one
-shingle.)
+shingle.) A text and an item are tried only if they share one of the item's
+rarest shingles: of m shingles, a similar window holds 0.8 m at least, so one of
+any 0.2 m + 1 of them. Rarity is counted in the texts, so a phrase that
+many texts and items share tries nothing.
 
 Windows and items get 64-bit SimHash fingerprints. Fingerprints are cut into
 ``radius + 1`` blocks; two of them within the radius are equal in a block, so an
-equi-join on (words, block number, block) finds every pair within it. Pairs
-within the radius are verified by the weighted-shingle similarity itself: the
-shingles' smaller counts over their larger counts, 0.8 or more.
+equi-join on (item, block number, block) finds every aligned pair within it.
+Blocks are a few bits, so the item that a window aligned with is part of the key:
+a window meets no other item. Pairs within the radius are verified by the
+weighted-shingle similarity itself: the shingles' smaller counts over their
+larger counts, 0.8 or more.
 
 The texts are read twice: once for shared shingles (an equi-join with the items'
 shingles, which are broadcast only if counted to be few), once to cut windows of
-texts that share some. Equal texts are one text until the end, known by SHA-256,
+texts that are tried. Equal texts are one text until the end, known by SHA-256,
 so a group of copies costs one text. All steps are DataFrame expressions.
 
 Edge cases: null and empty texts have no windows; items without words match
@@ -28,6 +33,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import Scratch
 
@@ -74,6 +80,26 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
+def _rarest(places: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
+    """(hash, item) of each item's rarest shingles, so many that a similar window holds one. Shingles in no text are the rarest."""
+    ranked = places.join(counts, "hash", "left").withColumn("place", F.row_number().over(W.partitionBy("item").orderBy(F.coalesce("count", F.lit(0)), "hash", "at")))
+    # A little below the similarity, so that rounding loses nothing.
+    ranked = ranked.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("item")))
+    return ranked.where(F.col("place") <= F.col("m") - F.ceil(F.col("m") * similarity - 1e-6) + 1).select("hash", "item").distinct()
+
+
+def near_windows(windows: DataFrame, items: DataFrame, radius: int, n_items: int) -> DataFrame:
+    """Of windows (key, start, n_words, fp) and the item each aligned with, those whose fingerprint is within the radius of the item's (item, item_fp).
+
+    Two fingerprints within it are equal in one of radius + 1 blocks.
+    """
+    own, blocks = windows.columns, lambda name: F.explode(_blocks(F.col(name), radius)).alias("b")
+    blocked = windows.select(*own, blocks("fp")).select(*own, "b.*")
+    item_blocks = items.select("item", "item_fp", blocks("item_fp")).select("item", "item_fp", "b.*")
+    near = blocked.join(_few(item_blocks, n_items * (radius + 1)), ["item", "block", "bits"])
+    return near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("key", "start", "n_words", "item").distinct()
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document row and item it holds: id, item id, similarity, start_word, n_words, text_sha256 (of the raw text).
 
@@ -92,25 +118,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     found = None
     for width in widths:
         own = items.where(F.col("width") == width)
-        places = scratch.table(own.select("n_words", F.posexplode("grams").alias("at", "gram")).select("n_words", "at", F.xxhash64("gram").alias("hash")).distinct(), f"places{width}")
-        wanted = places.select("hash").distinct()
+        places = scratch.table(own.select("item", "n_words", F.posexplode("grams").alias("at", "gram")).select("item", "n_words", "at", F.xxhash64("gram").alias("hash")), f"places{width}")
+        wanted = scratch.table(places.select("hash").distinct(), f"wanted{width}")
         n = places.count()
         grams = texts.select("key", "quick", F.posexplode(_shingles(F.col("norm"), width)).alias("pos", "gram")).select("key", "quick", "pos", F.xxhash64("gram").alias("hash"))
         shared = scratch.table(grams.join(_few(wanted, n), "hash", "left_semi").distinct(), f"shared{width}")
-        starts = scratch.table(shared.join(_few(places, n), "hash").select("key", "n_words", (F.col("pos") - F.col("at")).alias("start")).distinct(), f"starts{width}")
+        rare = _rarest(places, shared.groupBy("hash").count(), similarity)
+        tried = scratch.table(shared.select("key", "quick", "hash").distinct().join(_few(scratch.table(rare, f"rare{width}"), n), "hash").select("key", "quick", "item").distinct(), f"tried{width}")
+        # Of the texts that are tried, all alignments with the items they are tried for.
+        aligned = shared.join(tried.select("key").distinct(), "key", "left_semi").join(_few(places, n), "hash").join(tried.select("key", "item"), ["key", "item"], "left_semi")
+        starts = scratch.table(aligned.select("key", "item", "n_words", (F.col("pos") - F.col("at")).alias("start")).distinct(), f"starts{width}")
 
         # A short hash finds the texts again without a shuffle of all texts; the join on the key below is exact.
-        sources = scratch.table(shared.select("quick").distinct(), f"sources{width}")
+        sources = scratch.table(tried.select("quick").distinct(), f"sources{width}")
         sharing = texts.join(_few(sources, sources.count()), "quick", "left_semi").dropDuplicates(["key"]).select("key", _shingles(F.col("norm"), width).alias("all"))
         size = F.col("n_words") - (width - 1)
         clipped = F.greatest(F.lit(0), F.least(F.col("start"), F.size("all") - size))
-        windows = starts.join(sharing, "key").withColumn("start", clipped).withColumn("grams", F.slice("all", F.col("start") + 1, size)).drop("all").distinct()
+        windows = starts.join(sharing, "key").withColumn("start", clipped).withColumn("grams", F.slice("all", F.col("start") + 1, size)).drop("all")
+        windows = windows.groupBy("key", "n_words", "start").agg(F.first("grams").alias("grams"), F.collect_set("item").alias("items"))
         windows = scratch.table(windows.withColumn("fp", _fingerprint(F.transform("grams", lambda x: F.xxhash64(x)))), f"windows{width}")
 
-        blocked = windows.select("key", "start", "n_words", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("key", "start", "n_words", "fp", "b.*")
-        item_blocks = own.select("item", "n_words", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("item", "n_words", "item_fp", "b.*")
-        n = item_blocks.count()
-        near = blocked.join(_few(item_blocks, n), ["n_words", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("key", "start", "n_words", "item").distinct()
+        near = near_windows(windows.select("key", "start", "n_words", "fp", F.explode("items").alias("item")), own.select("item", F.col("fp").alias("item_fp")), radius, n)
         pairs = near.join(windows.select("key", "start", "n_words", "grams"), ["key", "start", "n_words"]).join(_few(own.select("item", F.col("grams").alias("item_grams")), n), "item")
         pairs = pairs.withColumn("similarity", _similarity(F.col("grams"), F.col("item_grams"))).where(F.col("similarity") >= similarity)
         best = pairs.groupBy("key", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("best"))

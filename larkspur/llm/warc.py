@@ -2,7 +2,9 @@
 
 Writing: one WARC/1.1 record per row, as text files whose line separator is the
 record separator, so Spark's own writer and commit protocol put the archives in
-any store that Spark reaches; files are gzip streams. Of the records with equal
+any store that Spark reaches; files are gzip streams, bounded by records and by
+bytes: payloads are written by size, larger ones with fewer in a file, so that a
+file holds ``file_bytes`` of them at most, or one record. Of the records with equal
 payloads (SHA-256 and length) of at least ``least_revisit`` bytes, the one with
 the largest id is a response and the others revisit it, without a body.
 
@@ -19,7 +21,7 @@ number grows with the index.
 Edge cases: null payload counts as empty; a null URL has an empty target and
 key; a null id is written without one and comes back as null. Rows that repeat
 the largest id of a payload are all responses. An empty table gives an empty
-result. Line breaks and other control characters in a URL are percent-encoded.
+result. Control characters in a URL are percent-encoded, each by its code.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ship
 
-LEAST_REVISIT, ROWS_PER_FILE, ROWS_PER_RANGE, MAX_BROADCAST_ROWS = 1000, 2000, 100_000, 50_000
+LEAST_REVISIT, ROWS_PER_FILE, FILE_BYTES, ROWS_PER_RANGE, MAX_BROADCAST_ROWS = 1000, 2000, 64 << 20, 100_000, 400_000
 BASE_DATE = 1_704_067_200  # 2024-01-01T00:00:00Z
 END = "\r\n\r\n"
 INDEX = "run string, at long, length long, url_key string, url string, captured long, id long, kind string, payload_bytes long, payload_digest string, refers_to long"
@@ -46,8 +48,25 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
 
+def _percent_encoded(url: Column) -> Column:
+    """The URL with its control characters by their codes."""
+    found = url
+    for code in (*range(32), 127):
+        found = F.replace(found, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(url.rlike(r"[\x00-\x1F\x7F]"), found).otherwise(url)
+
+
+def size_classes(rows_per_file: int, file_bytes: int) -> list[tuple[int | None, int]]:
+    """(largest payload in bytes, records of a file) from small payloads to unbounded ones."""
+    out, rows = [], rows_per_file
+    while rows > 1:
+        out.append((file_bytes // rows, rows))
+        rows //= 8
+    return [*out, (file_bytes, 1), (None, 1)]
+
+
 def records(pages: DataFrame, least_revisit: int = LEAST_REVISIT, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", captured: Column | None = None) -> DataFrame:
-    """A column value: the text of each row's WARC record. captured: seconds since 1970; by default a fixed date plus the id in seconds."""
+    """The text of each row's WARC record (value) and its payload's bytes. captured: seconds since 1970; by default a fixed date plus the id in seconds."""
     scratch = Scratch(pages.sparkSession, "payloads")
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(
@@ -55,7 +74,7 @@ def records(pages: DataFrame, least_revisit: int = LEAST_REVISIT, id_col: str =
         F.col(url_col).alias("url"),
         payload.alias("payload"),
         F.octet_length(payload).alias("bytes"),
-        F.sha2(payload, 256).alias("same"),
+        F.unhex(F.sha2(payload, 256)).alias("same"),
         (F.lit(BASE_DATE) + F.coalesce(F.col(id_col), F.lit(0)) if captured is None else captured).cast("long").alias("captured"),
     )
     large = rows.where(F.col("bytes") >= least_revisit)
@@ -64,7 +83,6 @@ def records(pages: DataFrame, least_revisit: int = LEAST_REVISIT, id_col: str =
     rows = rows.join(F.broadcast(repeated) if small else repeated, ["same", "bytes"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     name = lambda x: F.concat(F.lit("<urn:x-capture:"), x.cast("string"), F.lit(">"))
-    url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), r"[\x00-\x1F\x7F]", "%00")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), _header("Content-Length", F.col("bytes").cast("string")), F.lit("\r\n"))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     head = F.concat(
@@ -72,7 +90,7 @@ def records(pages: DataFrame, least_revisit: int = LEAST_REVISIT, id_col: str =
         _header("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         _header("WARC-Record-ID", F.coalesce(name(F.col("id")), F.lit("<urn:x-capture:none>"))),
         _header("WARC-Date", F.date_format(F.timestamp_seconds("captured"), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
-        _header("WARC-Target-URI", url),
+        _header("WARC-Target-URI", _percent_encoded(F.col("url"))),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.sha1("payload"))),
         _header("WARC-Refers-To", F.when(revisit, name(F.col("first")))),
         _header("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
@@ -80,13 +98,26 @@ def records(pages: DataFrame, least_revisit: int = LEAST_REVISIT, id_col: str =
         _header("Content-Length", F.octet_length("block").cast("string")),
         F.lit("\r\n"),
     )
-    return rows.withColumn("block", block).select(F.concat(head, F.col("block")).alias("value"))
+    return rows.withColumn("block", block).select(F.concat(head, F.col("block")).alias("value"), "bytes")
+
+
+def _class_of(classes: list) -> Column:
+    """The number of a payload's size class."""
+    kind = F.lit(len(classes) - 1)
+    for k, (most, _) in reversed(list(enumerate(classes[:-1]))):
+        kind = F.when(F.col("bytes") <= most, k).otherwise(kind)
+    return kind
 
 
-def write_archives(pages: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, **columns) -> None:
-    """Archives of at most rows_per_file records each, as gzip streams under path."""
-    lines = records(pages, **columns).write.mode("overwrite").option("lineSep", END).option("compression", "gzip")
-    lines.option("maxRecordsPerFile", rows_per_file).text(path)
+def write_archives(pages: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, file_bytes: int = FILE_BYTES, payload_col: str = "html", **columns) -> None:
+    """Archives as gzip streams under path, in a folder for each size class that occurs: of rows_per_file records and file_bytes of payloads at most, or one record."""
+    classes = size_classes(rows_per_file, file_bytes)
+    sizes = pages.select(F.coalesce(F.octet_length(payload_col), F.lit(0)).alias("bytes"))
+    occurring = sorted(r[0] for r in sizes.select(_class_of(classes)).distinct().collect())  # as many as classes at most
+    rows = records(pages, payload_col=payload_col, **columns)
+    for k in occurring or [0]:
+        lines = rows.where(_class_of(classes) == k).select("value").write.mode("overwrite").option("lineSep", END).option("compression", "gzip")
+        lines.option("maxRecordsPerFile", classes[k][1]).text(f"{path}/class{k}")
 
 
 def url_key(url: str | None) -> str:
@@ -239,8 +270,7 @@ def read_index(spark: SparkSession, path: str, rows_per_range: int = ROWS_PER_RA
     """The merged index of all archives under path, in global order of URL key, timestamp and id."""
     ship(spark)
     scratch = Scratch(spark, "index")
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    # A file is one row of bounded size; small batches keep few of them in a worker.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     runs = scratch.table(files.mapInArrow(_parse, INDEX), "runs")
     ranges = max(1, math.ceil(runs.count() / rows_per_range))
     dealt = runs.repartitionByRange(ranges, "url_key", "captured", "id", "run", "at")

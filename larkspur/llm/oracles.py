@@ -24,22 +24,25 @@ ORACLES = {
         SELECT doc_id, item_id, round(s, 6) AS similarity, CAST(start AS INTEGER) AS start_word, CAST(m + 4 AS INTEGER) AS n_words FROM scored WHERE s >= 0.8
         QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s DESC, start) = 1
     """,
+    # Every turn of the table has a conversation.
     "op7_preference_pairs": r"""
         WITH answers AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
         final AS (SELECT c.conv_id, max(coalesce(c.text, '')) AS other FROM conversations c JOIN answers a ON c.conv_id = a.conv_id AND c.turn = a.last
                   WHERE c.role = 'assistant' GROUP BY c.conv_id),
-        kept AS (SELECT c.conv_id, c.turn, coalesce(c.role, 'user') AS role, coalesce(c.text, '') AS text, a.last, f.other
-                 FROM conversations c LEFT JOIN answers a USING (conv_id) LEFT JOIN final f ON f.conv_id = c.conv_id + 1
-                 WHERE a.last IS NULL OR c.turn <= a.last),
-        marked AS (SELECT *, '<|im_start|>' || role || chr(10) || replace(text, '<|im_', '< |im_') || '<|im_end|>' || chr(10) AS said,
-                   turn IS NOT DISTINCT FROM last AND other IS DISTINCT FROM text AS differs FROM kept),
-        parted AS (SELECT *, coalesce(bool_or(differs) OVER (PARTITION BY conv_id ORDER BY turn), false) AS after FROM marked)
+        marked AS (SELECT c.conv_id, c.turn, coalesce(c.role, 'user') AS role, replace(coalesce(c.text, ''), '<|im_', '< |im_') AS text, replace(f.other, '<|im_', '< |im_') AS other,
+                          coalesce(c.role = 'assistant' AND c.turn = a.last, false) AS swapped
+                   FROM conversations c LEFT JOIN answers a USING (conv_id) LEFT JOIN final f ON f.conv_id = c.conv_id + 1),
+        said AS (SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS mine,
+                        CASE WHEN NOT swapped THEN '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)
+                             WHEN other IS NOT NULL THEN '<|im_start|>assistant' || chr(10) || other || '<|im_end|>' || chr(10) ELSE '' END AS theirs FROM marked),
+        parted AS (SELECT *, bool_or(mine <> theirs) OVER w AS after, sum(length(mine)) OVER w AS mine_end, sum(length(theirs)) OVER w AS their_end
+                   FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
         SELECT conv_id, count(*) FILTER (NOT after) AS common_turns,
-               coalesce(string_agg(said, '' ORDER BY turn) FILTER (NOT after), '') AS prompt,
-               coalesce(string_agg(said, '' ORDER BY turn) FILTER (after), '') AS chosen,
-               coalesce(max(CASE WHEN after AND other IS NOT NULL THEN '<|im_start|>assistant' || chr(10) || replace(other, '<|im_', '< |im_') || '<|im_end|>' || chr(10) END), '') AS rejected,
-               CAST(coalesce(sum(length(said) - 22) FILTER (after), 0) AS BIGINT) AS chosen_trained,
-               CAST(coalesce(max(CASE WHEN after AND other IS NOT NULL THEN length(replace(other, '<|im_', '< |im_')) + 11 END), 0) AS BIGINT) AS rejected_trained
+               coalesce(string_agg(mine, '' ORDER BY turn) FILTER (NOT after), '') AS prompt,
+               coalesce(string_agg(mine, '' ORDER BY turn) FILTER (after), '') AS chosen,
+               coalesce(string_agg(theirs, '' ORDER BY turn) FILTER (after), '') AS rejected,
+               coalesce(string_agg(CAST(mine_end - length(mine) + length(role) + 13 AS VARCHAR) || '-' || CAST(mine_end AS VARCHAR), ' ' ORDER BY turn) FILTER (after AND role = 'assistant'), '') AS chosen_spans,
+               coalesce(string_agg(CAST(their_end - length(theirs) + length(role) + 13 AS VARCHAR) || '-' || CAST(their_end AS VARCHAR), ' ' ORDER BY turn) FILTER (after AND role = 'assistant' AND theirs <> ''), '') AS rejected_spans
         FROM parted GROUP BY conv_id
     """,
     "op10_block_naming": r"""

@@ -11,7 +11,8 @@ A pair's turns are one row, as the rendered result is. Everything is DataFrame
 expressions.
 
 Edge cases: turns are ordered by turn, role and text, null turns first. A null
-role is a user's, a null text empty. Null pair ids form one pair. A side without
+role is a user's, a null text empty. A turn without a pair id is a pair of its own,
+whose other side is empty. A side without
 turns gives an empty prompt and completion on that side; equal sides give two
 empty completions. Repeated rows are repeated turns. An empty table gives an
 empty result. Extra columns are not read. The marker's opening in a text is
@@ -59,7 +60,8 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, pair_col: str = "
 
     both = side(chosen, "chosen").unionByName(side(rejected, "rejected"))
     of = lambda name: F.array_sort(F.collect_list(F.when(F.col("side") == name, F.col("said"))))
-    pairs = both.groupBy("pair").agg(of("chosen").alias("c"), of("rejected").alias("r"))
+    both = both.withColumn("lone", F.when(F.col("pair").isNull(), F.monotonically_increasing_id()))
+    pairs = both.groupBy("pair", "lone").agg(of("chosen").alias("c"), of("rejected").alias("r"))
     shorter = F.least(F.size("c"), F.size("r"))
     places = F.when(shorter > 0, F.sequence(F.lit(0), shorter - 1)).otherwise(F.array().cast("array<int>"))
     differs = lambda i: (F.get("c", i)["role"] != F.get("r", i)["role"]) | (F.get("c", i)["text"] != F.get("r", i)["text"])
@@ -73,19 +75,19 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, pair_col: str = "
 def swapped_answers(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns from plain conversations, with a pair_id.
 
-    Chosen is a conversation up to its last assistant turn; in the rejected one
-    that turn has the text of the last assistant turn of the conversation
-    numbered one higher, or is missing if there is none. Conversations without
-    an assistant turn, and turns without a conversation, are equal on both
-    sides; turns without a number are left out of conversations with an
-    assistant turn. Repeated last answers count as one on the rejected side.
+    Chosen is a conversation; in the rejected one its last assistant turn has the
+    text of the last assistant turn of the conversation numbered one higher, or is
+    missing if there is none. All other turns, those after that answer included, are
+    on both sides. Conversations without an assistant turn are equal on both sides;
+    a turn without a conversation is on the chosen side alone. Repeated last answers
+    count as one on the rejected side; turns without a number come first and are
+    never swapped.
     """
     rows = turns.select(F.col(conv_col).alias("pair_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    answers = rows.where("role = 'assistant'")
-    last = answers.groupBy("pair_id").agg(F.max("turn").alias("last"))
+    answers = rows.where("role = 'assistant' AND pair_id IS NOT NULL")
+    last = answers.groupBy("pair_id").agg(F.max("turn").alias("last")).where("last IS NOT NULL")
     final = answers.join(last, "pair_id").where("turn = last").groupBy("pair_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("other"))
-    rows = rows.join(last, "pair_id", "left").where("last IS NULL OR turn <= last")
     shifted = final.select((F.col("pair_id") - 1).alias("pair_id"), "other")
-    stays = rows.where("last IS NULL OR turn < last").select("pair_id", "turn", "role", "text")
+    stays = rows.where("pair_id IS NOT NULL").join(last, "pair_id", "left").where("NOT coalesce(role = 'assistant' AND turn = last, false)").select("pair_id", "turn", "role", "text")
     swapped = last.join(shifted, "pair_id").select("pair_id", F.col("last").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
-    return rows.select("pair_id", "turn", "role", "text"), stays.unionByName(swapped)
+    return rows, stays.unionByName(swapped)

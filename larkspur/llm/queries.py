@@ -50,8 +50,8 @@ def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = format_preferences(*swapped_answers(_table(spark, sf_dir, "conversations")))
-    trained = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return pairs.select(F.col("pair_id").alias("conv_id"), "common_turns", "prompt", "chosen", "rejected", trained("chosen_spans").alias("chosen_trained"), trained("rejected_spans").alias("rejected_trained"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), " ")
+    return pairs.select(F.col("pair_id").alias("conv_id"), "common_turns", "prompt", "chosen", "rejected", listed("chosen_spans").alias("chosen_spans"), listed("rejected_spans").alias("rejected_spans"))
 
 
 def op8_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:

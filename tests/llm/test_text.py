@@ -63,6 +63,20 @@ def test_contamination_edited_short_and_odd(spark, odd_docs, no_docs):
     assert decontaminate.find_contamination(odd_docs, items).count() == 0
 
 
+def test_many_items_meet_few_windows(spark, monkeypatch):
+    """20,000 items that begin with one phrase, which many texts hold: windows are cut for the items a text may hold only."""
+    rng, counted = random.Random(9), []
+    phrase = "which of the following statements is true about the"
+    items = [(k, f"{phrase} {words(rng, 25)}") for k in range(20_000)]
+    docs = [(k, f"{words(rng, 20)} {items[37 * k][1]} {words(rng, 20)}" if k < 20 else f"{words(rng, 40)} {phrase} {words(rng, 40)}") for k in range(300)]
+    inner = decontaminate.near_windows
+    monkeypatch.setattr(decontaminate, "near_windows", lambda windows, *more: (counted.append(windows.count()), inner(windows, *more))[1])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontaminate.find_contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, 37 * k) for k in range(20)}
+    assert sum(counted) <= 2 * len(found)
+
+
 def test_blocks_find_all_within_the_radius(spark):
     rng = random.Random(8)
     pairs = []
@@ -302,7 +316,8 @@ def test_preferences(spark):
     schema = "pair_id long, turn long, role string, text string, c string, r string, side string, n int"
     pad = lambda rs: [(*x, "c", "r", "s", 1) for x in rs]
     a, b = spark.createDataFrame(pad([*rows, (None, 0, "user", "x")]), schema), spark.createDataFrame(pad(other), schema)
-    got = {r.pair_id: r for r in preferences.format_preferences(a, b).collect()}
+    found = preferences.format_preferences(a, b).collect()
+    got = {r.pair_id: r for r in found if r.pair_id}
     one = got[1]
     assert one.common_turns == 3 and one.prompt.count("<|im_start|>") == 3
     assert one.chosen == "<|im_start|>assistant\ngood<|im_end|>\n"
@@ -311,7 +326,8 @@ def test_preferences(spark):
     assert [whole[s.start : s.end] for s in one.chosen_spans] == ["good<|im_end|>\n"]
     assert [(one.prompt + one.rejected)[s.start : s.end].startswith("bad") for s in one.rejected_spans] == [True]
     assert (got[2].prompt, got[2].chosen, got[2].chosen_spans) == ("", "", []) and got[2].rejected.startswith("<|im_start|>user\n")
-    assert got[None].common_turns == 1 and got[None].chosen == got[None].rejected == ""
+    said = "<|im_start|>user\nx<|im_end|>\n"  # without a pair id, a pair of its own
+    assert sorted((r.common_turns, r.prompt, r.chosen, r.rejected) for r in found if r.pair_id is None) == [(0, "", "", said), (0, "", said, "")]
     assert preferences.format_preferences(a.where("false"), b.where("false")).count() == 0
 
 
@@ -319,9 +335,24 @@ def test_swapped_answers(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (2, 0, "user", "d"), (2, 1, "assistant", "e"), (2, 1, "assistant", "e"), (2, None, "user", "x"), (3, 0, "user", "only"), (None, 0, "assistant", "z")]
     turns = spark.createDataFrame([(*r, "p", "q") for r in rows], "conv_id long, turn long, role string, text string, pair_id string, last string")
     chosen, rejected = ({(r.pair_id, r.turn, r.text) for r in df.collect()} for df in preferences.swapped_answers(turns))
-    assert chosen == {(1, 0, "a"), (1, 1, "b"), (2, 0, "d"), (2, 1, "e"), (3, 0, "only"), (None, 0, "z")}
-    assert rejected == {(1, 0, "a"), (1, 1, "e"), (2, 0, "d"), (3, 0, "only"), (None, 0, "z")}
-    assert preferences.format_preferences(*preferences.swapped_answers(turns)).count() == 4
+    assert chosen == {r[:2] + r[3:] for r in rows}
+    assert rejected == {(1, 0, "a"), (1, 1, "e"), (1, 2, "c"), (2, None, "x"), (2, 0, "d"), (3, 0, "only")}
+    got = {r.pair_id: r for r in preferences.format_preferences(*preferences.swapped_answers(turns)).collect()}
+    assert len(got) == 4 and got[None].chosen.endswith("z<|im_end|>\n") and got[None].rejected == ""
+    turn = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert (got[1].prompt, got[1].chosen, got[1].rejected) == (turn("user", "a"), turn("assistant", "b") + turn("user", "c"), turn("assistant", "e") + turn("user", "c"))
+    whole = got[1].prompt + got[1].chosen
+    assert [whole[s.start : s.end] for s in got[1].chosen_spans] == ["b<|im_end|>\n"]
+
+
+def test_preferences_on_long_texts_and_hot_ids(spark):
+    """A text of a million characters, a pair of 3,000 turns, and many turns without a pair."""
+    rows = [(1, 0, "user", "é" * 1_000_000), (1, 1, "assistant", "no")] + [(2, k, "user" if k % 2 else "assistant", f"t{k}") for k in range(3000)] + [(None, k, "assistant", "same") for k in range(500)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = preferences.format_preferences(*preferences.swapped_answers(turns)).collect()
+    by = {r.pair_id: r for r in got}
+    assert len(got) == 502 and len(by[1].prompt) == 1_000_000 + len("<|im_start|>user\n<|im_end|>\n")
+    assert by[2].common_turns == 2998 and len(by[2].chosen_spans) == 1 and by[2].rejected.startswith("<|im_start|>user")
 
 
 def pages_of(spark):
@@ -354,6 +385,29 @@ def test_merged_order_over_ranges(spark):
     assert got == sorted(got) and len(got) == len(rows)
 
 
+def test_control_characters_stay_apart(spark):
+    urls = [f"http://a/{chr(c)}x" for c in (*range(32), 127)] + ["http://a/x", "http://a/%zz", "http://a/é"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("h"))
+    got = {r.id: r.url for r in warc.archive(pages).collect()}
+    assert got == {k: "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in u) for k, u in enumerate(urls)}
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    """Payloads from nothing to more than a file takes; each file holds the bytes stated, or one record."""
+    rng, path = random.Random(13), f"{spark.conf.get('spark.checkpoint.dir')}/archives-bytes"
+    sizes = [0, 10, 900, 1100, 5000, 9000, 40_000, 300_000] * 12
+    rows = [(k, "http://a/", "".join(rng.choices("abc é", k=n))) for k, n in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, path, rows_per_file=64, file_bytes=1 << 17)
+    got = warc.read_index(spark, path).collect()
+    assert {(r.id, r.payload_digest) for r in got} == {(k, hashlib.sha1(h.encode()).hexdigest()) for k, _, h in rows} and len(got) == len(rows)
+    files = collections.defaultdict(list)
+    for r in got:
+        files[r.run].append(r.payload_bytes)
+    assert all(len(x) == 1 or len(x) <= 64 and sum(x) <= 1 << 17 for x in files.values())
+    assert sum(map(len, files.values())) / len(files) > 2
+
+
 def test_archives_are_checked(spark):
     pages, _ = pages_of(spark)
     body = warc.records(pages.where("page_id = 5")).first().value

@@ -66,9 +66,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, ship
 from .components import star_roots
 
-RADIUS, CELL_ROWS, CELL_AIM, PIVOTS, SEED, MAX_BROADCAST_ROWS = 4, 16_384, 32, 12, 42, 1_000_000
+RADIUS, CELL_ROWS, CELL_AIM, PIVOTS, SEED, MAX_BROADCAST_ROWS, TILE_SHINGLES = 4, 16_384, 32, 12, 42, 1_000_000, 4_000_000
 #: Near copies: words of a fingerprint, words carried to cells, the probability with which a pair at the stated similarity meets, standard deviations that its distance may lie above the expected one, near anchors that a row of a cell is tried with first, tables dealt at once, and the costs of moving a row to a cell and of comparing a pair there: nanoseconds of one core, the former with as much again for disk and network.
-LOOKS, CARRIED, RECALL, SPREAD, NEAREST, TABLES_AT_ONCE, ROW_COST, PAIR_COST = 4, 4, 0.998, 4.5, 4, 24, 10_000, 1.5
+LOOKS, CARRIED, RECALL, SPREAD, NEAREST, TABLES_AT_ONCE, ROW_COST, PAIR_COST = 4, 4, 0.998, 4.5, 4, 24, 10_000, 3
 
 
 def fingerprint(text: bytes, words: int, looks: int = 1) -> list[int]:
@@ -408,39 +408,83 @@ class Cell:
             anchors = np.concatenate((anchors, rows[open_]))
         return np.concatenate(a), np.concatenate(b), left
 
-    def between(self, roots, block: int = 128) -> Iterator:
-        """All pairs of different roots."""
+    def open_rows(self, roots, block: int = 128):
+        """Whether a row is near one of another root."""
         import numpy as np
 
-        values, place, n = np.unique(roots, return_inverse=True, return_counts=True)
+        _, place, n = np.unique(roots, return_inverse=True, return_counts=True)
         order = np.argsort(place != n.argmax(), kind="stable")  # the largest component comes first, and needs no comparison within
-        own = Cell(self.fps[:, order], self.shingles[order], self.bounds, self.similarity)
+        own, out = Cell(self.fps[:, order], self.shingles[order], self.bounds, self.similarity), np.zeros(len(roots), bool)
         for start in range(int(n.max()), len(roots), block):
             rows = np.arange(start, min(len(roots), start + block))
             x, y, _ = own.near(rows, np.arange(rows[-1] + 1))
             x, y = order[x], order[y]
             differ = roots[x] != roots[y]
-            yield x[differ], y[differ]
+            out[x[differ]] = out[y[differ]] = True
+        return out
+
+
+def joining_links(nodes, roots, sets: list, similarity: float) -> list[tuple[int, int]]:
+    """Links that join different roots: of all pairs of nodes whose shingle sets have the similarity, as many as it takes to join what they join.
+
+    A node's common shingles with all others are counted at once, through the
+    lists of nodes that hold a shingle; no pair is stored.
+    """
+    import numpy as np
+
+    sizes = np.array([len(x) for x in sets])
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    order = np.argsort(place, kind="stable")
+    holders, ends = np.repeat(np.arange(len(sets)), sizes)[order], np.searchsorted(place[order], np.arange(place.max(initial=-1) + 2))
+    parent = {r: r for r in roots.tolist()}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    values, n = np.unique(roots, return_counts=True)
+    out = []
+    for x in np.flatnonzero(roots != values[n.argmax()]).tolist():
+        own = place[begin[x] : begin[x] + sizes[x]]
+        starts, lengths = ends[own], ends[own + 1] - ends[own]
+        at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)
+        common = np.bincount(holders[at], minlength=len(sets))
+        for y in np.flatnonzero((common / (sizes + sizes[x] - common) >= similarity) & (roots != roots[x])).tolist():
+            a, b = find(roots[x].item()), find(roots[y].item())
+            if a != b:
+                parent[a] = b
+                out.append((nodes[x].item(), nodes[y].item()))
+    return out
+
+
+def _join_left(table, similarity: float):
+    import numpy as np
+    import pyarrow as pa
+
+    shingles = table.column("shingles").combine_chunks()
+    values, ends = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+    sets = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    found = joining_links(table.column("node").to_numpy(), table.column("root").to_numpy(), sets, similarity)
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
 def _candidates(batches: Iterator, bounds: list[int], similarity: float, nearest: int) -> Iterator:
-    """Pairs a, b in rows sorted by cell (columns cell, tile, node, shingles, fp0, ... and maybe root). With roots, all near pairs of different ones.
+    """Of rows sorted by cell (columns cell, tile, node, shingles, fp0, ... and maybe root): pairs a, b of rows and anchors, and the cells in which that leaves pairs.
 
-    Without, rows meet anchors; where that leaves pairs, their cell is given.
+    With roots: as a, with their cell, the rows that are near one of another root.
     """
     import numpy as np
     import pyarrow as pa
 
-    def batch_of(a, b, cells=()) -> pa.RecordBatch:
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        none = np.zeros(len(cells), np.int64)
-        pair = np.arange(len(a) + len(cells)) >= len(a)
-        columns = [pa.array(np.concatenate((x, none)), pa.int64(), mask=pair) for x in (a, b)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate((np.zeros(len(a), np.int64), np.array(cells, np.int64))), pa.int64(), mask=~pair)], names=["a", "b", "cell"])
+    def batch_of(a, b, cells, *nulls: bool) -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(x), pa.int64()) if x else pa.nulls(n, pa.int64()) for x, n in zip((a, b, cells), nulls, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "cell"])
 
     def found(rows) -> Iterator:
         starts = np.flatnonzero(np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))))
-        a, b, left, held = [], [], [], 0
+        a, b, cells = [], [], []
         for start, end in zip(starts.tolist(), np.append(starts[1:], rows.shape[1]).tolist(), strict=True):
             if end - start < 2:
                 continue
@@ -448,19 +492,21 @@ def _candidates(batches: Iterator, bounds: list[int], similarity: float, nearest
             cell = Cell(np.ascontiguousarray(own[4 : 4 + CARRIED]).view(np.uint64), own[3], bounds, similarity)
             if rows.shape[0] == 4 + CARRIED:
                 x, y, more = cell.anchored(nearest)
-                if more:
-                    left.append(own[0, 0])
-                parts = [(x, y)]
-            else:
-                parts = cell.between(own[4 + CARRIED])
-            for x, y in parts:
                 a.append(own[2][y])
                 b.append(own[2][x])
-                held += len(x)
-                if held > 1_000_000:
-                    yield batch_of(a, b)
-                    a, b, held = [], [], 0
-        yield batch_of(a, b, left)
+                if more:
+                    cells.append(own[0, :1])
+            else:
+                some = cell.open_rows(own[4 + CARRIED])
+                a.append(own[2][some])
+                cells.append(own[0][some])
+        n = sum(map(len, a))
+        if rows.shape[0] > 4 + CARRIED:
+            yield batch_of(a, [], cells, n, n, n)
+            return
+        yield batch_of(a, b, [], n, n, n)
+        n = len(cells)
+        yield batch_of([], [], cells, n, n, n)
 
     held = None
     for batch in batches:
@@ -477,36 +523,41 @@ def _candidates(batches: Iterator, bounds: list[int], similarity: float, nearest
         yield from found(held)
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, n: int, words: int, similarity: float, scratch: Scratch, cell_rows: int = CELL_ROWS, nearest: int = NEAREST) -> DataFrame:
+def verified_links(docs: DataFrame, nodes: DataFrame, n: int, words: int, similarity: float, scratch: Scratch, cell_rows: int = CELL_ROWS, nearest: int = NEAREST, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """Links (a, b) whose shingle sets have the similarity at least. Their components are those of all such pairs that meet in a cell.
 
     docs: id and text; nodes (n of them): node (an id), shingles (their number),
     fp0, .... Rows of a cell are compared in two rounds. The first compares a row
     with the cell's anchors, which are all rows but those near several anchors;
     it joins a large group of near copies. The second compares what is left: in
-    cells with such rows, all pairs that the first left in different components.
+    cells with such rows, those near a row of another component meet with their
+    whole shingle sets, and give as few links as join them.
     Tables are dealt a few at a time, so that the disk holds few rows per text at once.
     """
     share, carried = share_differing(similarity), [f"fp{k}" for k in range(CARRIED)]
     bounds = [distance_within(64 * (k + 1), share, SPREAD) for k in range(CARRIED)]
     masks = table_masks(*tables_for(max(n, 1), similarity))
 
+    def tiled(cells: DataFrame, crowded: DataFrame, own: list) -> DataFrame:
+        """Rows with a tile of their cell: of a crowded one's parts, any two meet in one."""
+        names = [x if isinstance(x, str) else "shingles" for x in own]
+        if not (n_crowded := crowded.count()):
+            return cells.select("cell", F.lit(-1).cast("long").alias("tile"), *names)
+        # As many cells as rows / cell_rows at most; broadcast if they are few, else joined by key.
+        cells = cells.join(F.broadcast(crowded) if n_crowded <= 20_000 else crowded, "cell", "left")
+        part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))
+        tile = lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j)
+        tiles = F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), tile)))
+        return cells.select("cell", F.explode(tiles).alias("tile"), *names)
+
     def met(texts: DataFrame, first: int, own: list[str], only: DataFrame | None = None) -> DataFrame:
         drawn = enumerate(masks[first : first + TABLES_AT_ONCE], first)
         cell = F.explode(F.array(*(F.xxhash64(F.lit(t), *(F.col(f"fp{k}").bitwiseAND(F.lit(m)) for k, m in enumerate(words_of) if m)) for t, words_of in drawn))).alias("cell")
         cells = texts.select(cell, *own)
         if only is not None:
             cells = cells.join(only, "cell", "left_semi")
-        crowded = cells.groupBy("cell").count().where(F.col("count") > cell_rows).withColumn("parts", F.ceil(F.col("count") / cell_rows)).drop("count")
-        crowded = scratch.table(crowded, f"crowded-{uuid.uuid4().hex}")
-        if n_crowded := crowded.count():  # as many cells as rows / cell_rows at most; broadcast if they are few, else joined by key
-            cells = cells.join(F.broadcast(crowded) if n_crowded <= 20_000 else crowded, "cell", "left")
-            part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))
-            tile = lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j)
-            tiles = F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), tile)))
-            cells = cells.select("cell", F.explode(tiles).alias("tile"), *own)
-        else:
-            cells = cells.select("cell", F.lit(-1).cast("long").alias("tile"), *own)
+        crowded = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("parts")).where("parts > 1")
+        cells = tiled(cells, scratch.table(crowded, f"crowded-{uuid.uuid4().hex}"), own)
         dealt = cells.repartition("cell", "tile").sortWithinPartitions("cell", "tile", "node")
         return dealt.mapInArrow(lambda batches: _candidates(batches, bounds, similarity, nearest), "a long, b long, cell long")
 
@@ -516,33 +567,40 @@ def verified_links(docs: DataFrame, nodes: DataFrame, n: int, words: int, simila
         scratch.drop(*(f"{name}{first}" for first in range(0, len(masks), TABLES_AT_ONCE)))
         return together
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        asked = scratch.table(asked, f"{name}-asked")
+    def shingle_sets(asked: DataFrame) -> DataFrame:
+        asked = scratch.table(asked.distinct(), f"asked-{uuid.uuid4().hex}")
         few = F.broadcast(asked) if asked.count() <= MAX_BROADCAST_ROWS else asked  # 8 bytes each; texts then stay where they are
-        sets = docs.join(few, "id", "left_semi").mapInArrow(lambda batches: _shingle_sets(batches, words), "id long, shingles array<long>")
-        sets = scratch.table(sets, f"{name}-sets")
+        return docs.join(few, "id", "left_semi").mapInArrow(lambda batches: _shingle_sets(batches, words), "id long, shingles array<long>")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        sets = scratch.table(shingle_sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))), f"{name}-sets")
         # Row by row in the JVM: the sets of long texts would make large Arrow batches.
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         # The lambda lets the sets be met once, though their common part is used twice.
         alike = F.transform(F.array(F.size(F.array_intersect("x", "y"))), lambda n: n / (F.size("x") + F.size("y") - n))[0]
         found = scratch.table(both.where(alike >= similarity).select("a", "b"), name)
-        scratch.drop(f"{name}-sets", f"{name}-asked")
+        scratch.drop(f"{name}-sets")
         return found
 
     own = ["node", F.col("shingles").cast("long").alias("shingles"), *carried]
     tried = in_turns(nodes, own, "tried")
-    pairs = tried.where("cell IS NULL").select("a", "b")
-    found = verified(pairs, "verified")
+    found = verified(tried.where("cell IS NULL").select("a", "b"), "verified")
     large = scratch.table(tried.where("cell IS NOT NULL").select("cell").distinct(), "large")
-    if large.isEmpty():
-        return found
+    scratch.drop("tried")
     n_large = large.count()
+    if not n_large:
+        return found
     known = nodes.join(star_roots(found, scratch), "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = scratch.table(known, "known")
-    left = in_turns(known, [*own, "root"], "left", F.broadcast(large) if n_large <= 200_000 else large).select("a", "b")
-    more = verified(scratch.table(left.join(pairs, ["a", "b"], "left_anti"), "new"), "verified-left")
-    return found.unionByName(more)
+    left = in_turns(known, [*own, "root"], "left", F.broadcast(large) if n_large <= 200_000 else large).select("cell", F.col("a").alias("node"))
+    left = left.join(known.select("node", "root", "shingles"), "node")
+    # Tiles again, by the numbers of shingles.
+    crowded = left.groupBy("cell").agg(F.ceil(F.sum("shingles") / tile_shingles).alias("parts")).where("parts > 1")
+    rows = tiled(left, scratch.table(crowded, "crowded"), ["node", "root"])
+    sets = scratch.table(shingle_sets(left.select(F.col("node").alias("id"))), "left-sets")
+    rows = rows.join(sets.withColumnRenamed("id", "node"), "node")
+    more = rows.groupBy("cell", "tile").applyInArrow(lambda table: _join_left(table, similarity), "a long, b long")
+    return found.unionByName(scratch.table(more, "more"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -69,8 +69,8 @@ def test_large_groups_lose_no_link(spark):
     docs = spark.createDataFrame(sorted(texts.items()), "id long, text string")
     sets = {i: simhash.shingle_hashes(t.encode(), 5) for i, t in texts.items()}
     nodes = spark.createDataFrame([(i, len(x), *simhash.signature(x)) for i, x in sets.items()], f"node long, shingles int, {', '.join(f'fp{k} long' for k in range(simhash.LOOKS))}")
-    for nearest, cell_rows, n in ((1000, 100_000, 0), (1, 100_000, 0), (2, 100_000, 10**6), (1, 10, 0)):
-        found = simhash.verified_links(docs, nodes, n or len(ids), 5, 0.8, Scratch(spark, "test"), cell_rows=cell_rows, nearest=nearest).collect()
+    for nearest, cell_rows, n, tile in ((1000, 100_000, 0, 10**6), (1, 100_000, 0, 10**6), (2, 100_000, 10**6, 10**6), (1, 10, 0, 2000)):
+        found = simhash.verified_links(docs, nodes, n or len(ids), 5, 0.8, Scratch(spark, "test"), cell_rows=cell_rows, nearest=nearest, tile_shingles=tile).collect()
         assert all(similarity(texts[r.a], texts[r.b]) >= 0.8 for r in found)
         assert components(ids, [(r.a, r.b) for r in found]) == want
 
@@ -96,12 +96,28 @@ def test_a_cell_leaves_no_near_pair():
         assert tried <= near and left == (nearest < 1000)
         links = {p for p in tried if hash(p) % 3}  # some tried pairs turn out to be links
         roots = {k: min(group) for group in components(range(len(fps)), links) for k in group}
-        more = {tuple(p) for x, y in cell.between(np.array([roots[k] for k in range(len(fps))])) for p in zip(y.tolist(), x.tolist(), strict=True)}
-        assert {tuple(sorted(p)) for p in more} == {p for p in near if roots[p[0]] != roots[p[1]]}
+        more = np.flatnonzero(cell.open_rows(np.array([roots[k] for k in range(len(fps))])))
+        assert set(more.tolist()) == {k for p in near if roots[p[0]] != roots[p[1]] for k in p}
         if nearest == 1000:
             assert tried == near
 
 
+def test_joining_links():
+    """As few links as join what all similar pairs join."""
+    rng = random.Random(12)
+    base = rng.sample(range(10**6), 60)
+    sets = [np.array(sorted({*rng.sample(base, rng.randrange(45, 60)), *rng.sample(range(10**6), rng.randrange(8))})) for _ in range(150)]
+    roots = np.array([rng.choice([0, 0, 1, 2, k]) + 500 for k in range(150)])
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8
+    pairs = [(a, b) for b in range(150) for a in range(b) if alike(sets[a].tolist(), sets[b].tolist())]
+    same = [(a, b) for b in range(150) for a in range(b) if roots[a] == roots[b]]
+    found = simhash.joining_links(np.arange(150) + 1000, roots, sets, 0.8)
+    links = [(a - 1000, b - 1000) for a, b in found]
+    assert all(tuple(sorted(p)) in set(pairs) for p in links)
+    assert components(range(150), same + links) == components(range(150), same + pairs)
+    assert len(links) == len(components(range(150), same)) - len(components(range(150), same + pairs))
+
+
 def test_tables_grow_slowly():
     """Rows per text have no large step, and grow as a power of the number of texts of about a third."""
     sizes = [10**k for k in range(5, 11)]

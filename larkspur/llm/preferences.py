@@ -24,6 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
+MAX_BROADCAST_ROWS = 1_000_000
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 TURN = "struct<turn:bigint,role:string,text:string>"
 
@@ -84,10 +87,12 @@ def swapped_answers(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     never swapped.
     """
     rows = turns.select(F.col(conv_col).alias("pair_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    answers = rows.where("role = 'assistant' AND pair_id IS NOT NULL")
-    last = answers.groupBy("pair_id").agg(F.max("turn").alias("last")).where("last IS NOT NULL")
-    final = answers.join(last, "pair_id").where("turn = last").groupBy("pair_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("other"))
+    answers, others = rows.where("role = 'assistant' AND pair_id IS NOT NULL"), rows.where("NOT coalesce(role = 'assistant', false) AND pair_id IS NOT NULL")
+    final = answers.groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("final")).where("final.turn IS NOT NULL")
+    final = Scratch(turns.sparkSession, "answers").table(final.select("pair_id", F.col("final.turn").alias("last"), F.col("final.text").alias("other")), "final")
+    last = final.select("pair_id", "last")
+    few = F.broadcast(last) if last.count() <= MAX_BROADCAST_ROWS else last  # 16 bytes each; answers then stay where they are
+    stays = others.unionByName(answers.join(few, "pair_id", "left").where("NOT coalesce(turn = last, false)").select(*rows.columns))
     shifted = final.select((F.col("pair_id") - 1).alias("pair_id"), "other")
-    stays = rows.where("pair_id IS NOT NULL").join(last, "pair_id", "left").where("NOT coalesce(role = 'assistant' AND turn = last, false)").select("pair_id", "turn", "role", "text")
     swapped = last.join(shifted, "pair_id").select("pair_id", F.col("last").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
     return rows, stays.unionByName(swapped)

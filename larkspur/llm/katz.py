@@ -23,7 +23,9 @@ exchange: a chunk sends each distinct n-gram once, with its training count and
 its lower-level probability, to the part of its context; the part sums the
 counts and keeps its n-grams (the model's partitioned tables); once the counts
 of counts of all parts give the discounts, it replies with counts and alphas in
-the order asked. Word ids ascend with falling counts, so that ids of contexts
+the order asked. An n-gram that one chunk only has asked for is that chunk's own: all
+n-grams that go on from it are there too, so the chunk counts them itself and
+sends no more than how many there are of each small count. Word ids ascend with falling counts, so that ids of contexts
 and words pack into few bytes and a word's count follows from its id. A context with a large share of all words is spread over parts
 by its followers, and its sums are added across parts. Then each chunk evaluates
 its tokens level by level. No task holds more than a chunk or a part, whose
@@ -48,8 +50,10 @@ from .blobs import pack, pack_floats, pack_sorted, parts_of, raw, unpack, unpack
 from .common import Scratch
 
 CHUNK_TOKENS, KEYS_PER_PART, DISCOUNTED, SEED, NO_ID = 1_500_000, 3_000_000, 5, 5, (1 << 63) - 1
+#: Contexts from here on are a chunk's own, numbered by it.
+OWN = 1 << 60
 CHUNK = "chunk long, ids binary, held binary, row_tokens binary, vocabulary binary, train binary, numbers binary, tokens binary, words long, n_tokens long"
-#: What a part sends back to a chunk: for level 1 the words' ids; above, counts, ids, and for each context its alpha and C.
+#: What a part sends back to a chunk: for level 1 the words' ids; above, counts, ids, and for each context C and, if one of the n-grams asked for is not seen, alpha.
 REPLY = "chunk long, level long, part long, counts binary, ids binary, alphas binary, totals binary"
 
 
@@ -70,7 +74,8 @@ def discounts(n: list[int], most: int = DISCOUNTED) -> list[float]:
 class Plan:
     """What all chunks and parts know: sizes of the exchanges, the discounts, the words' ids by count, and the spread contexts of each level."""
 
-    def __init__(self, parts: int):
+    def __init__(self, parts: int, own: bool = True):
+        self.own = own  # whether chunks keep n-grams that only they have
         self.parts, self.discounts, self.spread, self.offsets, self.borders = {1: parts}, {}, {}, {}, {}
 
     def level_one(self, histogram: dict[int, tuple[int, int]]) -> None:
@@ -218,16 +223,17 @@ def _send_words(batches: Iterator, parts: int) -> Iterator:
 
 
 #: A part of a level: its n-grams, the answers it owes, how many n-grams it has and how many of each count (at level 1 all counts, above the small ones).
-PART = "part long, model binary, replies array<struct<chunk:long,counts:binary,places:binary>>, kinds long, histogram array<struct<count:long,n:long>>"
+PART = "part long, model binary, replies array<struct<chunk:long,places:binary>>, kinds long, histogram array<struct<count:long,n:long>>"
 
 
-def _part_row(part: int, model: bytes, replies: list[dict], counts, most: int | None):
+def _part_row(part: int, model: bytes, replies: list[dict], counts, most: int | None, more: list | None = None):
+    """more: counts of counts of the n-grams that chunks keep."""
     import numpy as np
     import pyarrow as pa
 
     value, n = np.unique(counts[counts > 0] if most is None else counts[(counts > 0) & (counts <= most)], return_counts=True)
-    histogram = [{"count": v, "n": k} for v, k in zip(value.tolist(), n.tolist(), strict=True)]
-    reply = pa.list_(pa.struct([("chunk", pa.int64()), ("counts", pa.binary()), ("places", pa.binary())]))
+    histogram = [{"count": v, "n": k} for v, k in zip(value.tolist(), n.tolist(), strict=True)] + [{"count": v, "n": int(k)} for of in more or [] for v, k in enumerate(of) if k]
+    reply = pa.list_(pa.struct([("chunk", pa.int64()), ("places", pa.binary())]))
     kinds = [pa.int64(), pa.binary(), reply, pa.int64(), pa.list_(pa.struct([("count", pa.int64()), ("n", pa.int64())]))]
     return _table([(part, model, replies, len(counts), histogram)], ["part", "model", "replies", "kinds", "histogram"], kinds)
 
@@ -242,7 +248,7 @@ def _sum_words(table):
     replies, at = [], 0
     for r, own in zip(rows, keys, strict=True):
         mine = place[at : at + len(own)]
-        replies.append({"chunk": r["chunk"], "counts": None, "places": pack_sorted(mine)})
+        replies.append({"chunk": r["chunk"], "places": pack_sorted(mine)})
         at += len(own)
     return _part_row(rows[0]["part"], raw(some, "<u8") + pack(counts), replies, counts, None)
 
@@ -261,6 +267,14 @@ def _word_ids(part: dict, plan: Plan):
     return np.where(counts > 0, ids, -1), counts
 
 
+def _asked(part: dict, kinds: int, plan: Plan):
+    """The places that each reply answers, and for each n-gram whether it is one chunk's own."""
+    import numpy as np
+
+    places = [unpack_sorted(r["places"]) for r in part["replies"]]
+    return places, (np.bincount(np.concatenate(places), minlength=kinds) == 1) & plan.own
+
+
 def _reply_words(batches: Iterator, plan: Plan) -> Iterator:
     import pyarrow as pa
 
@@ -268,8 +282,9 @@ def _reply_words(batches: Iterator, plan: Plan) -> Iterator:
         rows = []
         for part in batch.to_pylist():
             ids, _ = _word_ids(part, plan)
-            for r in part["replies"]:
-                rows.append((r["chunk"], 1, part["part"], None, pack(ids[unpack_sorted(r["places"])] + 1), None, None))
+            places, single = _asked(part, len(ids), plan)
+            for r, mine in zip(part["replies"], places, strict=True):
+                rows.append((r["chunk"], 1, part["part"], None, pack(2 * (ids[mine] + 1) + single[mine]), None, None))
         yield from _table(rows, [x.split()[0] for x in REPLY.split(", ")], [pa.int64()] * 3 + [pa.binary()] * 4).to_batches()
 
 
@@ -287,8 +302,15 @@ def _pairs(context, word):
     return order[new], place
 
 
+def _backed_off(new, counts):
+    """Of groups that begin where new holds, those that hold a count of 0. Only they need an alpha: few, as all n-grams of training texts are seen."""
+    import numpy as np
+
+    return np.flatnonzero(np.add.reduceat(counts == 0, np.flatnonzero(new)) > 0) if len(counts) else np.empty(0, np.int64)
+
+
 class State:
-    """A chunk's tokens, evaluated up to a level: word ids (-1: unknown), training counts, log10 probabilities, and each token's context for the next level (-1: not seen)."""
+    """A chunk's tokens, evaluated up to a level: word ids (-1: unknown), training counts, probabilities, and each token's context for the next level (-1: not seen; from OWN on: the chunk's own). From level 2 on, also the counts n of the tokens' n-grams and their contexts' C (total)."""
 
     def __init__(self, chunk: dict, replies: list[dict], plan: Plan):
         import numpy as np
@@ -298,10 +320,11 @@ class State:
         tokens = unpack(chunk["tokens"])
         self.first = np.cumsum(self.sizes) - self.sizes
         self.training = np.repeat(~self.held, self.sizes)
-        ids = np.empty(chunk["words"], np.int64)  # the parts' answers, in order, are those to the words by hash
-        ids[unpack(chunk["numbers"])] = np.concatenate([unpack(r["ids"]) for r in sorted((r for r in replies if r["level"] == 1), key=lambda r: r["part"])]) - 1
+        answers = np.empty(chunk["words"], np.int64)  # the parts' answers, in order, are those to the words by hash
+        answers[unpack(chunk["numbers"])] = np.concatenate([unpack(r["ids"]) for r in sorted((r for r in replies if r["level"] == 1), key=lambda r: r["part"])])
+        ids = (answers >> 1) - 1
         self.word, self.count, self.p = ids[tokens], plan.word_counts(ids)[tokens], plan.word_p(ids)[tokens]
-        self.context = self._after(self.word, plan.begin)
+        self.context = self._after(np.where((answers % 2 == 1) & (ids >= 0), OWN + np.arange(len(ids)), ids)[tokens], plan.begin)
         for level in range(2, max((r["level"] for r in replies), default=1) + 1):
             self._climb(level, [r for r in replies if r["level"] == level])
 
@@ -318,7 +341,7 @@ class State:
         """What this chunk asks at a level: places of the first of each distinct pair, part borders, and each asking token's place among the pairs."""
         import numpy as np
 
-        asking = np.flatnonzero(self.context >= 0)
+        asking = np.flatnonzero((self.context >= 0) & (self.context < OWN))
         first, place = _pairs(self.context[asking], self.word[asking])
         first = asking[first]
         part = self.plan.part_of(level, self.context[first], self.word[first])
@@ -327,24 +350,51 @@ class State:
         where[order] = np.arange(len(order))
         return asking, first[order], where[place], np.searchsorted(part[order], np.arange(self.plan.parts[level] + 1))
 
+    def own(self):
+        """The chunk's own pairs: tokens with such a context, the first of each distinct pair, each token's place among the pairs, and the pairs' training counts."""
+        import numpy as np
+
+        tokens = np.flatnonzero(self.context >= OWN)
+        first, place = _pairs(self.context[tokens] - OWN, self.word[tokens])
+        first = tokens[first]
+        train = np.bincount(place, self.training[tokens], len(first)).astype(np.int64)
+        train[self.word[first] < 0] = 0
+        return tokens, first, place, train
+
     def _climb(self, level: int, replies: list[dict]) -> None:
         import numpy as np
 
+        tokens, first, own_place, train = self.own()
+        seen, lower = train > 0, self.p[first]
+        new = np.concatenate(([True], self.context[first][1:] != self.context[first][:-1]))[: len(first)]
+        at, group = np.flatnonzero(new), np.cumsum(new) - 1
+        kept = self.plan.discount(level, train) * train
+        total, alpha = _normalised(*(np.add.reduceat(x, at) if len(at) else np.empty(0) for x in (train, kept, np.where(seen, lower, 0.0))))
+        own_p = np.where(seen, kept / np.maximum(total[group], 1), alpha[group] * lower)
+        own_ids = np.where(seen, OWN + np.arange(len(first)), -1)
+        n_own, own_counts, own_totals = len(first), train, total[group]
+
         asking, first, place, cuts = self.ask(level)
-        p, ids = np.empty(len(first)), np.full(len(first), -1)
+        p, ids, n, c = np.empty(len(first)), np.full(len(first), -1), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
         for r in replies:
             a, b = cuts[r["part"]], cuts[r["part"] + 1]
             own, counts = first[a:b], unpack(r["counts"])
             new = np.concatenate(([True], self.context[own][1:] != self.context[own][:-1]))
-            group = np.cumsum(new) - 1
-            alpha, total = unpack_floats(r["alphas"])[group], unpack(r["totals"])[group]
+            group, alpha = np.cumsum(new) - 1, np.ones(new.sum())
+            alpha[_backed_off(new, counts)] = unpack_floats(r["alphas"])
+            total = unpack(r["totals"])[group]
             seen = counts > 0
-            p[a:b] = np.where(seen, self.plan.discount(level, counts) * counts / np.maximum(total, 1), alpha * self.p[own])
-            if r["ids"] is not None:
-                ids[a:b] = np.where(seen, unpack(r["ids"]) - 1, -1)
-        self.p[asking] = p[place]
+            n[a:b], c[a:b] = counts, total
+            p[a:b] = np.where(seen, self.plan.discount(level, counts) * counts / np.maximum(total, 1), alpha[group] * self.p[own])
+            if r["ids"] is not None:  # 0: not seen, 1: the chunk's own
+                answer = unpack(r["ids"])
+                ids[a:b] = np.where(answer == 1, OWN + n_own + np.arange(a, b), np.maximum(answer - 2, -1))
+        self.p[asking], self.p[tokens] = p[place], own_p[own_place]
+        self.n, self.total = np.zeros(len(self.word), np.int64), np.zeros(len(self.word), np.int64)
+        self.n[asking], self.n[tokens] = n[place], own_counts[own_place]
+        self.total[asking], self.total[tokens] = c[place], own_totals[own_place]
         full = np.full(len(self.word), -1)
-        full[asking] = ids[place]
+        full[asking], full[tokens] = ids[place], own_ids[own_place]
         # The begin mark alone has no id at higher levels: a text's first token backs off from a context that starts the text.
         self.context = self._after(full, -1)
 
@@ -353,7 +403,7 @@ def _send_pairs(chunk_rows, reply_rows, plan: Plan, level: int):
     import numpy as np
     import pyarrow as pa
 
-    names, kinds = ["part", "chunk", "contexts", "words", "train", "lower"], [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    names, kinds = ["part", "chunk", "contexts", "words", "train", "lower_n", "lower_total"], [pa.int64(), pa.int64(), *[pa.binary()] * 5]
     rows = []
     for chunk in chunk_rows.to_pylist():
         s = State(chunk, reply_rows.to_pylist(), plan)
@@ -363,7 +413,11 @@ def _send_pairs(chunk_rows, reply_rows, plan: Plan, level: int):
         for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a < b:
                 f = first[a:b]
-                rows.append((part, chunk["chunk"], pack_sorted(s.context[f]), pack(s.word[f] + 1), pack(train[a:b]), pack_floats(s.p[f]) if level > 2 else None))
+                rows.append((part, chunk["chunk"], pack_sorted(s.context[f]), pack(s.word[f] + 1), pack(train[a:b]), *((pack(np.where(train[a:b] > 0, x[f], 0)) for x in (s.n, s.total)) if level > 2 else (None, None))))
+        *_, train = s.own()
+        if len(train):  # how many of the chunk's own n-grams have each small count
+            few = np.bincount(train[(train > 0) & (train <= DISCOUNTED + 1)], minlength=1)
+            rows.append((chunk["chunk"] % plan.parts[level], chunk["chunk"], None, None, pack(few), None, None))
     return _table(rows, names, kinds)
 
 
@@ -372,24 +426,31 @@ def _sender(plan: Plan, level: int):
 
 
 def _sum_pairs(table):
-    """Counts of a part's pairs; their lower-level probabilities are carried where a word's id doesn't tell them."""
+    """Counts of a part's pairs. Where a word's id doesn't tell its lower-level probability, the count and C that give it are carried, for the seen: integers, which pack well."""
     import numpy as np
 
-    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+    every = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+    rows, part = [r for r in every if r["contexts"] is not None], every[0]["part"]
+    kept = [unpack(r["train"]) for r in every if r["contexts"] is None]
     contexts = [unpack_sorted(r["contexts"]) for r in rows]
-    context, word = np.concatenate(contexts), np.concatenate([unpack(r["words"]) for r in rows]) - 1
+    empty = [np.empty(0, np.int64)]
+    context, word = np.concatenate(contexts or empty), np.concatenate([unpack(r["words"]) for r in rows] or empty) - 1
     first, place = _pairs(context, word)
-    counts = np.bincount(place, np.concatenate([unpack(r["train"]) for r in rows]), len(first)).astype(np.int64)
-    lower = np.concatenate([unpack_floats(r["lower"]) for r in rows])[first] if rows[0]["lower"] is not None else None
+    counts = np.bincount(place, np.concatenate([unpack(r["train"]) for r in rows] or empty), len(first)).astype(np.int64)
+    lower = []
+    for name in ("lower_n", "lower_total") if rows and rows[0]["lower_n"] is not None else ():
+        most = np.zeros(len(first), np.int64)
+        np.maximum.at(most, place, np.concatenate([unpack(r[name]) for r in rows]))
+        lower.append(pack(most))
     context, word = context[first], word[first]
     replies, at = [], 0
     for r, own in zip(rows, contexts, strict=True):
         mine = place[at : at + len(own)]
-        replies.append({"chunk": r["chunk"], "counts": pack(counts[mine]), "places": pack_sorted(mine)})
+        replies.append({"chunk": r["chunk"], "places": pack_sorted(mine)})
         at += len(own)
-    blobs = [pack_sorted(context), pack(word + 1), pack(counts), pack_floats(lower) if lower is not None else b""]
+    blobs = [pack_sorted(context), pack(word + 1), pack(counts), *(lower or (b"", b""))]
     model = raw([len(b) for b in blobs]) + b"".join(blobs)
-    return _part_row(rows[0]["part"], model, replies, counts, DISCOUNTED + 1)
+    return _part_row(part, model, replies, counts, DISCOUNTED + 1, kept)
 
 
 def open_words(model: bytes, kinds: int):
@@ -403,26 +464,30 @@ def open_pairs(model: bytes):
     """Context ids, word ids (-1: unknown) and training counts of a kept part of a higher level, in ascending order."""
     import numpy as np
 
-    ends = np.cumsum([32, *np.frombuffer(model[:32], "<i8").tolist()]).tolist()
+    ends = np.cumsum([40, *np.frombuffer(model[:40], "<i8").tolist()]).tolist()
     return unpack_sorted(model[ends[0] : ends[1]]), unpack(model[ends[1] : ends[2]]) - 1, unpack(model[ends[2] : ends[3]])
 
 
-def _open_model(model: bytes, plan: Plan):
-    """context, word, count and lower-level probability of a part's pairs, in ascending order."""
+def _open_model(model: bytes, plan: Plan, level: int):
+    """context, word, count and lower-level probability (of the seen) of a part's pairs, in ascending order."""
     import numpy as np
 
-    sizes = np.frombuffer(model[:32], "<i8").tolist()
-    ends = np.cumsum([32, *sizes]).tolist()
-    a, b, c, d = (model[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True))
-    word = unpack(b) - 1
-    return unpack_sorted(a), word, unpack(c), unpack_floats(d) if d else plan.word_p(word)
+    ends = np.cumsum([40, *np.frombuffer(model[:40], "<i8").tolist()]).tolist()
+    n, total = (model[x:y] for x, y in zip(ends[3:-1], ends[4:], strict=True))
+    context, word, counts = open_pairs(model)
+    if not n:
+        return context, word, counts, plan.word_p(word)
+    n, total = unpack(n), unpack(total)
+    return context, word, counts, plan.discount(level - 1, n) * n / np.maximum(total, 1)
 
 
 def _context_sums(plan: Plan, level: int, model: bytes):
     """Per context: id, C, discounted count, lower-level probability of the seen; and each pair's context place."""
     import numpy as np
 
-    context, _, counts, lower = _open_model(model, plan)
+    context, _, counts, lower = _open_model(model, plan, level)
+    if not len(context):
+        return context, [np.empty(0)] * 3, context
     new = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
     seen = counts > 0
     kept = plan.discount(level, counts) * counts
@@ -430,6 +495,14 @@ def _context_sums(plan: Plan, level: int, model: bytes):
     return context[new], sums, np.repeat(np.arange(len(new)), np.diff(np.append(new, len(context))))
 
 
+def _normalised(total, kept, lower):
+    """C and alpha of contexts, from their count, discounted count and lower-level probability of the seen."""
+    import numpy as np
+
+    total = total + ((kept >= total) & (total > 0))  # nothing discounted: a share of one for the unseen
+    return total, np.where(total > 0, (1 - kept / np.maximum(total, 1)) / np.maximum(1 - lower, 1e-300), 1.0)
+
+
 def _spread_sums(batches: Iterator, plan: Plan, level: int) -> Iterator:
     import numpy as np
     import pyarrow as pa
@@ -451,14 +524,17 @@ def _reply_pairs(batches: Iterator, plan: Plan, level: int, spread: dict[int, tu
             context, (total, kept, lower), group = _context_sums(plan, level, part["model"])
             for k in np.flatnonzero(np.isin(context, plan.spread[level])):
                 total[k], kept[k], lower[k] = spread[int(context[k])]
-            total = total + ((kept >= total) & (total > 0))  # nothing discounted: a share of one for the unseen
-            alpha = np.where(total > 0, (1 - kept / np.maximum(total, 1)) / np.maximum(1 - lower, 1e-300), 1.0)
-            for r in part["replies"]:
-                places = unpack_sorted(r["places"])
+            total, alpha = _normalised(total, kept, lower)
+            if not part["replies"]:
+                continue
+            counts = open_pairs(part["model"])[2]
+            asked, single = _asked(part, len(counts), plan)
+            names = np.where(counts > 0, np.where(single, 1, np.arange(len(counts)) + plan.offsets[level][part["part"]] + 2), 0)
+            for r, places in zip(part["replies"], asked, strict=True):
                 own = group[places]
-                own = own[np.concatenate(([True], own[1:] != own[:-1]))]
-                ids = pack(places + plan.offsets[level][part["part"]] + 1) if more else None
-                rows.append((r["chunk"], level, part["part"], r["counts"], ids, pack_floats(alpha[own]), pack(total[own])))
+                new = np.concatenate(([True], own[1:] != own[:-1]))
+                own = own[new]
+                rows.append((r["chunk"], level, part["part"], pack(counts[places]), pack(names[places]) if more else None, pack_floats(alpha[own[_backed_off(new, counts[places])]]), pack(total[own])))
         yield from _table(rows, [x.split()[0] for x in REPLY.split(", ")], [pa.int64()] * 3 + [pa.binary()] * 4).to_batches()
 
 
@@ -483,7 +559,8 @@ def score_corpus(docs: DataFrame, held_out, order: int = 2, id_col: str = "doc_i
 
     held_out: a boolean column; rows where it is false train the model.
     model_path: where to keep the n-gram tables (ngrams1, ngrams2, ... by part;
-    open_words and open_pairs read a part's model), else they go with the run.
+    open_words and open_pairs read a part's model), else they go with the run. If
+    they are kept, chunks send their own n-grams too, so that the tables hold all.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
@@ -492,19 +569,22 @@ def score_corpus(docs: DataFrame, held_out, order: int = 2, id_col: str = "doc_i
     chunks = scratch.table(rows.mapInArrow(lambda b: _encode(b, chunk_tokens), CHUNK), "chunks")
     size = chunks.agg(F.sum("words").alias("words"), F.sum("n_tokens").alias("tokens")).first()
 
-    plan = Plan(parts_of(size["words"] or 0, KEYS_PER_PART, least))
+    plan = Plan(parts_of(size["words"] or 0, KEYS_PER_PART, least), own=not model_path)
     parts = plan.parts[1]
     sent = chunks.select("chunk", "vocabulary", "train").mapInArrow(lambda b: _send_words(b, parts), "part long, chunk long, keys binary, train binary")
     model = scratch.table(sent.repartition(parts, "part").groupBy("part").applyInArrow(_sum_words, PART), "ngrams1")
     counted = model.select(F.inline("histogram")).groupBy("count").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     plan.level_one({r["count"]: (r["n"], r["most"]) for r in counted.collect()})
     replies = scratch.table(model.select("part", "model", "kinds", "replies").mapInArrow(lambda b: _reply_words(b, plan), REPLY), "replies1")
-    chunks = chunks.drop("vocabulary", "train")
+    chunks = scratch.table(chunks.drop("vocabulary", "train"), "tokens")
+    scratch.drop("chunks")
 
     for level in range(2, order + 1):
         parts = parts_of(size["tokens"] or 0, KEYS_PER_PART, least)
         plan.deal(level, parts, _spread(model, plan, level, parts))
-        sent = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_sender(plan, level), "part long, chunk long, contexts binary, words binary, train binary, lower binary")
+        if not model_path:
+            scratch.drop(f"ngrams{level - 1}")
+        sent = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_sender(plan, level), "part long, chunk long, contexts binary, words binary, train binary, lower_n binary, lower_total binary")
         model = scratch.table(sent.repartition(parts, "part").groupBy("part").applyInArrow(_sum_pairs, PART), f"ngrams{level}")
         counted = model.select(F.inline("histogram")).groupBy("count").agg(F.sum("n").alias("n"))
         n = {r["count"]: r["n"] for r in counted.collect()}
@@ -516,6 +596,8 @@ def score_corpus(docs: DataFrame, held_out, order: int = 2, id_col: str = "doc_i
         spread = _spread_totals(model, plan, level)
         answered = model.select("part", "model", "replies").mapInArrow(_replier(plan, level, spread, level < order), REPLY)
         replies = replies.unionByName(scratch.table(answered, f"replies{level}"))
+    if not model_path:
+        scratch.drop(f"ngrams{order}")
 
     for level in range(1, order + 1) if model_path else ():
         kept = spark.read.parquet(f"{scratch.path}/ngrams{level}").select("part", "kinds", "model")
@@ -551,7 +633,7 @@ def _spread(model: DataFrame, plan: Plan, level: int, parts: int):
                     ids, counts = _word_ids(part, plan)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[counts > least])], names=["id"])
                 else:
-                    counts = _open_model(part["model"], plan)[2]
+                    counts = open_pairs(part["model"])[2]
                     yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts > least) + plan.offsets[level - 1][part["part"]])], names=["id"])
 
     found = [r["id"] for r in model.select("part", "model", "kinds").mapInArrow(large, "id long").collect()]

@@ -176,7 +176,7 @@ def brute_katz(docs, held, order):
     return out, p, counts, after
 
 
-@pytest.mark.parametrize(("order", "chunk"), [(2, 100_000), (2, 500), (3, 2_000)])
+@pytest.mark.parametrize(("order", "chunk"), [(2, 100_000), (2, 500), (3, 2_000), (3, 100_000), (4, 1_500)])
 def test_katz_matches_brute_force(spark, order, chunk):
     rng = random.Random(9)
     rows = [(k, " ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(rng.randrange(0, 90)))) for k in range(150)] + [(None, None), (500, ""), (7, "w1 W1\tw2")]

@@ -12,9 +12,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import UNKNOWN, blank, inventory_id, key, known_number, normalize_code, printed_number, set_prefix
+from .blocks import met
 
 #: Distinct keys up to which a nearest lookup broadcasts them (a few MB).
 MAX_BROADCAST_KEYS = 200_000
+#: Characters up to which forms without two characters are made (at most 326 of them).
+LONGEST_TWO_EDITS = 24
 
 
 def known_numbers(catalogue: DataFrame, id_col: str = "id") -> DataFrame:
@@ -41,15 +44,16 @@ def variants_lookup(queries: DataFrame, catalogue: DataFrame, query_col: str = "
 def prefix_lookup(queries: DataFrame, catalogue: DataFrame, query_col: str = "code", shortest: int = 3) -> DataFrame:
     """All catalogue rows whose id begins with the query.
 
-    An equi-join on the leading characters narrows what is compared; queries
-    shorter than that are compared with every id, on a broadcast of their
-    distinct texts.
+    Equi-joins: on the leading characters for a query of ``shortest`` characters or
+    more, and for a shorter one on the ids' own short prefixes, of which each id has
+    ``shortest`` at most.
     """
     q, c = key(F.col(query_col)), key(F.col("id"))
     long = queries.where(F.length(query_col) >= shortest).withColumn("__lead", F.substring(q, 1, shortest))
     led = long.join(catalogue.withColumn("__lead", F.substring(c, 1, shortest)), "__lead").where(c.startswith(q)).drop("__lead")
-    short = queries.where(F.length(query_col) < shortest)
-    return led.unionByName(short.join(catalogue, c.startswith(q)))
+    short = queries.where(F.length(query_col) < shortest).withColumn("__lead", q)
+    begins = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(shortest - 1)), lambda n: F.substr(c, F.lit(1), n)))
+    return led.unionByName(short.join(catalogue.withColumn("__lead", F.explode(begins)), "__lead").drop("__lead"))
 
 
 def cascade_match(queries: DataFrame, catalogue: DataFrame, query_col: str = "code", rarity_col: str = "wanted_rarity", unique_rarity: bool = False) -> DataFrame:
@@ -85,34 +89,42 @@ def with_images(catalogue: DataFrame, images: DataFrame) -> DataFrame:
     return catalogue.join(images.select(key(F.col("stem")).alias("__stem"), F.col("path").alias("image_path")), key(F.col("id")) == F.col("__stem"), "left").drop("__stem")
 
 
-def _nearby(texts: DataFrame, numbers: DataFrame, on: Column) -> DataFrame:
-    """Texts against known numbers; the numbers are broadcast if counted to be few, else joined by the planner's choice."""
-    few = numbers.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
-    return texts.join(F.broadcast(numbers) if few else numbers, on)
+def _nearby(texts: DataFrame, numbers: DataFrame, on: Column, by: str) -> DataFrame:
+    """Texts against known numbers, in blocks if they are many."""
+    return met(texts, numbers, on, MAX_BROADCAST_KEYS, by)
 
 
-def _dropped(x: str) -> Column:
+def _dropped(x: Column) -> Column:
     """A text and its forms without one character. Two texts within one edit share a form."""
     n = F.length(x)
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.concat(F.array(F.col(x)), F.transform(places, lambda i: F.concat(F.substr(F.col(x), F.lit(1), i - 1), F.substr(F.col(x), i + 1)))))
+    return F.array_distinct(F.concat(F.array(x), F.transform(places, lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))))
+
+
+def _dropped_two(x: Column) -> Column:
+    """A text and its forms without one or two characters. Two texts within two edits share a form."""
+    return F.array_distinct(F.flatten(F.transform(_dropped(x), _dropped)))
 
 
 def nearest_number(queries: DataFrame, numbers: DataFrame, query_col: str = "code") -> DataFrame:
     """Each query with the known number of the least edit distance, then length difference, then order: number, distance and similarity.
 
-    Distinct texts are resolved once: known numbers by equality, texts one edit
-    from a number by an equi-join on their forms with a character dropped, and
-    only the rest against all numbers.
+    Distinct texts are resolved once: known numbers by equality, texts one or two
+    edits from a number by equi-joins on their forms with as many characters dropped
+    (for two, of texts of up to LONGEST_TWO_EDITS characters), and only the rest
+    against all numbers, in blocks.
     """
     texts = queries.select(key(F.col(query_col)).alias("__text")).where(~blank(F.col("__text"))).distinct()
     exact = texts.join(numbers, F.col("__text") == F.col("number"), "left_semi").select("__text", F.col("__text").alias("number"), F.lit(0).alias("distance"))
     rest = texts.join(numbers, F.col("__text") == F.col("number"), "left_anti")
-    forms = numbers.select("number", F.explode(_dropped("number")).alias("__form"))
-    one = rest.withColumn("__form", F.explode(_dropped("__text"))).join(forms, "__form").select("__text", "number").distinct()
-    one = _closest(one.where(F.levenshtein("__text", "number") == 1))
-    far = _closest(_nearby(rest.join(one, "__text", "left_anti"), numbers, F.lit(True)))
-    found = exact.unionByName(one).unionByName(far)
+    found, n = exact, F.col("number")
+    for edits, forms, sized in ((1, _dropped, lambda x: F.lit(True)), (2, _dropped_two, lambda x: F.length(x) <= LONGEST_TWO_EDITS + 2)):
+        near = rest.where(sized("__text")).withColumn("__form", F.explode(forms(F.col("__text")))).join(numbers.where(sized("number")).select("number", F.explode(forms(n)).alias("__form")), "__form")
+        near = near.select("__text", "number").distinct().where(F.levenshtein("__text", "number") <= edits)
+        # Above the bound, a number within two edits may be too long to have forms; such texts wait for the comparison with all.
+        near = _closest(near if edits == 1 else near.where(F.length("__text") <= LONGEST_TWO_EDITS))
+        found, rest = found.unionByName(near), rest.join(near, "__text", "left_anti")
+    found = found.unionByName(_closest(_nearby(rest, numbers, F.lit(True), "number")))
     longest = F.greatest(F.length("__text"), F.length("number"))
     found = found.withColumn("similarity", F.greatest(F.lit(0.0), 100.0 * (1 - F.col("distance") / longest)))
     return queries.join(found, key(F.col(query_col)) == F.col("__text")).drop("__text")
@@ -136,7 +148,7 @@ def correct_codes(queries: DataFrame, catalogue: DataFrame, query_col: str = "co
     known = texts.join(ids, key(F.col("__text")) == F.col("__key"), "left_semi").select("__raw", F.col("__text").alias("corrected"))
     rest = texts.join(ids, key(F.col("__text")) == F.col("__key"), "left_anti")
     in_set = rest.where("__prefix IS NOT NULL").join(ids.withColumn("__set", key(set_prefix(F.col("__id")))), key(F.col("__prefix")) == F.col("__set"))
-    anywhere = _nearby(rest.where("__prefix IS NULL"), ids, F.abs(F.length("__id") - F.length("__text")) <= 1)
+    anywhere = _nearby(rest.where("__prefix IS NULL"), ids, F.abs(F.length("__id") - F.length("__text")) <= 1, "__id")
     near = in_set.drop("__set").unionByName(anywhere).withColumn("d", F.levenshtein("__text", "__id")).where("d <= 1")
     best = near.groupBy("__raw").agg(F.min("d").alias("d"), F.count_if(F.col("d") == 0).alias("n0"), F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "__id")).alias("best"))
     unique = best.where("IF(d = 0, n0, n) = 1").select("__raw", F.col("best.__id").alias("__fix"))

@@ -2,7 +2,10 @@
 
 The length band is an equi-join: each reading is exploded to the lengths it may
 meet (at most eight), so no reading is compared with numbers outside its band.
-Readings with the same text and lattice are resolved once.
+Numbers are broadcast if counted to be few; else, as lengths are few and one may
+hold most numbers, each length is dealt into blocks and a reading meets them all.
+The K best are a limit on a row number, which Spark applies to each partition
+before the shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import letter_prefix
 from ..functions.scoring import PROFILES, Profile, database_confidence, final_score, overall_confidence, quick_score
+from . import blocks
+
+MAX_BROADCAST_NUMBERS = 200_000
 
 
 def candidates(readings: DataFrame, numbers: DataFrame, profile: Profile) -> DataFrame:
@@ -20,7 +26,8 @@ def candidates(readings: DataFrame, numbers: DataFrame, profile: Profile) -> Dat
     segments = F.size("lattice")
     usable = readings.where((F.trim("greedy") != "") & (segments > 0))
     banded = usable.withColumn("__length", F.explode(F.sequence(F.greatest(F.lit(3), segments - 5), segments + 2)))
-    met = banded.join(numbers.withColumn("__length", F.length("number")), "__length").drop("__length")
+    sized = numbers.withColumn("__size", F.length("number"))
+    met = blocks.met(banded, sized, F.col("__length") == F.col("__size"), MAX_BROADCAST_NUMBERS, "number").drop("__length", "__size")
     if profile.prefix:
         begins = F.upper(letter_prefix(F.col("greedy"), 3))
         met = met.withColumn("__fits", (begins != "") & F.upper("number").startswith(begins))

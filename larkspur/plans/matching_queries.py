@@ -93,7 +93,8 @@ def global_hypothesis(spark, sf_dir):
 
 def better_candidate_fold(spark, sf_dir):
     rows = _global(_candidates(spark, sf_dir)).withColumn("name", F.col("greedy"))
-    return matching.best_candidate(rows, "image_of", "pos").select("image_of", "best.*")
+    best = matching.best_candidate(rows, "image_of", "pos").select("image_of", "best.*")
+    return best.withColumn("global_score", F.round("global_score", 6)).withColumn("length_difference", F.col("length_difference").cast("int"))
 
 
 def early_exit(spark, sf_dir):
@@ -227,3 +228,12 @@ ORACLES = {
 }
 ORACLES |= {f"quick_score_topk_{name}": f"{_quick_sql(scoring.PROFILES[name])} SELECT reading, number, round(quick, 6) AS quick FROM kept" for name in PROFILES}
 ORACLES |= {f"lattice_match_{name}": _lattice_sql(scoring.PROFILES[name]) for name in PROFILES}
+_BETTER = """CASE WHEN a.usable <> b.usable THEN a.usable WHEN NOT a.usable THEN a.image > b.image WHEN abs(a.g - b.g) > 0.35 THEN a.g > b.g
+        WHEN a.ld <> b.ld THEN a.ld < b.ld WHEN abs(a.database - b.database) > 0.25 THEN a.database > b.database
+        WHEN abs(a.geometry - b.geometry) > 0.5 THEN a.geometry > b.geometry ELSE a.image > b.image END"""
+ORACLES["better_candidate_fold"] = f"""{_CANDIDATES.replace("WITH ", "WITH RECURSIVE ", 1)},
+     sequence AS (SELECT image_of, {{'usable': usable, 'g': g, 'ld': ld, 'database': database::DOUBLE, 'geometry': geometry::DOUBLE, 'image': image::DOUBLE, 'name': greedy}} AS c, row_number() OVER (PARTITION BY image_of ORDER BY pos) AS k FROM globals),
+     fold AS (SELECT image_of, c AS b, k FROM sequence WHERE k = 1
+        UNION ALL SELECT image_of, CASE WHEN {_BETTER} THEN a ELSE b END, k FROM (SELECT f.image_of, f.b, n.c AS a, n.k FROM fold f JOIN sequence n ON n.image_of = f.image_of AND n.k = f.k + 1))
+     SELECT image_of, b.usable AS usable, round(b.g, 6) AS global_score, CAST(b.ld AS INTEGER) AS length_difference, b.database AS database, b.geometry AS geometry, b.image AS image, b.name AS name
+     FROM fold QUALIFY k = max(k) OVER (PARTITION BY image_of)"""

@@ -58,12 +58,14 @@ def _rows_of_boxes(spark, sf_dir):
 
 
 def merged_rows(spark, sf_dir):
-    return _rows_of_boxes(spark, sf_dir).select("l_orderkey", F.size("rects").alias("before"), geometry.merge_row(F.col("rects")).alias("rects"))
+    rows = _rows_of_boxes(spark, sf_dir).select("l_orderkey", F.size("rects").alias("before"), F.posexplode(geometry.merge_row(F.col("rects"))).alias("place", "r"))
+    return rows.select("l_orderkey", "before", "place", "r.*")
 
 
 def iou_suppression(spark, sf_dir):
     flat = F.transform("rects", lambda r: F.struct((r["x"] % 9).cast("int").alias("x"), r["y"].alias("y"), r["w"].alias("w"), r["h"].alias("h")))
-    return _rows_of_boxes(spark, sf_dir).select("l_orderkey", geometry.suppress(flat, 0.6).alias("kept"))
+    rows = _rows_of_boxes(spark, sf_dir).select("l_orderkey", F.posexplode(geometry.suppress(flat, 0.6)).alias("place", "r"))
+    return rows.select("l_orderkey", "place", "r.*")
 
 
 def segmentation_scores(spark, sf_dir):
@@ -207,8 +209,7 @@ def most_similar_templates(spark, sf_dir):
 
 
 def nearest_variant(spark, sf_dir):
-    variants = _vectors(spark, sf_dir).where("id % 50 <> 0").withColumn("vector", F.when(F.col("id") % 3 != 0, F.col("vector")))
-    return vectors.nearest_variant(_asked_vectors(spark, sf_dir), variants, "class", SPREAD).select("id", "variant", F.round("similarity", 5).alias("similarity"))
+    return vectors.nearest_variant(_asked_vectors(spark, sf_dir), _vectors(spark, sf_dir), "class", SPREAD).select("id", "variant", F.round("similarity", 5).alias("similarity"))
 
 
 def greedy_reading(spark, sf_dir):
@@ -299,7 +300,7 @@ ORACLES = {
     "class_statistics": f"""WITH {_QUALITY} SELECT class, count(*) AS n, round(avg(quality), 5) AS mean, round(min(quality), 5) AS least, round(max(quality), 5) AS best,
         count(*) FILTER (quality < 65) AS flagged, count(*) FILTER (quality >= 65 AND quality < 80) AS doubtful FROM quality GROUP BY 1""",
     "most_similar_templates": f"WITH {_PAIRS.format('a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id')} SELECT id, o_id, round(s, 5) AS similarity FROM pairs QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, o_id) <= 15",
-    "nearest_variant": f"""WITH {_PAIRS.format('a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0 AND b.vec_id % 3 <> 0 AND a.label = b.label')}, f AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, o_id) = 1)
+    "nearest_variant": f"""WITH {_PAIRS.format('a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label')}, f AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, o_id) = 1)
         SELECT vec_id AS id, o_id AS variant, round(s, 5) AS similarity FROM embeddings LEFT JOIN f ON id = vec_id WHERE vec_id % 50 = 0""",
     "greedy_reading": f"""WITH {_CLASSES}, f AS (SELECT * FROM means QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, class) = 1)
         SELECT CAST(id // 500 AS BIGINT) AS line, string_agg(CAST(class AS VARCHAR), '' ORDER BY id) AS text FROM f GROUP BY 1""",
@@ -308,3 +309,59 @@ ORACLES = {
     "prefix_counts": f"{BASE} SELECT regexp_extract(id, '^[A-Za-z]+') AS letters, count(*) AS n FROM catalogue GROUP BY 1",
     "known_by_prefix": f"{BASE} SELECT CASE WHEN instr(number, '-') > 1 THEN substr(number, 1, instr(number, '-')) END AS prefix, string_agg(number, ',' ORDER BY number) AS numbers FROM numbers GROUP BY 1",
 }
+
+#: Rectangles of an order in sequence, by x, y, w and h.
+_SEQUENCE = f"{BOXES}, numbered AS (SELECT l_orderkey, {{'x': x, 'y': y, 'w': w, 'h': h}} AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY x, y, w, h) AS k FROM boxes)"
+_RATIO = "({r}.w / greatest(1, {r}.h)::DOUBLE)"
+_DASH = "(({r}.w >= 3 AND {r}.h >= 2 AND {ratio} BETWEEN 1.25 AND 8.0 AND {r}.h <= greatest(5.0, mh * 0.62)) OR ({r}.w >= 2 AND {r}.h >= 2 AND {ratio} BETWEEN 0.85 AND 10.0 AND {r}.h <= greatest(7.0, mh * 0.78)))"
+_GAP = "rects[i].x - rects[i - 1].x - rects[i - 1].w"
+
+
+def _dash_sql(r):
+    return _DASH.format(r=r, ratio=_RATIO.format(r=r))
+
+
+def _total(expression, of):
+    return f"coalesce(list_sum([({expression})::DOUBLE for {of}]), 0.0)"
+
+
+_R = _RATIO.format(r="r")
+_BETWEEN = "i in range(2, len(rects) + 1)"
+ORACLES |= {
+    "merged_rows": f"""WITH RECURSIVE {_SEQUENCE}, fold AS (
+        SELECT l_orderkey, k, [r] AS done FROM numbered WHERE k = 1
+        UNION ALL SELECT n.l_orderkey, n.k, CASE WHEN n.r.x - f.done[-1].x - f.done[-1].w <= 1
+                AND least(f.done[-1].y + f.done[-1].h, n.r.y + n.r.h) - greatest(f.done[-1].y, n.r.y) > least(f.done[-1].h, n.r.h) * 0.45
+            THEN list_append(f.done[1:len(f.done) - 1], {{'x': least(f.done[-1].x, n.r.x), 'y': least(f.done[-1].y, n.r.y),
+                'w': greatest(f.done[-1].x + f.done[-1].w, n.r.x + n.r.w) - least(f.done[-1].x, n.r.x), 'h': greatest(f.done[-1].y + f.done[-1].h, n.r.y + n.r.h) - least(f.done[-1].y, n.r.y)}})
+            ELSE list_append(f.done, n.r) END FROM fold f JOIN numbered n ON n.l_orderkey = f.l_orderkey AND n.k = f.k + 1),
+        last AS (SELECT * FROM fold QUALIFY k = max(k) OVER (PARTITION BY l_orderkey)),
+        parts AS (SELECT l_orderkey, k, unnest(range(1, len(done) + 1)) AS i, done FROM last)
+        SELECT l_orderkey, CAST(k AS INTEGER) AS before, CAST(i - 1 AS INTEGER) AS place, done[i].x AS x, done[i].y AS y, done[i].w AS w, done[i].h AS h FROM parts""",
+    "iou_suppression": f"""WITH RECURSIVE {_SEQUENCE}, moved AS (SELECT l_orderkey, {{'x': r.x % 9, 'y': r.y, 'w': r.w, 'h': r.h}} AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY r.w * r.h, k) AS k FROM numbered),
+        shared AS (SELECT a.l_orderkey, a.k AS kept, b.k AS later, greatest(least(a.r.x + a.r.w, b.r.x + b.r.w) - greatest(a.r.x, b.r.x), 0) * greatest(least(a.r.y + a.r.h, b.r.y + b.r.h) - greatest(a.r.y, b.r.y), 0) AS common,
+            a.r.w * a.r.h + b.r.w * b.r.h AS areas FROM moved a JOIN moved b ON a.l_orderkey = b.l_orderkey AND a.k < b.k),
+        clash AS (SELECT l_orderkey, later, list(kept) AS with_kept FROM shared WHERE common > 0 AND common::DOUBLE / (areas - common) >= 0.6 GROUP BY ALL),
+        fold AS (SELECT l_orderkey, k, [k] AS kept FROM moved WHERE k = 1
+            UNION ALL SELECT m.l_orderkey, m.k, CASE WHEN list_has_any(f.kept, coalesce(c.with_kept, [])) THEN f.kept ELSE list_append(f.kept, m.k) END
+            FROM fold f JOIN moved m ON m.l_orderkey = f.l_orderkey AND m.k = f.k + 1 LEFT JOIN clash c ON c.l_orderkey = m.l_orderkey AND c.later = m.k),
+        last AS (SELECT l_orderkey, unnest(kept) AS k FROM fold QUALIFY fold.k = max(fold.k) OVER (PARTITION BY l_orderkey))
+        SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY k) - 1 AS INTEGER) AS place, r.x AS x, r.y AS y, r.w AS w, r.h AS h FROM last JOIN moved USING (l_orderkey, k)""",
+    "segmentation_scores": f"""WITH {_SEQUENCE}, lists AS (SELECT l_orderkey, list(r ORDER BY k) AS rects, CAST(count(*) AS INTEGER) AS n FROM numbered GROUP BY 1),
+        h AS (SELECT *, list_median([x.h for x in rects])::DOUBLE AS mh FROM lists),
+        m AS (SELECT *, coalesce(list_median([x.w for x in rects if x.h >= mh * 0.60])::DOUBLE, 0.0) AS mw FROM h),
+        g AS (SELECT *, CASE WHEN n = 5 THEN 26.0 WHEN n = 8 THEN 34.0 WHEN n = 9 THEN 32.0 WHEN n IN (6, 7, 10) THEN 6.0 ELSE -18.0 END::DOUBLE AS number,
+            {_total(f"-least(18.0, abs(r.h - mh) / mh * 13.0) - CASE WHEN {_R} < 0.04 OR {_R} > 2.70 THEN 14.0 ELSE 0.0 END", "r in rects")} AS shapes,
+            {_total(f"CASE WHEN {_GAP} > mh * 0.95 THEN -22.0 WHEN {_GAP} < mh * -0.22 THEN -12.0 ELSE 0.0 END", _BETWEEN)} AS gaps,
+            rects[CASE n WHEN 5 THEN 2 WHEN 8 THEN 5 WHEN 9 THEN 6 ELSE 99 END] AS d,
+            (list_max([r.x + r.w for r in rects]) - list_min([r.x for r in rects])) / 110.0::DOUBLE AS share,
+            CASE WHEN mw > 0 THEN len([1 for r in rects if r.w > mw * 2.25 AND NOT {_dash_sql("r")}]) * -10.0 ELSE 0.0 END::DOUBLE AS wide FROM m),
+        o AS (SELECT *, rects[2:] AS others, coalesce(nullif(list_median([r.h for r in rects[2:]])::DOUBLE, 0.0), 8.0) AS oh FROM g)
+        SELECT l_orderkey,
+            round(number + shapes + gaps + CASE WHEN d IS NULL THEN 0.0 WHEN {_dash_sql("d")} THEN 30.0 ELSE -20.0 END + CASE WHEN share < 0.20 THEN -15.0 WHEN share > 0.98 THEN -8.0 ELSE least(12.0, share * 16.0) END + wide, 6)::DOUBLE AS geometry,
+            round(100.0 + {_total(f"-abs(r.h - oh) / greatest(1.0, oh) * 24.0 - CASE WHEN {_R} < 0.05 OR {_R} > 1.45 THEN 18.0 ELSE 0.0 END", "r in others")}
+                + {_total(f"CASE WHEN {_GAP} > oh * 0.90 THEN -35.0 WHEN {_GAP} < oh * -0.20 THEN -15.0 ELSE 0.0 END", _BETWEEN)}
+                - abs(rects[1].y + rects[1].h / 2.0 - coalesce(list_sum([(r.y + r.h / 2.0)::DOUBLE for r in others]) / nullif(len(others), 0), rects[1].y + rects[1].h / 2.0)) / greatest(1.0, oh) * 20.0, 6)::DOUBLE AS sequence,
+            round({_total(f"CASE WHEN r.h / greatest(1.0, rects[1].h) < 0.55 OR r.h / greatest(1.0, rects[1].h) > 1.65 OR {_R} > 1.55 THEN 4.0 ELSE -2.0 END", "r in list_concat(rects[1:1], rects[4:])")}, 6)::DOUBLE AS discarded
+        FROM o""",
+}

@@ -180,3 +180,14 @@ def class_label(folder: Column) -> Column:
 def mapped(counts: Column, name: Column) -> Column:
     """A count from a map, 0 for missing names."""
     return F.coalesce(F.try_element_at(counts, name), F.lit(0))
+
+
+def duration_text(seconds: Column) -> Column:
+    """hh:mm:ss of whole seconds; hours go on beyond a day."""
+    whole = F.floor(seconds).cast("long")
+    return F.format_string("%02d:%02d:%02d", F.floor(whole / 3600).cast("long"), (F.floor(whole / 60) % 60).cast("long"), whole % 60)
+
+
+def remaining_seconds(elapsed: Column, done: Column, total: Column) -> Column:
+    """What is left of a run at its pace so far; null before anything is done."""
+    return F.when(done > 0, elapsed / done * (total - done))

@@ -149,3 +149,89 @@ def test_images(spark):
     assert images.has_star(star) and not images.has_star(np.zeros((40, 40), np.uint8))
     assert images.distinct_images(df.unionByName(df.replace("a", "b", "id"))).first().id == "a"
     assert images.map_values(df, images.signature, "string").first().value == images.signature(image)
+
+
+def test_blocks_meet_every_pair(spark):
+    """A right side beyond the bound is met in blocks: the pairs are those of a plain comparison."""
+    from larkspur.operators import blocks
+
+    left = spark.range(7).selectExpr("id AS a")
+    right = spark.range(50).selectExpr("id AS b")
+    for most in (3, 1000):
+        got = blocks.met(left, right, F.col("a") * 5 < F.col("b"), most, "b")
+        assert sorted((r.a, r.b) for r in got.collect()) == [(a, b) for a in range(7) for b in range(50) if a * 5 < b]
+
+
+def test_prefixes_of_any_length(spark):
+    from larkspur.operators import lookups
+
+    ids = ["AB-1", "abc", "A", "", "b", "ABCD"]
+    catalogue = spark.createDataFrame(list(enumerate(ids)), "pos int, id string")
+    asked = spark.createDataFrame([(x,) for x in ("", "a", "ab", "abc", "abcd", "zz", "b")], "code string")
+    plan = lookups.prefix_lookup(asked, catalogue)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = sorted((r.code, r.id) for r in lookups.prefix_lookup(asked, catalogue).collect())
+    assert got == sorted((q, i) for q in ("", "a", "ab", "abc", "abcd", "zz", "b") for i in ids if i.lower().startswith(q))
+
+
+def test_nearest_number_is_the_nearest(spark, monkeypatch):
+    """Against all pairs, for texts of all distances, with few and with many numbers for a broadcast."""
+    import random
+
+    from larkspur.operators import lookups
+
+    rng = random.Random(3)
+    numbers = sorted({"".join(rng.choices("AB01-", k=rng.randrange(1, 9))) for _ in range(60)} | {"X" * 30, "X" * 27})
+    texts = sorted({"".join(rng.choices("AB01-Z", k=rng.randrange(1, 12))) for _ in range(80)} | {"X" * 28 + "Y", "X" * 25, "X" * 24, "Q" * 30})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    want = {t: min((distance(t, n), abs(len(t) - len(n)), n) for n in numbers) for t in texts}
+    for most in (200_000, 10):
+        monkeypatch.setattr(lookups, "MAX_BROADCAST_KEYS", most)
+        found = lookups.nearest_number(spark.createDataFrame([(t,) for t in texts], "code string"), spark.createDataFrame([(n,) for n in numbers], "number string"))
+        assert {r.code: (r.distance, r.number) for r in found.collect()} == {t: (d, n) for t, (d, _, n) in want.items()}
+
+
+def test_nearest_variant_skips_those_without_a_vector(spark):
+    from larkspur.operators import vectors
+
+    rows = [(1, 0, [1.0, 0.0]), (2, 0, None), (3, 0, [0.0, 1.0]), (4, 1, [1.0, 0.0]), (5, 2, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "id long, class int, vector array<double>")
+    got = {r.id: r.variant for r in vectors.nearest_variant(df.where("id IN (1, 4)"), df, "class", 2.0).collect()}
+    assert got == {1: 3, 4: None}
+
+
+def test_grey_images_are_read(spark, tmp_path):
+    """PNG files in grey and in colour."""
+    import struct
+    import zlib
+
+    from larkspur.sources import readers
+
+    def png(width, height, kind, data, channels):
+        chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+        rows = b"".join(b"\0" + data[k * width * channels : (k + 1) * width * channels] for k in range(height))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+    (tmp_path / "grey.png").write_bytes(png(3, 2, 0, bytes([0, 50, 100, 150, 200, 250]), 1))
+    (tmp_path / "colour.png").write_bytes(png(2, 1, 2, bytes([255, 0, 0, 0, 0, 255]), 3))
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    got = {r.id.rpartition("/")[2]: (r.width, r.height, list(r.pixels)) for r in readers.read_grey(spark, f"file://{tmp_path}").collect()}
+    assert got == {"grey.png": (3, 2, [0, 50, 100, 150, 200, 250]), "colour.png": (2, 1, [76, 29])}
+
+
+def test_database_tables_are_read(spark, tmp_path):
+    """Through JDBC, from the database that comes with Spark, in order of a column."""
+    from larkspur.sources import readers
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.createDataFrame([(3, "c"), (1, "a"), (2, None)], "id int, name string").write.format("jdbc").options(url=url, dbtable="cards").save()
+    got = readers.read_table(spark, {"url": url, "dbtable": "cards"}, "id")
+    assert [tuple(r) for r in got.collect()] == [(1, "a"), (2, None), (3, "c")]

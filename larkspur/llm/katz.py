@@ -33,7 +33,7 @@ number grows with the input; the driver holds the counts that occur (at most the
 root of twice the tokens) and the sums of at most ``8 * parts`` spread contexts.
 
 Edge cases: null text counts as empty, and an empty text is its end token. Null
-ids stay null; their remainder is that of the empty string. Repeated rows are
+ids stay null (2^63 - 1, which stands for none, can't be an id); their remainder is that of the empty string. Repeated rows are
 texts of their own, in training and results. Without training rows every token
 is the unknown word, of probability one. A text longer than a chunk is a chunk
 of its own. An empty table gives an empty result. Extra columns are not read.

@@ -9,7 +9,8 @@ coordinate descent. The margin gives the score through a logistic curve.
 
 The ratios are gathered by a distributed count whose result is bounded by the
 number of feature buckets. The hinge-loss fit takes at most ``sample_rows``
-labelled rows (a documented bound, those with the smallest hash of their id);
+labelled rows (a documented bound, those with the smallest hash of their id, all
+rows of an id or none);
 scoring covers every row in one pass without a shuffle, with one weight for each
 bucket sent to the workers.
 
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import Scratch, ship
 
@@ -204,8 +206,11 @@ def fit(train: DataFrame, bits: int = BITS, sample_rows: int = SAMPLE_ROWS) -> M
     ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
     ratio[n.sum(axis=0) == 0] = 0
 
-    chosen = train.select("id").orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample_rows)
-    sample = train.join(chosen.distinct(), "id", "left_semi").select("label", "text").mapInArrow(lambda b: _vectors(b, bits), "label int, features binary").toArrow()
+    chosen = train.groupBy("id").count().orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample_rows)
+    # Over the few ids chosen: as many as have sample_rows rows together.
+    so_far = F.sum("count").over(W.orderBy(F.xxhash64("id", F.lit(SEED)), "id"))
+    chosen = chosen.withColumn("rows", so_far).where(F.col("rows") <= sample_rows)
+    sample = train.join(F.broadcast(chosen.select("id")), "id", "left_semi").select("label", "text").mapInArrow(lambda b: _vectors(b, bits), "label int, features binary").toArrow()
     vectors, labels = [], []
     for label, blob in zip(sample["label"].to_pylist(), sample["features"].to_pylist(), strict=True):
         index = np.frombuffer(blob, "<u4").astype(np.int64)

@@ -16,7 +16,7 @@ replies to each batch with the places of its repeated digests and their first
 occurrence. Texts are never shuffled; parts are bounded in size by their number.
 
 Edge cases: null and empty texts have no chunks. Null ids come after all others
-and stay null. Rows that repeat an id are rows of their own. A text longer than
+and stay null (2^63 - 1, which stands for none, can't be an id). Rows that repeat an id are rows of their own. A text longer than
 a batch is a batch of its own. Empty tables give an empty result. Extra columns
 are not read; ``drop_spans`` returns all columns.
 """

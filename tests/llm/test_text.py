@@ -117,6 +117,101 @@ def test_classifier_odd_rows(spark, odd_docs, no_docs):
     assert got.columns[:2] == ["doc_id", "text"] and got.count() == odd_docs.count()
 
 
+def plain_features(text, bits):
+    """The feature buckets of a text, one word and one character at a time."""
+    top, whole = 64 - bits, (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 31) * 0x9E3779B97F4A7C15 & whole
+        return x ^ x >> 29
+
+    def run(values):
+        power, total = 1, 0
+        for v in values:
+            power = power * 0x100000001B3 & whole
+            total += (v + 1) * power
+        return mix(total & whole)
+
+    kind = lambda b: 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b
+    words, shapes = [], []
+    for w in text.split():
+        kinds = [kind(b) for b in w]
+        use = [k for i, k in enumerate(kinds) if not (i and k == kinds[i - 1] and (k in (65, 97, 48) or i > 2 and kinds[i - 3 : i] == [k] * 3))]
+        words.append(run([b + 32 if 65 <= b <= 90 else b for b in w]))
+        shapes.append(0x5EED if len(words) > 1 and words[-1] == words[-2] else run(use))
+    grams = [(1, h) for h in words] + [(2, h) for h in shapes]
+    grams += [(3, mix(b * 31 + a & whole)) for a, b in zip(shapes, shapes[1:], strict=False)]
+    grams += [(4, mix(((c * 31 + b) * 31 + a) & whole)) for a, b, c in zip(shapes, shapes[1:], shapes[2:], strict=False)]
+    return {mix(h + salt * 0x51ED270B & whole) >> top for salt, h in grams}
+
+
+def test_classifier_features_and_scores_by_hand(spark):
+    """Buckets, log-count ratios, vectors and scores against plain Python."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
+    bits = 12
+    found = {i: plain_features(t, bits) for i, t in rows}
+    counts, sizes = np.ones((2, 1 << bits)), collections.Counter()
+    seen = set()
+    for i, _ in rows:
+        if i in known and i not in held:
+            sizes[known[i]] += 1
+            seen |= found[i]
+            for f in found[i]:
+                counts[known[i], f] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    ratio[[f for f in range(1 << bits) if f not in seen]] = 0
+    model = quality.fit(quality.training_rows(docs, labels, quality.remainder("doc_id", 3) != 1), bits=bits)
+    assert np.allclose(model.ratio, ratio) and min(sizes.values()) > 0
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i, _ in rows:
+        f = np.array(sorted(found[i]), int)
+        length = math.sqrt(sum(ratio[k] ** 2 for k in f))
+        margin = (sum(ratio[k] * model.weight[k] for k in f) / length if length else 0.0) + model.intercept
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-model.steepness * margin)))
+
+
+def test_classifier_sample_is_bounded(spark):
+    """Repeated ids bring no more rows than the bound."""
+    rows = [(k // 40, k % 2, f"a b{k} c") for k in range(400)]
+    train = spark.createDataFrame(rows, "id long, label int, text string")
+    taken = []
+    inner = quality.dual_coordinate_descent
+    quality.dual_coordinate_descent = lambda rows, *more: (taken.append(len(rows)), inner(rows, *more))[1]
+    try:
+        for bound in (100, 39, 1000):
+            quality.fit(train, bits=10, sample_rows=bound)
+    finally:
+        quality.dual_coordinate_descent = inner
+    assert taken == [80, 0, 400]
+
+
+def test_shards_by_hand(spark):
+    """The matrix's moves and both permutations, one row at a time."""
+    import xxhash
+
+    docs = spark.createDataFrame([(k, "é" * (k % 7)) for k in range(700)], "doc_id long, text string").repartition(5, "doc_id")
+    seed, shards = 99, 6
+    rows = docs.select("doc_id", F.spark_partition_id().alias("source"), F.monotonically_increasing_id().alias("uid")).collect()
+    mixed = lambda uid, salt: int.from_bytes(xxhash.xxh64(salt.to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(uid.to_bytes(8, "little"), 42)).digest(), "big", signed=True)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    sources = sorted(by)
+    matrix = sharding.communication_matrix([len(by[s]) for s in sources], sharding.exact_sizes(700, shards), seed)
+    cells = collections.defaultdict(list)
+    for s, moves in zip(sources, matrix, strict=True):
+        order = iter(sorted(by[s], key=lambda r: mixed(r.uid, seed)))
+        for cell, n in enumerate(moves):
+            cells[cell] += [next(order) for _ in range(n)]
+    want = {r.doc_id: (cell, slot) for cell, held in cells.items() for slot, r in enumerate(sorted(held, key=lambda r: mixed(r.uid, seed + 1)))}
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(docs, shards=shards, seed=seed).collect()}
+    assert got == want
+
+
 def test_dual_descent_solves_the_problem():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(60, 5)), np.where(rng.normal(size=60) > 0, 1, -1)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, collapsed
 
-BLOCK_CHARS = 2048
+BLOCK_CHARS, MAX_BROADCAST_ROWS = 2048, 500_000
 
 
 def _blocks(norm):
@@ -100,12 +100,13 @@ def _pairs():
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, with all their columns: one for each distinct text."""
     found = Scratch(docs.sparkSession, "exact-kept").table(exact_duplicates(docs, id_col, text_col), "rows")
-    stays = found.where("kept").select(F.col(id_col).alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    same_id = (F.col(id_col).eqNullSafe(F.col("__keep_id"))) & (F.sha2(collapsed(F.col(text_col)), 256) == F.col("__keep_sha"))
-    rows = docs.join(stays, same_id, "left_semi")
-    again = found.groupBy(id_col, "text_sha256").count().where("count > 1")
-    if again.isEmpty():
+    keys = found.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    keys = Scratch(docs.sparkSession, "exact-keys").table(keys.where("NOT kept OR n > 1"), "keys")
+    gone = keys.where("NOT kept").select("__id", "__sha")
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone  # 100 bytes each; texts then stay where they are
+    sha = F.sha2(collapsed(F.col(text_col)), 256)
+    rows = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")
+    if keys.where("kept").isEmpty():
         return rows
-    # Rows that repeat both id and text: all came through the semi join, and one stays.
-    marked = rows.withColumn("__keep_sha", F.sha2(collapsed(F.col(text_col)), 256))
-    return marked.dropDuplicates([id_col, "__keep_sha"]).drop("__keep_sha")
+    # Rows that repeat both id and text: none was taken away, and one stays.
+    return rows.withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")

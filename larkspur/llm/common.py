@@ -34,6 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{warehouse}/_scratch"
 
 
+#: Runs whose tables are still there.
+_LIVE: list[Scratch] = []
+
+
 @contextlib.contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Statements that end here leave no shuffle files behind."""
@@ -56,6 +60,12 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def drop_scratch() -> None:
+    """Remove the tables of all operator runs so far, once their results are no longer read; else they go when the driver ends."""
+    while _LIVE:
+        _LIVE.pop().drop()
+
+
 class Scratch:
     """Tables of one operator run, as Parquet under the shared folder.
 
@@ -67,7 +77,9 @@ class Scratch:
         ship(spark)
         self.spark = spark
         self.path = f"{shared_folder(spark).rstrip('/')}/larkspur/{label}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.path)
+        if not _LIVE:
+            atexit.register(drop_scratch)
+        _LIVE.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         where = f"{self.path}/{name}"

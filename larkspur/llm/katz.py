@@ -330,7 +330,7 @@ class State:
         ids = (answers >> 1) - 1
         self.word, self.count, self.p = ids[tokens], plan.word_counts(ids)[tokens], plan.word_p(ids)[tokens]
         self.context = self._after(np.where((answers % 2 == 1) & (ids >= 0), OWN + np.arange(len(ids)), ids)[tokens], plan.begin)
-        for level in range(2, max((r["level"] for r in replies), default=1) + 1):
+        for level in range(2, max(plan.discounts) + 1):  # a chunk may have n-grams of its own alone, and no replies
             self._climb(level, [r for r in replies if r["level"] == level])
 
     def _after(self, ids, at_first: int):

@@ -31,7 +31,8 @@ def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_corpus(_table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2, order=3)
+    scored = score_corpus(_table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2, order=3)
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op4_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

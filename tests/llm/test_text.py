@@ -286,6 +286,19 @@ def test_katz_matches_brute_force(spark, order, chunk):
         assert sum(p(w, h) for (w,) in counts[1]) + p(b"?", h) == pytest.approx(1)
 
 
+def test_katz_in_one_chunk(spark):
+    """All n-grams are the chunk's own; a second chunk shares some words and no more."""
+    rng = random.Random(10)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(60))) for k in range(60)]
+    alone = [(k, f"x{k} " * 30) for k in range(60, 70)]
+    for docs, order in ((rows, 2), (rows, 3), (rows + alone, 3)):
+        df = spark.createDataFrame([(*r, k % 7 == 2) for k, r in enumerate(docs)], "doc_id long, text string, held boolean")
+        df = df.where("doc_id < 60").coalesce(1).unionByName(df.where("doc_id >= 60").coalesce(1))
+        want = {i: s for i, *_, s in brute_katz(docs, [k % 7 == 2 for k in range(len(docs))], order)[0]}
+        got = {r.doc_id: r.score for r in katz.score_corpus(df, F.col("held"), order=order).collect()}
+        assert got == {i: pytest.approx(s, rel=1e-9) for i, s in want.items()}
+
+
 def test_katz_tables_are_kept(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b A c"), (3, "d")], "doc_id long, text string")
     got = katz.score_corpus(docs, F.col("doc_id") == 3, model_path=f"file://{tmp_path}/model")

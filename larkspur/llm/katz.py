@@ -307,6 +307,13 @@ def _pairs(context, word):
     return order[new], place
 
 
+def _begins(context):
+    """Where a context differs from the one before."""
+    import numpy as np
+
+    return np.concatenate(([True], context[1:] != context[:-1]))[: len(context)]
+
+
 def _backed_off(new, counts):
     """Of groups that begin where new holds, those that hold a count of 0. Only they need an alpha: few, as all n-grams of training texts are seen."""
     import numpy as np
@@ -418,7 +425,7 @@ def _send_pairs(chunk_rows, reply_rows, plan: Plan, level: int):
         for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a < b:
                 f = first[a:b]
-                rows.append((part, chunk["chunk"], pack_sorted(s.context[f]), pack(s.word[f] + 1), pack(train[a:b]), *((pack(np.where(train[a:b] > 0, x[f], 0)) for x in (s.n, s.total)) if level > 2 else (None, None))))
+                rows.append((part, chunk["chunk"], pack_sorted(s.context[f]), pack(s.word[f] + 1), pack(train[a:b]), *((pack(np.where(train[a:b] > 0, s.n[f], 0)), pack(s.total[f][_begins(s.context[f])])) if level > 2 else (None, None))))
         *_, train = s.own()
         if len(train):  # how many of the chunk's own n-grams have each small count
             few = np.bincount(train[(train > 0) & (train <= DISCOUNTED + 1)], minlength=1)
@@ -431,7 +438,7 @@ def _sender(plan: Plan, level: int):
 
 
 def _sum_pairs(table):
-    """Counts of a part's pairs. Where a word's id doesn't tell its lower-level probability, the count and C that give it are carried, for the seen: integers, which pack well."""
+    """Counts of a part's pairs. Where a word's id doesn't tell its lower-level probability, the count (for the seen) and, once a context, the C that give it are carried: integers, which pack well."""
     import numpy as np
 
     every = sorted(table.to_pylist(), key=lambda r: r["chunk"])
@@ -442,18 +449,18 @@ def _sum_pairs(table):
     context, word = np.concatenate(contexts or empty), np.concatenate([unpack(r["words"]) for r in rows] or empty) - 1
     first, place = _pairs(context, word)
     counts = np.bincount(place, np.concatenate([unpack(r["train"]) for r in rows] or empty), len(first)).astype(np.int64)
-    lower = []
-    for name in ("lower_n", "lower_total") if rows and rows[0]["lower_n"] is not None else ():
-        most = np.zeros(len(first), np.int64)
-        np.maximum.at(most, place, np.concatenate([unpack(r[name]) for r in rows]))
-        lower.append(pack(most))
+    lower_n, lower_total = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    carried = bool(rows) and rows[0]["lower_n"] is not None
+    if carried:
+        np.maximum.at(lower_n, place, np.concatenate([unpack(r["lower_n"]) for r in rows]))
+        lower_total[place] = np.concatenate([unpack(r["lower_total"])[np.cumsum(_begins(x)) - 1] for r, x in zip(rows, contexts, strict=True)])
     context, word = context[first], word[first]
     replies, at = [], 0
     for r, own in zip(rows, contexts, strict=True):
         mine = place[at : at + len(own)]
         replies.append({"chunk": r["chunk"], "places": pack_sorted(mine)})
         at += len(own)
-    blobs = [pack_sorted(context), pack(word + 1), pack(counts), *(lower or (b"", b""))]
+    blobs = [pack_sorted(context), pack(word + 1), pack(counts), *((pack(lower_n), pack(lower_total[_begins(context)])) if carried else (b"", b""))]
     model = raw([len(b) for b in blobs]) + b"".join(blobs)
     return _part_row(part, model, replies, counts, DISCOUNTED + 1, kept)
 
@@ -482,7 +489,7 @@ def _open_model(model: bytes, plan: Plan, level: int):
     context, word, counts = open_pairs(model)
     if not n:
         return context, word, counts, plan.word_p(word)
-    n, total = unpack(n), unpack(total)
+    n, total = unpack(n), unpack(total)[np.cumsum(_begins(context)) - 1]
     return context, word, counts, plan.discount(level - 1, n) * n / np.maximum(total, 1)
 
 

@@ -71,7 +71,8 @@ def iou_suppression(spark, sf_dir):
 def segmentation_scores(spark, sf_dir):
     rows = _rows_of_boxes(spark, sf_dir)
     first = F.get("rects", F.lit(0))
-    return rows.select("l_orderkey", F.round(geometry.segmentation_score(F.col("rects"), F.lit(110)), 6).alias("geometry"), F.round(geometry.sequence_score(F.col("rects"), F.lit(0), F.lit(8.0)), 6).alias("sequence"), F.round(geometry.discarded_score(F.col("rects"), F.lit(1), F.lit(2), first["h"].cast("double")), 6).alias("discarded"))
+    plain = lambda score, name: (F.round(score, 6) + F.lit(0.0)).alias(name)  # noqa: E731 - no negative zero
+    return rows.select("l_orderkey", plain(geometry.segmentation_score(F.col("rects"), F.lit(110)), "geometry"), plain(geometry.sequence_score(F.col("rects"), F.lit(0), F.lit(8.0)), "sequence"), plain(geometry.discarded_score(F.col("rects"), F.lit(1), F.lit(2), first["h"].cast("double")), "discarded"))
 
 
 def region_ranking(spark, sf_dir):
@@ -358,10 +359,10 @@ ORACLES |= {
             CASE WHEN mw > 0 THEN len([1 for r in rects if r.w > mw * 2.25 AND NOT {_dash_sql("r")}]) * -10.0 ELSE 0.0 END::DOUBLE AS wide FROM m),
         o AS (SELECT *, rects[2:] AS others, coalesce(nullif(list_median([r.h for r in rects[2:]])::DOUBLE, 0.0), 8.0) AS oh FROM g)
         SELECT l_orderkey,
-            round(number + shapes + gaps + CASE WHEN d IS NULL THEN 0.0 WHEN {_dash_sql("d")} THEN 30.0 ELSE -20.0 END + CASE WHEN share < 0.20 THEN -15.0 WHEN share > 0.98 THEN -8.0 ELSE least(12.0, share * 16.0) END + wide, 6)::DOUBLE AS geometry,
+            round(number + shapes + gaps + CASE WHEN d IS NULL THEN 0.0 WHEN {_dash_sql("d")} THEN 30.0 ELSE -20.0 END + CASE WHEN share < 0.20 THEN -15.0 WHEN share > 0.98 THEN -8.0 ELSE least(12.0, share * 16.0) END + wide, 6)::DOUBLE + 0.0::DOUBLE AS geometry,
             round(100.0 + {_total(f"-abs(r.h - oh) / greatest(1.0, oh) * 24.0 - CASE WHEN {_R} < 0.05 OR {_R} > 1.45 THEN 18.0 ELSE 0.0 END", "r in others")}
                 + {_total(f"CASE WHEN {_GAP} > oh * 0.90 THEN -35.0 WHEN {_GAP} < oh * -0.20 THEN -15.0 ELSE 0.0 END", _BETWEEN)}
-                - abs(rects[1].y + rects[1].h / 2.0 - coalesce(list_sum([(r.y + r.h / 2.0)::DOUBLE for r in others]) / nullif(len(others), 0), rects[1].y + rects[1].h / 2.0)) / greatest(1.0, oh) * 20.0, 6)::DOUBLE AS sequence,
-            round({_total(f"CASE WHEN r.h / greatest(1.0, rects[1].h) < 0.55 OR r.h / greatest(1.0, rects[1].h) > 1.65 OR {_R} > 1.55 THEN 4.0 ELSE -2.0 END", "r in list_concat(rects[1:1], rects[4:])")}, 6)::DOUBLE AS discarded
+                - abs(rects[1].y + rects[1].h / 2.0 - coalesce(list_sum([(r.y + r.h / 2.0)::DOUBLE for r in others]) / nullif(len(others), 0), rects[1].y + rects[1].h / 2.0)) / greatest(1.0, oh) * 20.0, 6)::DOUBLE + 0.0::DOUBLE AS sequence,
+            round({_total(f"CASE WHEN r.h / greatest(1.0, rects[1].h) < 0.55 OR r.h / greatest(1.0, rects[1].h) > 1.65 OR {_R} > 1.55 THEN 4.0 ELSE -2.0 END", "r in list_concat(rects[1:1], rects[4:])")}, 6)::DOUBLE + 0.0::DOUBLE AS discarded
         FROM o""",
 }

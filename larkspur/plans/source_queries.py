@@ -204,7 +204,7 @@ ORACLES = {
     "json_array": f"WITH {CATALOGUE} SELECT id, name, cost FROM catalogue WHERE pos <= 200",
     "listed_files": "SELECT DISTINCT CAST(n_nationkey % 5 AS INTEGER) AS folder, CAST(1 AS BIGINT) AS files FROM nation",
     "appended_inventory": "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS distinct_ids, CAST(max(o_orderkey) AS BIGINT) AS last_number FROM orders",
-    "written_report": matching_queries.ORACLES["confusion_matrix"],
+    "written_report": matching_queries.ORACLES["confusion_report"],
     "failure_folders": f"WITH {CATALOGUE} SELECT pos, id, 'Class' || (pos % 4) AS failure FROM catalogue",
     "appended_history": f"""WITH {CATALOGUE}, l AS (SELECT '/t/' || name || CASE pos % 3 WHEN 0 THEN '.PNG' ELSE '.png' END AS path FROM catalogue WHERE pos % 3 <> 2 UNION ALL SELECT '/t/one more.png') SELECT min(path) AS path FROM l GROUP BY upper(path)""",
     "segment_counts": "SELECT p_partkey AS pos, CAST(p_size % 20 AS INTEGER) AS segments, p_size % 20 BETWEEN 4 AND 14 AS plausible FROM part",

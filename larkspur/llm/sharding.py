@@ -12,7 +12,10 @@ Only ids, sizes and checksums move, never texts. A target cell is a shard or an
 equal part of one, so that a shard larger than ``rows_per_cell`` is not one
 task; slots stay gapless, as cell sizes are exact. The matrix has at most 1,024
 sources and 400 cells (partitions of a larger input are taken together), which
-bounds what the driver holds at any input size.
+bounds what the driver holds at any input size. It does not bound the tasks: a
+permutation is an order by a hash, so a large source or cell is ordered in
+ranges of that hash of about ``rows_per_range`` rows, each of which begins where
+the counts of those before it end. The ranges' number changes no row's place.
 
 Row numbers come from one written pass over the input, so a retried task can't
 change them. Edge cases: a null text has size 16 and the checksum of an empty
@@ -32,7 +35,7 @@ from pyspark.sql import Window as W
 
 from .common import Scratch
 
-MAX_SOURCES, MAX_CELLS, ROWS_PER_CELL = 1024, 400, 20_000
+MAX_SOURCES, MAX_CELLS, ROWS_PER_CELL, ROWS_PER_RANGE = 1024, 400, 20_000, 500_000
 
 
 def hypergeometric(rng: random.Random, good: int, total: int, draws: int) -> int:
@@ -81,7 +84,29 @@ def exact_sizes(n: int, parts: int) -> list[int]:
     return [n // parts + (i < n % parts) for i in range(parts)]
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 40, seed: int = 20_240_613, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def range_bits(rows: int, rows_per_range: int) -> int:
+    """How many leading bits of a hash part so many rows into ranges of about that size."""
+    return max(0, math.ceil(math.log2(max(1, rows) / rows_per_range)))
+
+
+def permuted(rows: DataFrame, key: str, seed: int, bits: int) -> DataFrame:
+    """Rows with ``turn``: the place from 0 in the order of a hash of uid within the key, numbered in 2^bits ranges of the hash.
+
+    Rows must be a written table where there are bits, as it is read twice.
+    """
+    order = F.xxhash64("uid", F.lit(seed))
+    if not bits:  # a single range begins at 0
+        return rows.withColumn("turn", F.row_number().over(W.partitionBy(key).orderBy(order, "uid")) - 1)
+    # An arithmetic shift keeps the sign, so ranges are in the order of the hash.
+    ranged = rows.withColumn("range", F.shiftright(order, 64 - bits))
+    counts = ranged.groupBy(key, "range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy(key).orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    begins = counts.select(key, "range", F.coalesce(before, F.lit(0)).alias("begin"))
+    placed = ranged.withColumn("turn", F.row_number().over(W.partitionBy(key, "range").orderBy(order, "uid")) - 1)
+    return placed.join(begins, [key, "range"]).withColumn("turn", F.col("begin") + F.col("turn")).drop("range", "begin")
+
+
+def shuffle_into_shards(docs: DataFrame, shards: int = 40, seed: int = 20_240_613, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """One row per input row: id, size, text_crc32, shard, slot (its place in the shard)."""
     spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
     scratch = Scratch(spark, "shards")
@@ -98,9 +123,10 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, seed: int = 20_240_61
     starts = [sum(sizes[k - k % parts : k]) for k in range(len(sizes))]
 
     moves = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), "array<struct<source:int,ends:array<bigint>>>")))
-    mixed = rows.withColumn("turn", F.row_number().over(W.partitionBy("source").orderBy(F.xxhash64("uid", F.lit(seed)), "uid")) - 1)
+    mixed = permuted(rows, "source", seed, range_bits(max((n for _, n in counted), default=0), rows_per_range))
     # At most MAX_SOURCES rows of MAX_CELLS counts: a bounded broadcast.
-    sent = mixed.join(F.broadcast(moves), "source").withColumn("cell", F.size(F.filter("ends", lambda end: end <= F.col("turn"))))
-    placed = sent.withColumn("turn", F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("uid", F.lit(seed + 1)), "uid")) - 1)
+    sent = mixed.join(F.broadcast(moves), "source").withColumn("cell", F.size(F.filter("ends", lambda end: end <= F.col("turn")))).drop("source", "ends", "turn")
+    bits = range_bits(max(sizes, default=0), rows_per_range)
+    placed = permuted(scratch.table(sent, "sent") if bits else sent, "cell", seed + 1, bits)
     start = F.get(F.from_json(F.lit(json.dumps(starts)), "array<bigint>"), F.col("cell"))
     return placed.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.floor(F.col("cell") / parts).cast("int").alias("shard"), (start + F.col("turn")).cast("long").alias("slot"))

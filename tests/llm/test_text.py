@@ -389,6 +389,17 @@ def test_differencing():
         assert sum(sums) == sum(sizes) and (len(sizes) < 30 or max(sums) - min(sums) <= 3)
 
 
+def test_shards_in_ranges(spark):
+    """Ordering sources and cells in ranges of the hash changes no row's place, nor does a part of a range without rows."""
+    docs = spark.range(5_000).selectExpr("id AS doc_id", "repeat('x', int(id % 7)) AS text").repartition(3)
+    whole = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(docs, 4, seed=5).collect()}
+    for rows_per_range in (1, 100, 900):
+        got = sharding.shuffle_into_shards(docs, 4, seed=5, rows_per_range=rows_per_range)
+        assert {r.doc_id: (r.shard, r.slot) for r in got.collect()} == whole
+    assert [sharding.range_bits(n, 500) for n in (0, 500, 501, 1_000, 1_001)] == [0, 0, 1, 1, 2]
+    assert sharding.shuffle_into_shards(docs.limit(0), 4, rows_per_range=1).count() == 0
+
+
 def test_sharding(spark, odd_docs, odd_rows, no_docs):
     got = sharding.shuffle_into_shards(odd_docs, 5).collect()
     assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == collections.Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in odd_rows)

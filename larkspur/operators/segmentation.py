@@ -170,6 +170,8 @@ def best_sequences(lists: DataFrame, by: list[str], wanted: Column | None = None
     extra = F.when(length == 9, 20.0).when(length == 8, eight).otherwise(left_out * -4.0)
     dashed = likely_dash_relaxed(F.get("part", F.col("run.dash")), F.col("mh"))
     scored = each.withColumn("score", F.when(dashed, sequence_score(F.col("part"), F.col("run.dash"), F.col("mh")) + extra))
+    # Sums of the same terms in another order count as ties.
+    scored = scored.withColumn("score", F.round("score", 9))
     found = F.when(F.col("score") >= LEAST_SEQUENCE_SCORE, F.struct("score", "run.length", (-F.col("run.start")).alias("early"), "part"))
     best = scored.groupBy(*by).agg(F.max(found).alias("best"), F.first("rects").alias("rects"))
     return best.select(*by, F.coalesce("best.part", "rects").alias("rects"))

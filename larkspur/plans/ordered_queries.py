@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, identifiers
-from ..operators import aggregates, lookups, ordered, vectors
+from ..operators import aggregates, lookups, ordered, segmentation, vectors
 from .stand_ins import BASE, catalogue, observations, table
 
 SPREAD = 2.0
@@ -75,6 +75,20 @@ def segmentation_scores(spark, sf_dir):
     return rows.select("l_orderkey", plain(geometry.segmentation_score(F.col("rects"), F.lit(110)), "geometry"), plain(geometry.sequence_score(F.col("rects"), F.lit(0), F.lit(8.0)), "sequence"), plain(geometry.discarded_score(F.col("rects"), F.lit(1), F.lit(2), first["h"].cast("double")), "discarded"))
 
 
+def best_runs(spark, sf_dir):
+    """The run of components that looks most like a code, of rectangles from the lines of two orders."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("pair").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL").withColumn("pair", F.floor(F.col("l_orderkey") / 2)).withColumn("k", F.row_number().over(w))
+    part, q = F.col("l_partkey"), F.col("l_quantity").cast("int")
+    flat = q % 3 == 0
+    rect = [F.col("k") * 13 + part % 3, F.when(flat, 10).otherwise(5) + part % 2, 5 + part % 5, F.when(flat, 4).otherwise(12 + q % 3)]
+    rows = lines.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct(*(c.cast("int").alias(n) for c, n in zip(rect, "xywh", strict=True))))).alias("rects"))
+    best = segmentation.best_sequences(rows, ["pair"])
+    return best.select("pair", F.size("rects").alias("n"), F.get("rects", F.lit(0))["x"].alias("first_x"), F.element_at("rects", -1)["x"].alias("last_x"))
+
+
 def region_ranking(spark, sf_dir):
     rows = _boxes(spark, sf_dir).withColumn("score", (F.col("w") + F.col("h")).cast("double"))
     return ordered.ranked_regions(rows.select("l_orderkey", "x", "y", "w", "h", "score").distinct(), ["l_orderkey"], "score", 3).select("l_orderkey", "x", "y", "w", "h", "rank")
@@ -237,7 +251,7 @@ def known_by_prefix(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (median_exact, median_upper, bounding_box, component_predicates, region_scores, neighbour_iou, merged_rows, iou_suppression, segmentation_scores, region_ranking, hypothesis_ranking, template_harvest, best_debug_region, benchmark_cards, centered_mean, running_max, adjacent_gap, rank_labels, score_margins, sliding_windows, format_windows, interleave_dedup, distinct_first, seeded_sample, pick_untrained, cut_places, class_topk_mean, class_quality, class_statistics, most_similar_templates, nearest_variant, greedy_reading, ink_prefilter, prefix_counts, known_by_prefix)
+    for f in (median_exact, median_upper, bounding_box, component_predicates, region_scores, neighbour_iou, merged_rows, iou_suppression, segmentation_scores, best_runs, region_ranking, hypothesis_ranking, template_harvest, best_debug_region, benchmark_cards, centered_mean, running_max, adjacent_gap, rank_labels, score_margins, sliding_windows, format_windows, interleave_dedup, distinct_first, seeded_sample, pick_untrained, cut_places, class_topk_mean, class_quality, class_statistics, most_similar_templates, nearest_variant, greedy_reading, ink_prefilter, prefix_counts, known_by_prefix)
 }
 
 _USER = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
@@ -365,4 +379,20 @@ ORACLES |= {
                 - abs(rects[1].y + rects[1].h / 2.0 - coalesce(list_sum([(r.y + r.h / 2.0)::DOUBLE for r in others]) / nullif(len(others), 0), rects[1].y + rects[1].h / 2.0)) / greatest(1.0, oh) * 20.0, 6)::DOUBLE + 0.0::DOUBLE AS sequence,
             round({_total(f"CASE WHEN r.h / greatest(1.0, rects[1].h) < 0.55 OR r.h / greatest(1.0, rects[1].h) > 1.65 OR {_R} > 1.55 THEN 4.0 ELSE -2.0 END", "r in list_concat(rects[1:1], rects[4:])")}, 6)::DOUBLE + 0.0::DOUBLE AS discarded
         FROM o""",
+    "best_runs": f"""WITH lines AS (SELECT CAST(floor(l_orderkey / 2) AS BIGINT) AS pair, l_partkey AS p, CAST(floor(l_quantity) AS INTEGER) AS q,
+            row_number() OVER (PARTITION BY floor(l_orderkey / 2) ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS k FROM lineitem WHERE l_orderkey IS NOT NULL),
+        lists AS (SELECT pair, list({{'x': CAST(k * 13 + p % 3 AS INTEGER), 'y': CAST(CASE WHEN q % 3 = 0 THEN 10 ELSE 5 END + p % 2 AS INTEGER), 'w': CAST(5 + p % 5 AS INTEGER), 'h': CASE WHEN q % 3 = 0 THEN 4 ELSE 12 + q % 3 END}} ORDER BY k) AS whole, CAST(count(*) AS INTEGER) AS n FROM lines GROUP BY 1),
+        m AS (SELECT *, coalesce(nullif(list_median([r.h for r in whole if {_R} <= 1.30])::DOUBLE, 0.0), list_median([r.h for r in whole])::DOUBLE) AS mh FROM lists),
+        kinds AS (SELECT * FROM (VALUES (9, 6), (8, 5), (5, 2)) AS t(size, dash)),
+        starts AS (SELECT *, unnest(range(0, n - size + 1)) AS start FROM m JOIN kinds ON size <= n AND (size = 8 OR (size = 9 AND n = 9) OR (size = 5 AND n <= 6))),
+        runs AS (SELECT *, whole[start + 1:start + size] AS rects, whole[start + dash] AS d, list_concat(whole[1:start], whole[start + size + 1:]) AS rest FROM starts),
+        o AS (SELECT *, list_concat(rects[1:dash - 1], rects[dash + 1:]) AS others FROM runs WHERE {_dash_sql("d")}),
+        h AS (SELECT *, coalesce(nullif(list_median([r.h for r in others])::DOUBLE, 0.0), mh) AS oh FROM o),
+        scored AS (SELECT pair, size, start, rects, 100.0 + {_total(f"-abs(r.h - oh) / greatest(1.0, oh) * 24.0 - CASE WHEN {_R} < 0.05 OR {_R} > 1.45 THEN 18.0 ELSE 0.0 END", "r in others")}
+            + {_total(f"CASE WHEN {_GAP} > oh * 0.90 THEN -35.0 WHEN {_GAP} < oh * -0.20 THEN -15.0 ELSE 0.0 END", _BETWEEN)}
+            - abs(d.y + d.h / 2.0 - list_sum([(r.y + r.h / 2.0)::DOUBLE for r in others]) / len(others)) / greatest(1.0, oh) * 20.0
+            + CASE size WHEN 9 THEN 20.0 WHEN 5 THEN (n - 5) * -4.0 ELSE (n - 8) * -2.5 + CASE WHEN n = 8 THEN 18.0 ELSE 0.0 END
+                + {_total(f"CASE WHEN r.h / greatest(1.0, mh) < 0.55 OR r.h / greatest(1.0, mh) > 1.65 OR {_R} > 1.55 THEN 4.0 ELSE -2.0 END", "r in rest")} END AS score FROM h),
+        best AS (SELECT * FROM scored WHERE score >= 38.0 QUALIFY row_number() OVER (PARTITION BY pair ORDER BY round(score, 9) DESC, size DESC, start) = 1)
+        SELECT pair, CAST(len(chosen) AS INTEGER) AS n, chosen[1].x AS first_x, chosen[-1].x AS last_x FROM (SELECT l.pair, coalesce(b.rects, l.whole) AS chosen FROM lists l LEFT JOIN best b ON b.pair = l.pair)""",
 }

@@ -1,4 +1,4 @@
-"""Segmentations of a code's image: lists of rectangles made from its components, scored and ranked.
+"""Regions of an image that may hold a code, and segmentations of one: made from components, scored and ranked.
 
 Lists are made in Arrow batches, since splits look at pixels; runs, scores,
 duplicates and ranks are relational.
@@ -12,9 +12,22 @@ from statistics import median
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import LEAST_SEQUENCE_SCORE, character_height, discarded_score, likely_dash_relaxed, merge_row, possible_character, segmentation_score, sequence_score
+from ..functions.geometry import (
+    LEAST_SEQUENCE_SCORE,
+    character_height,
+    discarded_score,
+    edge_ink_penalty,
+    likely_dash_relaxed,
+    merge_row,
+    possible_character,
+    possible_text,
+    region_score,
+    segmentation_score,
+    sequence_score,
+    suppress,
+)
 from . import images as I
-from .ordered import ranked_hypotheses
+from .ordered import ranked_hypotheses, ranked_regions
 
 Box = tuple[int, int, int, int]
 RECT = "struct<x:int,y:int,w:int,h:int>"
@@ -149,6 +162,34 @@ def hypotheses(ink, merged: list[Box]) -> list[tuple[str, float, bool, list[Box]
     return [*whole, *_windows(boxes), *_splits(ink, boxes), *_merges(boxes)] if merged else []
 
 
+def regions(images: DataFrame, characters: int, most: int = 15, wide: bool = False) -> DataFrame:
+    """The best ``most`` regions of each image that may hold a code of so many characters: id, rank, score, x, y, w, h.
+
+    Regions that overlap much are one, the smallest. The wide variant leaves
+    more room at the right for cut-off numbers and scores ink at the right edge.
+    Ranked by score, then by area. An image without text gives its lower part
+    and the whole of it; ids must differ.
+    """
+
+    def run(frames: Iterator) -> Iterator:
+        for frame in frames:
+            found, edges = [], []
+            for image in frame.itertuples(index=False):
+                made = I.region_boxes([tuple(int(r[k]) for k in "xywh") for r in image.rects], characters, image.width, image.height, wide)
+                ink = smoothed_ink(pixels_of(image))
+                found.append([dict(zip("xywh", b, strict=True)) for b in made])
+                edges.append([I.right_edge_ink(ink, b) for b in made])
+            yield frame[["id", "width", "height"]].assign(rects=found, edges=edges)
+
+    text = component_lists(images).withColumn("rects", F.array_sort(F.filter("rects", lambda r: possible_text(r, F.col("width"), F.col("height")))))
+    made = text.mapInPandas(run, f"id string, width int, height int, rects array<{RECT}>, edges array<double>")
+    each = made.select("*", F.explode(suppress(F.col("rects"))).alias("r"))
+    score = region_score(F.col("r"), F.col("width"), F.col("height"), F.lit(characters))
+    if wide:
+        score += edge_ink_penalty(F.get("edges", F.array_position("rects", F.col("r")).cast("int") - 1))
+    return ranked_regions(each.select("id", score.alias("score"), "r.*"), ["id"], "score", most).select("id", "rank", "score", "x", "y", "w", "h")
+
+
 def best_sequences(lists: DataFrame, by: list[str], wanted: Column | None = None) -> DataFrame:
     """Each list ``rects`` (or each wanted one) cut to the run that looks most like a code, if its score reaches the least one.
 
@@ -177,17 +218,21 @@ def best_sequences(lists: DataFrame, by: list[str], wanted: Column | None = None
     return best.select(*by, F.coalesce("best.part", "rects").alias("rects"))
 
 
-def character_rows(images: DataFrame) -> DataFrame:
-    """id, width, height, pixels and rects: the components of each image that may be characters, touching ones merged; none gives an empty list."""
+def component_lists(images: DataFrame) -> DataFrame:
+    """id, width, height, pixels and rects: all components of each image's smoothed ink; none gives an empty list."""
 
     def run(frames: Iterator) -> Iterator:
         for frame in frames:
-            inks = [smoothed_ink(_pixels(row)) for row in frame.itertuples(index=False)]
+            inks = [smoothed_ink(pixels_of(row)) for row in frame.itertuples(index=False)]
             found = [[dict(zip("xywh", b, strict=True)) for b in I.components(ink.astype("u1") * 255)] if ink.any() else [] for ink in inks]
             yield frame.assign(rects=found)
 
-    raw = images.select("id", "width", "height", "pixels").mapInPandas(run, f"id string, width int, height int, pixels binary, rects array<{RECT}>")
-    fitting = raw.withColumn("rects", F.filter("rects", lambda r: possible_character(r, F.col("width"), F.col("height"))))
+    return images.select("id", "width", "height", "pixels").mapInPandas(run, f"id string, width int, height int, pixels binary, rects array<{RECT}>")
+
+
+def character_rows(images: DataFrame) -> DataFrame:
+    """As ``component_lists``, of components that may be characters, touching ones merged."""
+    fitting = component_lists(images).withColumn("rects", F.filter("rects", lambda r: possible_character(r, F.col("width"), F.col("height"))))
     return fitting.withColumn("rects", merge_row(F.col("rects")))
 
 
@@ -205,7 +250,7 @@ def segmentations(images: DataFrame, most: int = 16) -> DataFrame:
         for frame in frames:
             rows = []
             for image in frame.itertuples(index=False):
-                made = hypotheses(smoothed_ink(_pixels(image)), [tuple(int(r[k]) for k in "xywh") for r in image.rects])
+                made = hypotheses(smoothed_ink(pixels_of(image)), [tuple(int(r[k]) for k in "xywh") for r in image.rects])
                 rows += [(image.id, image.width, place, *h[:3], [dict(zip("xywh", b, strict=True)) for b in h[3]]) for place, h in enumerate(made)]
             yield pd.DataFrame(rows, columns=["id", "width", "place", "source", "bonus", "chosen", "rects"])
 
@@ -219,7 +264,7 @@ def segmentations(images: DataFrame, most: int = 16) -> DataFrame:
     return ranked_hypotheses(scored, ["id"], "score", "n", ["place"], max(1, min(40, most))).select("id", "rank", "source", "score", "rects")
 
 
-def _pixels(row):
+def pixels_of(row):
     import numpy as np
 
     return np.frombuffer(row.pixels, np.uint8).reshape(row.height, row.width)

@@ -131,10 +131,10 @@ def test_images(spark):
     g = images.glyph(image)
     assert g.shape == (56, 40) and g.max() == 255
     assert images.signature(image).startswith("60x30:") and len(images.signature(image)) == 6 + 384
-    assert images.preprocess(image).shape == (30 * 3 + 24, 60 * 3 + 24)
+    assert images.preprocess(image).shape == (30 * 3 + 22, 60 * 3 + 24)
     ink = np.zeros((10, 21), bool)
     ink[:, :9] = ink[:, 12:] = True
-    assert images.split_places(ink, 2)[0] in (9, 10, 11)
+    assert images.split_places(ink, 2) == [10]
     df = spark.createDataFrame([("a", 60, 30, bytearray(image.tobytes()))], images.IMAGE)
     assert images.map_images(df, images.glyph).first().height == 56
     assert images.crops(df).count() == 0  # too small to crop
@@ -143,7 +143,7 @@ def test_images(spark):
     assert images.crops(wide, images.COARSE_CROPS).count() == 5
     rows = images.text_rows([(0, 0, 5, 10), (8, 1, 5, 10), (16, 0, 5, 9), (0, 40, 5, 10), (8, 41, 5, 10)])
     assert rows == [[(0, 0, 5, 10), (16, 0, 5, 9), (8, 1, 5, 10)]]
-    assert images.row_regions(rows[0], 3, 100, 50) == [(0, 0, 26, 15), (0, 0, 31, 15)]
+    assert images.row_regions(rows[0], 3, 100, 50) == [(0, 0, 26, 15), (0, 0, 31, 15), (0, 0, 31, 15)]
     y, x = np.mgrid[-20:20, -20:20]
     star = np.where(np.hypot(x, y) < 8 + 5 * np.cos(5 * np.arctan2(y, x)), 255, 0).astype(np.uint8)
     assert images.has_star(star) and not images.has_star(np.zeros((40, 40), np.uint8))

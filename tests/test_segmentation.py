@@ -4,7 +4,8 @@ import random
 from statistics import mean, median
 
 import numpy as np
-from larkspur.operators import segmentation
+from larkspur.operators import images, segmentation
+from larkspur.sources import readers, writers
 
 RECTS = "id long, rects array<struct<x:int,y:int,w:int,h:int>>"
 
@@ -140,3 +141,89 @@ def test_segmentations(spark):
         assert len({str(r.rects) for r in (first, *rest)}) == 1 + len(rest)
     assert segmentation.segmentations(images, most=0).count() == 2
     assert segmentation.segmentations(images.limit(0)).count() == 0
+
+
+def test_cubic_by_hand():
+    """Each new pixel as the sum over 4 x 4 old ones."""
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (5, 7)).astype(np.uint8)
+
+    def weight(d):
+        d = abs(d)
+        return 1.25 * d**3 - 2.25 * d**2 + 1 if d <= 1 else -0.75 * (d**3 - 5 * d**2 + 8 * d - 4) if d < 2 else 0
+
+    for scale in (2, 3):
+        got = images.cubic(image, scale)
+        assert got.shape == (5 * scale, 7 * scale)
+        for y in range(5 * scale):
+            for x in range(7 * scale):
+                fy, fx = (y + 0.5) / scale - 0.5, (x + 0.5) / scale - 0.5
+                total = sum(weight(fy - j) * weight(fx - k) * image[min(max(j, 0), 4), min(max(k, 0), 6)] for j in range(int(fy // 1) - 1, int(fy // 1) + 3) for k in range(int(fx // 1) - 1, int(fx // 1) + 3))
+                assert abs(int(got[y, x]) - min(255, max(0, total))) <= 0.5 + 1e-6
+    assert (images.cubic(np.full((3, 3), 77, np.uint8), 3) == 77).all()
+
+
+def test_wide_segments():
+    def joined(parts, thin=4):
+        ink = np.zeros((20, parts * 10 + (parts - 1) * thin), np.uint8)
+        for k in range(parts):
+            ink[:, k * (10 + thin) : k * (10 + thin) + 10] = 255
+        ink[9:11] = 255
+        return np.pad(ink, 5)
+
+    two = images.split_segment(joined(2), (100, 7, 24, 20), 2)
+    assert [b for b, _ in two] == [(100, 7, 12, 20), (112, 7, 12, 20)] and all(ink.any() for _, ink in two)
+    three = images.split_segment(joined(3), (0, 0, 38, 20), 3)
+    assert [b[2] for b, _ in three] == [12, 13, 13] and sum(ink.shape[1] for _, ink in three) == 38
+    block = np.pad(np.full((20, 24), 255, np.uint8), 20)
+    assert images.split_segment(block, (0, 0, 24, 20), 2) == []
+    assert images.split_segment(np.zeros((9, 9), np.uint8), (0, 0, 9, 9), 2) == []
+
+
+def test_star_place():
+    card = np.zeros((1039, 744), np.uint8)
+    y, x = np.mgrid[-20:20, -20:20]
+    star = np.where(np.hypot(x, y) < 8 + 5 * np.cos(5 * np.arctan2(y, x)), 255, 0).astype(np.uint8)
+    card[100:140, 100:140] = star
+    assert not images.card_has_star(card)
+    card[940:980, 640:680] = star
+    assert images.card_has_star(card)
+    assert not images.card_has_star(np.zeros((3, 3), np.uint8))
+    specks = np.zeros((20, 20), bool)
+    specks[3, 3] = specks[9:12, 9:12] = True
+    assert images.opened(specks).sum() == 5
+
+
+def test_regions(spark):
+    # A dash of a third of the height still joins the row, so there are enough regions without the fallback.
+    page = drawn([(x + 100, y + 120, w, max(8, h)) for x, y, w, h in EIGHT], 400, 200)
+    rows = [(k, p.shape[1], p.shape[0], bytearray(p.tobytes())) for k, p in (("page", page), ("blank", np.full((100, 50), 230, np.uint8)))]
+    pictures = spark.createDataFrame(rows, images.IMAGE)
+    for wide in (False, True):
+        got = segmentation.regions(pictures, 8, wide=wide).orderBy("id", "rank").collect()
+        blank = {tuple(r)[3:] for r in got if r.id == "blank"}
+        assert blank == {(0, 45, 50, 55), (0, 0, 50, 100)}
+        x, y, w, h = tuple(next(r for r in got if r.id == "page"))[3:]
+        # The best region holds all but at most the outermost character.
+        assert x <= 122 and x + w >= 212 and y <= 128 and y + h >= 152 and h < 60
+        assert [r.score for r in got if r.id == "page"] == sorted((r.score for r in got if r.id == "page"), reverse=True)
+    row = [(20 * k, 40, 10, 20) for k in range(7)]
+    assert [r[2] for r in images.row_regions(row, 8, 400, 100, wide=True)] == [130 + 6, 130 + 16, 130 + 33, 130 + 24]
+    # Too narrow for a run's region: only the whole row, with 0.62 of its height at the right.
+    assert images.row_regions([(0, 0, 1, 20)] * 3, 3, 400, 100) == [(0, 0, 13, 24)]
+    ink = np.zeros((30, 30), bool)
+    ink[:, 28:] = True
+    assert images.right_edge_ink(ink, (0, 0, 30, 30)) == 1.0 and images.right_edge_ink(ink, (0, 0, 28, 30)) == 0.0
+
+
+def test_template_files(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    pictures = [("A", "x:1", 3, 2), ("-", "y", 40, 56), ("A", "z", 1, 1)]
+    rows = [(c, n, w, h, bytearray(rng.integers(0, 256, w * h).astype("u1").tobytes())) for c, n, w, h in pictures]
+    kind = "character string, name string, width int, height int, pixels binary"
+    folder = f"file://{tmp_path}/templates"
+    assert writers.write_templates(spark.createDataFrame(rows, kind), folder) == 3
+    assert writers.write_templates(spark.createDataFrame([], kind), folder) == 0
+    back = {r.id.split("templates/")[1]: (r.width, r.height, bytes(r.pixels)) for r in readers.read_grey(spark, folder).collect()}
+    assert back == {name: (w, h, bytes(p)) for name, (_, _, w, h, p) in zip(("A/x_1.png", "Dash/y.png", "A/z.png"), rows, strict=True)}
+    assert {r.character for r in readers.template_library(spark, folder).collect()} == {"A", "-"}

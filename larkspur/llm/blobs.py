@@ -71,3 +71,19 @@ def raw(values, dtype: str = "<i8") -> bytes:
 def parts_of(keys: int, per_part: int, least: int) -> int:
     """Parts for an exchange of so many keys: bounded in size, and enough of them for the machines."""
     return max(1, min(least, keys // 1000), -(-keys // per_part))
+
+
+@functools.lru_cache(maxsize=2)
+def _begins(parts: int):
+    import numpy as np
+
+    return np.array([(k << 64) // parts for k in range(parts)], np.uint64)
+
+
+def ranges_of(hashes, parts: int) -> list[tuple[int, int, int]]:
+    """(part, begin, end) of ascending 64-bit hashes in equal ranges of them, for the parts that have some: work and messages never exceed the hashes, however many parts there are."""
+    import numpy as np
+
+    part = np.searchsorted(_begins(parts), hashes, "right") - 1
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    return list(zip(part[at].tolist(), at.tolist(), [*at[1:].tolist(), len(part)], strict=True)) if len(at) else []

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import pack, pack_sorted, parts_of, raw, unpack, unpack_sorted
+from .blobs import pack, pack_sorted, parts_of, ranges_of, raw, unpack, unpack_sorted
 from .common import Scratch
 
 LEAST, MASK_BITS, MOST, MIN_SPAN, BATCH_BYTES, KEYS_PER_PART, SEED = 12, 4, 192, 112, 12 << 20, 1_000_000, 11
@@ -145,19 +145,16 @@ def _send(batches: Iterator, parts: int) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    edges = np.array([(k << 64) // parts for k in range(parts)], np.uint64)
     kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5)
     for rows in batches:
         for batch in rows.to_pylist():
             keys, ids = np.frombuffer(batch["keys"], "<u8").reshape(-1, 2), _read_ids(batch["ids"])
             row, start = _layout(unpack(batch["row_chunks"]), unpack(batch["lengths"]))
             first, n = unpack(batch["firsts"]), unpack(batch["counts"])
-            cuts = np.append(np.searchsorted(keys[:, 0], edges), len(keys))
             out = []
-            for part, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                if a < b:
-                    p = first[a:b]
-                    out.append((part, batch["batch"], a, raw(keys[a:b], "<u8"), pack(n[a:b]), _ids(ids[row[p]]), pack(row[p]), pack(start[p])))
+            for part, a, b in ranges_of(keys[:, 0], parts):
+                p = first[a:b]
+                out.append((part, batch["batch"], a, raw(keys[a:b], "<u8"), pack(n[a:b]), _ids(ids[row[p]]), pack(row[p]), pack(start[p])))
             columns = zip(*out, strict=True) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["part", "batch", "base", "keys", "n", "ids", "row", "start"])
 

@@ -220,3 +220,18 @@ def test_gear_hash_is_the_rolling_one():
     if start < len(data):
         want.append(len(data))
     assert substring_dedup.boundaries(data) == want
+
+
+def test_ranges_of_hashes():
+    """Equal ranges of 64 bits, only those that hold a hash, with more parts than hashes too."""
+    import numpy as np
+    from larkspur.llm.blobs import ranges_of
+
+    rng = np.random.default_rng(4)
+    for n, parts in ((0, 5), (1, 1), (50, 7), (50, 1000), (1000, 3)):
+        hashes = np.sort(np.concatenate([rng.integers(0, 2**64 - 1, max(0, n - 2), np.uint64, endpoint=True), np.array([0, 2**64 - 1], np.uint64)[:n]]))
+        want = {}
+        for k, h in enumerate(hashes.tolist()):
+            part = max(p for p in range(parts) if (p << 64) // parts <= h)
+            want.setdefault(part, []).append(k)
+        assert ranges_of(hashes, parts) == [(p, ks[0], ks[-1] + 1) for p, ks in want.items()]

@@ -46,7 +46,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import pack, pack_floats, pack_sorted, parts_of, raw, unpack, unpack_floats, unpack_sorted
+from .blobs import pack, pack_floats, pack_sorted, parts_of, ranges_of, raw, unpack, unpack_floats, unpack_sorted
 from .common import Scratch
 
 CHUNK_TOKENS, KEYS_PER_PART, DISCOUNTED, SEED, NO_ID = 1_500_000, 3_000_000, 5, 5, (1 << 63) - 1
@@ -195,13 +195,6 @@ def _encode(batches: Iterator, chunk_tokens: int) -> Iterator:
         yield record()
 
 
-def _edges(hashes, parts: int):
-    """Where each part's range of hashes begins, and the end."""
-    import numpy as np
-
-    return np.append(np.searchsorted(hashes, np.array([(k << 64) // parts for k in range(parts)], np.uint64)), len(hashes))
-
-
 def _table(rows: list[tuple], names: list[str], kinds: list):
     import pyarrow as pa
 
@@ -217,8 +210,8 @@ def _send_words(batches: Iterator, parts: int) -> Iterator:
         rows = []
         for chunk in batch.to_pylist():
             hashes = np.frombuffer(chunk["vocabulary"], "<u8")
-            train, cuts = unpack(chunk["train"]), _edges(hashes, parts)
-            rows += [(part, chunk["chunk"], raw(hashes[a:b], "<u8"), pack(train[a:b])) for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            train = unpack(chunk["train"])
+            rows += [(part, chunk["chunk"], raw(hashes[a:b], "<u8"), pack(train[a:b])) for part, a, b in ranges_of(hashes, parts)]
         yield from _table(rows, ["part", "chunk", "keys", "train"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]).to_batches()
 
 
@@ -422,10 +415,10 @@ def _send_pairs(chunk_rows, reply_rows, plan: Plan, level: int):
         asking, first, place, cuts = s.ask(level)
         train = np.bincount(place, s.training[asking], len(first)).astype(np.int64)
         train[s.word[first] < 0] = 0
-        for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if a < b:
-                f = first[a:b]
-                rows.append((part, chunk["chunk"], pack_sorted(s.context[f]), pack(s.word[f] + 1), pack(train[a:b]), *((pack(np.where(train[a:b] > 0, s.n[f], 0)), pack(s.total[f][_begins(s.context[f])])) if level > 2 else (None, None))))
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[part], cuts[part + 1]
+            f = first[a:b]
+            rows.append((part, chunk["chunk"], pack_sorted(s.context[f]), pack(s.word[f] + 1), pack(train[a:b]), *((pack(np.where(train[a:b] > 0, s.n[f], 0)), pack(s.total[f][_begins(s.context[f])])) if level > 2 else (None, None))))
         *_, train = s.own()
         if len(train):  # how many of the chunk's own n-grams have each small count
             few = np.bincount(train[(train > 0) & (train <= DISCOUNTED + 1)], minlength=1)

@@ -283,3 +283,15 @@ def test_class_quality_of_odd_vectors_in_tiles(spark, monkeypatch):
     for most in (4000, 8):
         monkeypatch.setattr(vectors, "CLASS_ROWS", most)
         assert _qualities(spark, rows)[1] == want
+
+
+def test_class_statistics_of_repeated_and_empty_vectors(spark):
+    """Copies are each other's nearest; a class of empty vectors counts as one of only ones; no pair is ranked."""
+    from larkspur.operators import vectors
+
+    kind = "id long, class int, vector array<double>"
+    rows = [(i, 0, [1.0, 0.0]) for i in range(9)] + [(20, 1, [0.0, 0.0]), (21, 1, [2.0, 2.0]), (30, 2, []), (31, 2, [])]
+    found = vectors.class_statistics(vectors.class_quality(spark.createDataFrame(rows, kind), 2.0))
+    assert "Window" not in found._jdf.queryExecution().toString()
+    assert {tuple(r) for r in found.collect()} == {(0, 9, 100.0, 100.0, 100.0, 0, 0), (1, 2, 0.0, 0.0, 0.0, 2, 0), (2, 2, 100.0, 100.0, 100.0, 0, 0)}
+    assert vectors.class_statistics(vectors.class_quality(spark.createDataFrame([], kind), 2.0)).count() == 0

@@ -36,8 +36,12 @@ pivots: each of T tables takes the coordinates of k unit pivots, and texts that
 agree in all k meet in a cell of it. k and T are those of least cost (rows moved
 and pairs compared) for the number of texts at which a pair of exactly the stated
 similarity is met with a probability of RECALL, and a closer one with more. In a
-cell, the numbers of shingles and the distances over one to four words of the
-fingerprint discard pairs; survivors are verified by the sets themselves.
+cell, the distance table of a second family of pivots discards pairs by their
+coordinates. Here these are some of the cell's own fingerprints: at such a radius
+random ones, half the bits away from all texts, tell nothing apart, while one of a
+group of near copies tells it from all others. Then the distances over one to four
+words of the fingerprint and the numbers of shingles discard pairs; survivors are
+verified by the sets themselves.
 
 In a cell, links are reduced to a star for each component found there, so a cell
 of many near copies gives as many links as it has members. A cell larger than
@@ -360,20 +364,29 @@ def _shingle_sets(batches: Iterator, words: int) -> Iterator:
 
 
 class Cell:
-    """Fingerprints and numbers of shingles of the texts that met, and how far apart they may be."""
+    """Fingerprints and numbers of shingles of the texts that met, how far apart they may be, and their distances to pivots: PIVOTS of the fingerprints, evenly spread over the rows."""
 
     def __init__(self, fps, shingles, bounds: list[int], similarity: float):
+        import numpy as np
+
         self.fps, self.shingles, self.bounds, self.similarity = fps, shingles, bounds, similarity
+        refs = fps[:, np.linspace(0, fps.shape[1] - 1, min(PIVOTS, fps.shape[1])).astype(np.int64)]
+        self.table = np.bitwise_count(fps[:, None, :] ^ refs[:, :, None]).sum(axis=0, dtype=np.int16)
 
     def near(self, rows, columns):
         """Places (of rows, of columns) of the pairs that nothing discards, and their distances. Only columns before the row are met."""
         import numpy as np
 
-        word = self.fps[0]
-        r, c = np.nonzero(np.bitwise_count(word[rows][:, None] ^ word[columns][None, :]) <= self.bounds[0])
+        word, coordinate, radius = self.fps[0], self.table[0], self.bounds[-1]
+        met = np.abs(coordinate[rows][:, None] - coordinate[columns][None, :]) <= radius
+        met &= np.bitwise_count(word[rows][:, None] ^ word[columns][None, :]) <= self.bounds[0]
+        r, c = np.nonzero(met)
         x, y = rows[r], columns[c]
         ahead = y < x
         x, y = x[ahead], y[ahead]
+        for coordinate in self.table[1:]:  # discarding as they go
+            some = np.abs(coordinate[x] - coordinate[y]) <= radius
+            x, y = x[some], y[some]
         far = np.bitwise_count(word[x] ^ word[y]).astype(np.int16)
         for other, bound in zip(self.fps[1:], self.bounds[1:], strict=True):
             far += np.bitwise_count(other[x] ^ other[y])

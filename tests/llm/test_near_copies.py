@@ -157,3 +157,27 @@ def test_odd_rows_of_the_near_stage(odd_docs, no_docs):
     assert got.columns == odd_docs.columns
     assert sorted(r.doc_id for r in got.select("doc_id").collect() if r.doc_id is not None) == [-3, 1, 6, 9, 10, 12]
     assert got.where("doc_id IS NULL").count() == 2
+
+
+def test_a_cell_discards_by_its_distance_table():
+    """Pivots tell groups of near copies apart, and discard no pair within the bounds."""
+    rng = np.random.default_rng(5)
+    fps = np.repeat(rng.integers(0, 2**64, (4, 6), np.uint64), 30, axis=1)
+    for _ in range(12):
+        fps[rng.integers(0, 4, 180), np.arange(180)] ^= np.uint64(1) << rng.integers(0, 64, 180, np.uint64)
+    bounds = [simhash.distance_within(64 * (k + 1), simhash.share_differing(0.8), simhash.SPREAD) for k in range(4)]
+    order = rng.permutation(180)
+    cell = simhash.Cell(np.ascontiguousarray(fps[:, order]), np.full(180, 50), bounds, 0.8)
+    far = np.bitwise_count(cell.fps[:, :, None] ^ cell.fps[:, None, :]).astype(int)
+    table = np.array([far.sum(axis=0)[row] for row in np.linspace(0, 179, simhash.PIVOTS).astype(int)])
+    assert (cell.table == table).all()
+    apart = np.abs(table[:, :, None] - table[:, None, :]).max(axis=0)
+    assert (apart > bounds[-1]).mean() > 0.5
+    near = (far.cumsum(axis=0) <= np.array(bounds)[:, None, None]).all(axis=0) & (np.arange(180)[None, :] < np.arange(180)[:, None])
+    x, y, distance = cell.near(np.arange(180), np.arange(180))
+    assert set(zip(x.tolist(), y.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
+    assert (distance == far.sum(axis=0)[x, y]).all()
+    # A table that sets rows apart keeps them apart, whatever their fingerprints.
+    cell.table = np.where(np.arange(180) % 2, 0, 256).astype(np.int16)[None, :]
+    x, y, _ = cell.near(np.arange(180), np.arange(180))
+    assert len(x) and (x % 2 == y % 2).all()
